@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_orc, url_filter
+from . import bpe, exact_dedup, html_text, packing, token_orc, url_filter
 from .common import read_table, scratch_path
 
 
@@ -43,6 +43,14 @@ SELECT q.page_id, q.host, q.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -60,5 +68,12 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_offsets(spark, path)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_url_filter": op2_url_filter, "op6_exact_dedup": op6_exact_dedup, "op7_token_orc": op7_token_orc}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_url_filter": op2_url_filter,
+    "op3_bpe": op3_bpe,
+    "op5_html_text": op5_html_text,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_orc": op7_token_orc,
+}
 ORACLES = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
