@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, packing, token_orc, url_filter
+from . import bpe, exact_dedup, html_text, lang_id, packing, token_orc, toxicity, url_filter
 from .common import read_table, scratch_path
 
 
@@ -68,6 +68,16 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_offsets(spark, path)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return lang_id.predict(docs, lang_id.fit(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -75,5 +85,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_orc": op7_token_orc,
+    "op8_language": op8_language,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
