@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, lang_id, packing, token_orc, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, lang_id, packing, range_join, token_orc, toxicity, url_filter
 from .common import read_table, scratch_path
 
 
@@ -73,6 +73,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, lang_id.fit(docs))
 
 
+def op9_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -86,6 +90,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_orc": op7_token_orc,
     "op8_language": op8_language,
+    "op9_range_join": op9_range_join,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
