@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, lang_id, packing, range_join, token_orc, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, lang_id, ngram_join, packing, range_join, token_orc, toxicity, url_filter
 from .common import read_table, scratch_path
 
 
@@ -47,6 +47,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_html_text": op5_html_text,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_orc": op7_token_orc,
