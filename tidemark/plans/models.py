@@ -1 +1,8 @@
-
+def fit_tick_model(spark, d):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+    from ..sources.tables import tape
+    t = tape(spark, d).withColumns({"x1": F.col("cents") / 100, "x2": F.col("k").cast("double"), "y": (F.col("kind") == "purchase").cast("double")}).dropna(subset=["x1", "x2"])
+    return Pipeline(stages=[VectorAssembler(inputCols=["x1", "x2"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01)]).fit(t)

@@ -1 +1,162 @@
+"""Queries T01 to T15: streams over the tape's files and their batch twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import windows as W
+from ..operators.asof import asof
+from ..sources.tables import tape
+from ..streaming import runs as R
+from .registry import query
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+KEY = Window.partitionBy("key").orderBy("us", "seq")
+
+
+def _stream(spark, d, **more):
+    return R.tape_stream(spark, f"{d}/events.parquet", **more)
+
+
+@query("T01_receipt_ingest", "SELECT seq, us, us + CAST(k AS BIGINT) * 1000000 AS received, CASE WHEN kind = 'signup' THEN 'session_start' ELSE 'row' END AS record FROM tape")
+def t01(spark, d):
+    s = _stream(spark, d).select("seq", "us", (F.col("us") + F.col("k").cast("bigint") * 1_000_000).alias("received"), F.when(F.col("kind") == "signup", "session_start").otherwise("row").alias("record"))
+    return R.drain(s, "ingest")
+
+
+@query("T02_dedup", "SELECT DISTINCT key, kind, k FROM tape")
+def t02(spark, d):
+    """Duplicates by content are dropped; their keys stay in state for the watermark's time
+    (a month here, longer than the tape)."""
+    s = _stream(spark, d).withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["key", "kind", "k"]).select("key", "kind", "k")
+    return R.drain(s, "dedup")
+
+
+@query("T02_change_only", "SELECT seq FROM (SELECT seq, kind, lag(kind) OVER (PARTITION BY key ORDER BY us, seq) AS p FROM tape) WHERE p IS DISTINCT FROM kind")
+def t02_change(spark, d):
+    def step(key, rows, state):
+        last = [state[0] if state else None, *rows["kind"][:-1]]
+        return rows[[a != b for a, b in zip(last, rows["kind"], strict=True)]][["seq"]], (rows["kind"].iloc[-1],)
+
+    return R.drain(R.per_key(_stream(spark, d), "key", "seq long", "kind string", step), "changes")
+
+
+@query("T03_eligibility", "WITH g AS (SELECT *, us - lag(us) OVER (PARTITION BY key ORDER BY us, seq) AS gap FROM tape), s AS (SELECT *, max(CASE WHEN gap IS NULL OR gap > 43200000000 THEN us END) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS start_us FROM g) SELECT seq, us - start_us > 3600000000 AS eligible FROM s")
+def t03(spark, d):
+    """Rows of the first hour after a start or a gap of 12 hours are a snapshot, not news."""
+    t = tape(spark, d).withColumn("gap", F.col("us") - F.lag("us").over(KEY))
+    start = F.max(F.when(F.col("gap").isNull() | (F.col("gap") > 12 * HOUR), F.col("us"))).over(W.upto(["key"], ["us", "seq"]))
+    return t.select("seq", (F.col("us") - start > HOUR).alias("eligible"))
+
+
+@query("T04_late_rows", "SELECT CASE WHEN k IS NULL THEN 'missing' WHEN k - 20 < -2 THEN 'early' WHEN k - 20 > 50 THEN 'late' ELSE 'kept' END AS outcome, count(*) AS n FROM tape GROUP BY 1")
+def t04(spark, d):
+    lag = F.col("k") - 20
+    outcome = F.when(F.col("k").isNull(), "missing").when(lag < -2, "early").when(lag > 50, "late").otherwise("kept")
+    s = _stream(spark, d).withWatermark("ts", "5 seconds").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return R.drain(s, "late", "complete")
+
+
+@query("T05_book_stream")
+def t05(spark, d):
+    """The stateful book over the stream; tests hold it against T05_book_batch."""
+    return R.drain(R.per_key(_stream(spark, d).select("key", "us", "seq", "kind", "cents", "k"), "key", R.BOOK, "prices array<long>, sizes array<long>", R.book_step), "book")
+
+
+@query("T05_book_batch")
+def t05_batch(spark, d):
+    return R.book_batch(tape(spark, d))
+
+
+@query("T06_rolling_features", "SELECT a.seq, CAST((SELECT count(*) FROM tape b WHERE b.key = a.key AND b.us > a.us - 43200000000 AND (b.us, b.seq) <= (a.us, a.seq)) AS BIGINT) AS n12, CAST((SELECT coalesce(sum(CASE b.kind WHEN 'purchase' THEN b.cents WHEN 'error' THEN -b.cents ELSE 0 END), 0) FROM tape b WHERE b.key = a.key AND b.us > a.us - 43200000000 AND (b.us, b.seq) <= (a.us, a.seq)) AS BIGINT) AS flow12 FROM tape a")
+def t06(spark, d):
+    flow = F.when(F.col("kind") == "purchase", F.col("cents")).when(F.col("kind") == "error", -F.col("cents")).otherwise(0)
+    t = tape(spark, d).select("key", "us", "seq", flow.alias("flow"), F.lit(1).alias("one"))
+    n = W.trailing_sum(t, ["key"], "us", "seq", "one", 12 * HOUR, "n12")
+    return W.trailing_sum(n, ["key"], "us", "seq", "flow", 12 * HOUR, "flow12").select("seq", "n12", "flow12")
+
+
+@query("T07_cooldown_stream", "WITH RECURSIVE c AS (SELECT key, us, seq FROM tape WHERE cents >= 10000), r AS (SELECT key, min(us) AS us FROM c GROUP BY key UNION ALL SELECT r.key, (SELECT min(c.us) FROM c WHERE c.key = r.key AND c.us >= r.us + 172800000000) FROM r WHERE EXISTS (SELECT 1 FROM c WHERE c.key = r.key AND c.us >= r.us + 172800000000)) SELECT c.key, c.us, c.seq FROM c JOIN r ON c.key = r.key AND c.us = r.us")
+def t07(spark, d):
+    s = _stream(spark, d).where("cents >= 10000").select("key", "us", "seq")
+    return R.drain(R.per_key(s, "key", "key long, us long, seq long", "last long", R.cooldown_step(2 * DAY)), "cooldown")
+
+
+@query("T08_triggers", "SELECT seq, CASE WHEN kind = 'signup' THEN 'start' WHEN kind = 'purchase' AND cents > 10000 THEN 'big_trade' WHEN kind = 'error' AND k > 90 THEN 'alarm' END AS trig FROM tape WHERE kind = 'signup' OR (kind = 'purchase' AND cents > 10000) OR (kind = 'error' AND k > 90)")
+def t08(spark, d):
+    trigger = F.when(F.col("kind") == "signup", "start").when((F.col("kind") == "purchase") & (F.col("cents") > 10000), "big_trade").when((F.col("kind") == "error") & (F.col("k") > 90), "alarm")
+    return R.drain(_stream(spark, d).select("seq", trigger.alias("trig")).where("trig IS NOT NULL"), "triggers")
+
+
+@query("T09_pairing", """
+WITH p AS (SELECT key, us, seq FROM tape WHERE kind = 'purchase'), q AS (SELECT key, us, seq, cents FROM tape WHERE kind = 'view'), a AS (SELECT p.*, CASE WHEN p.us - q.us <= 21600000000 THEN q.seq END AS before_seq FROM p ASOF LEFT JOIN q ON p.key = q.key AND p.us >= q.us),
+b AS (SELECT a.*, CASE WHEN q.us - a.us <= 21600000000 THEN q.seq END AS after_seq FROM a ASOF LEFT JOIN q ON a.key = q.key AND a.us <= q.us) SELECT seq, before_seq, after_seq FROM b WHERE before_seq IS NOT NULL OR after_seq IS NOT NULL""")
+def t09(spark, d):
+    """State rows with the quote before them (at most 6 h old) and after (at most 6 h late)."""
+    t = tape(spark, d)
+    q = t.where("kind = 'view'").select("key", "us", "seq", "cents")
+    a = asof(t.where("kind = 'purchase'").select("key", "us", "seq"), q, ["key"], "us", ["cents"], tolerance=6 * HOUR, prefix="b_")
+    b = asof(a, q, ["key"], "us", ["cents"], direction="forward", tolerance=6 * HOUR, prefix="a_")
+    return b.select("seq", F.col("b_seq").alias("before_seq"), F.col("a_seq").alias("after_seq")).where("before_seq IS NOT NULL OR after_seq IS NOT NULL")
+
+
+@query("T10_monotone_stream")
+def t10(spark, d):
+    s = _stream(spark, d).select("key", "us", "seq", "k")
+    return R.drain(R.per_key(s, "key", "key long, seq long, accepted boolean", "bar long", R.monotone_step), "monotone")
+
+
+@query("T11_session_windows", "WITH b AS (SELECT *, CASE WHEN us - lag(us) OVER w < 18000000000 THEN 0 ELSE 1 END AS brk FROM tape WINDOW w AS (PARTITION BY key ORDER BY us, seq)), s AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT key, count(*) AS n, sum(cents) AS cents, min(us) AS first_us FROM s GROUP BY key, s")
+def t11(spark, d):
+    t = tape(spark, d)
+    return t.groupBy("key", F.session_window("ts", "5 hours")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.min("us").alias("first_us")).drop("session_window")
+
+
+@query("T11_session_stream")
+def t11_stream(spark, d):
+    """Sessions that the watermark has closed, while the stream goes on."""
+    s = _stream(spark, d).withWatermark("ts", "1 hour").groupBy("key", F.session_window("ts", "5 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.min("us").alias("first_us")).drop("w")
+    return R.drain(s, "sessions")
+
+
+@query("T12_tumbling_metrics", "SELECT us // 86400000000 AS day, kind, count(*) AS n, min(cents) AS low, max(cents) AS high, sum(cents) AS cents FROM tape GROUP BY ALL")
+def t12(spark, d):
+    """The day is a number, so the session's time zone plays no part."""
+    s = _stream(spark, d).withWatermark("ts", "10 minutes").groupBy(F.floor(F.col("us") / DAY).alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.sum("cents").alias("cents"))
+    return R.drain(s, "tumbling", "complete")
+
+
+@query("T13_budgeted_stream", "SELECT key % 4 AS file, count(*) AS n, sum(cents) AS cents FROM tape GROUP BY 1")
+def t13(spark, d):
+    """Four files, one a trigger: a bounded batch however much has landed."""
+    path = R.scratch(spark, "landed")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    for i in range(4):
+        e.where(f"user_id % 4 = {i}").coalesce(1).write.mode("append").parquet(path)
+    s = R.tape_stream(spark, path, files_per_trigger=1).groupBy((F.col("key") % 4).alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return R.drain(s, "budget", "complete")
+
+
+@query("T14_continuous_scoring")
+def t14(spark, d):
+    """A frozen pipeline scores every batch of the stream; rows it can't score are counted out."""
+    from .models import fit_tick_model
+
+    model, out = fit_tick_model(spark, d), R.scratch(spark, "scored")
+
+    def score(df, _):
+        from pyspark.ml.functions import vector_to_array
+
+        rows = df.withColumns({"x1": F.col("cents") / 100, "x2": F.col("k").cast("double")}).where("x1 IS NOT NULL AND x2 IS NOT NULL")
+        model.transform(rows).select("seq", F.round(vector_to_array("probability")[1], 6).alias("p")).write.mode("append").parquet(out)
+
+    q = _stream(spark, d).writeStream.option("checkpointLocation", R.scratch(spark, "scored-state")).trigger(availableNow=True).foreachBatch(score).start()
+    q.awaitTermination()
+    return spark.read.schema("seq long, p double").parquet(out)
+
+
+@query("T15_median_bins", "SELECT key, us // 7200000000 AS bin, round(quantile_cont(cents, 0.5), 4) AS mid, count(*) AS n FROM tape WHERE kind IN ('view', 'click') GROUP BY ALL")
+def t15(spark, d):
+    b = tape(spark, d).where("kind IN ('view', 'click')").groupBy("key", F.floor(F.col("us") / (2 * HOUR)).alias("bin"))
+    return b.agg(F.round(F.percentile("cents", 0.5), 4).alias("mid"), F.count(F.lit(1)).alias("n"))
