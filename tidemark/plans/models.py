@@ -1,8 +1,350 @@
+"""Queries M01 to M22, U01 to U07, C30 and C32: splits, MLlib models and extension points.
+
+Splits, weights and closed-form fits have oracles; fitted models return rows only.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import aggregates as A
+from ..operators import windows as W
+from ..sources.tables import facts, steps, table, tape
+from .registry import query
+
+DAY = 86_400_000_000
+
+
+def _orders(spark, d):
+    """Facts with past form (strictly before the day), price and class; y = won."""
+    past = W.earlier(["entity"], "day")
+    won = F.coalesce(F.sum(F.col("won").cast("int")).over(past), F.lit(0))
+    f = facts(spark, d)
+    return f.select("fact", "entity", "day", "class", F.col("won").cast("double").alias("y"), A.shrunken(won, F.count(F.lit(1)).over(past), 0.33, 4.0).alias("form"), (F.col("cents") / 1e7).alias("price"))
+
+
+def _logistic(columns: list[str], **more) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x0"), StandardScaler(inputCol="x0", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, standardization=False, maxIter=25, **more)])
+
+
+def _scored(model, df):
+    return model.transform(df).withColumn("p", vector_to_array("probability")[1])
+
+
 def fit_tick_model(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import functions as F
-    from ..sources.tables import tape
+    """Whether a tick is a purchase, from price and k; used by the scoring stream."""
     t = tape(spark, d).withColumns({"x1": F.col("cents") / 100, "x2": F.col("k").cast("double"), "y": (F.col("kind") == "purchase").cast("double")}).dropna(subset=["x1", "x2"])
     return Pipeline(stages=[VectorAssembler(inputCols=["x1", "x2"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01)]).fit(t)
+
+
+@query("M01_fixed_step_folds", "WITH g AS (SELECT min(day) AS d0, max(day) AS d1 FROM facts), f AS (SELECT CAST(i AS INT) AS fold, d0 + 720 + i * 180 AS test_start FROM g, (SELECT unnest(range(0, 40)) AS i) WHERE d0 + 720 + i * 180 <= d1) SELECT f.fold, f.test_start, count(*) FILTER (WHERE x.day < f.test_start) AS train, count(*) FILTER (WHERE x.day >= f.test_start AND x.day < f.test_start + 180) AS test FROM f, facts x GROUP BY ALL HAVING count(*) FILTER (WHERE x.day < f.test_start) >= 500")
+def m01(spark, d):
+    """Folds grow by 180 days after the first 720; counted a day, not a row, at a time."""
+    f = facts(spark, d)
+    days = f.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    ends = f.agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
+    folds = ends.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("test_start", F.col("d0") + 720 + F.col("fold") * 180).where("test_start <= d1").select("fold", "test_start")
+    m = days.join(F.broadcast(folds), F.col("day") < F.col("test_start") + 180)
+    g = m.groupBy("fold", "test_start").agg(F.coalesce(F.sum(F.when(F.col("day") < F.col("test_start"), F.col("n"))), F.lit(0)).alias("train"), F.coalesce(F.sum(F.when(F.col("day") >= F.col("test_start"), F.col("n"))), F.lit(0)).alias("test"))
+    return g.where("train >= 500")
+
+
+BLOCKS = "b AS (SELECT fact, day, day + 30 AS ready, least((dense_rank() OVER (ORDER BY day) - 1) * 5 // (SELECT count(DISTINCT day) FROM facts), 4) AS block FROM facts), s AS (SELECT block, min(day) AS start FROM b GROUP BY block)"
+
+
+def blocks(spark, d):
+    """Days in five blocks of equal numbers of days; ranks are taken over days, not rows."""
+    f = facts(spark, d).select("fact", "day", (F.col("day") + 30).alias("ready"))
+    days = f.select("day").distinct()
+    ranked = days.withColumn("r", F.row_number().over(Window.orderBy("day")) - 1)
+    block = F.least(F.floor(F.col("r") * 5 / F.col("n")), F.lit(4)).cast("bigint")
+    named = ranked.join(F.broadcast(days.agg(F.count(F.lit(1)).alias("n")))).select("day", block.alias("block"))
+    return f.join(named, "day")
+
+
+@query("M02_chronological_blocks", f"WITH {BLOCKS} SELECT s.block, s.start, count(*) FILTER (WHERE b.block < s.block AND b.ready < s.start) AS train, count(*) FILTER (WHERE b.block = s.block) AS test, count(*) FILTER (WHERE b.block < s.block AND b.ready >= s.start) AS held_back FROM s, b GROUP BY ALL")
+def m02(spark, d):
+    b = blocks(spark, d)
+    s = b.groupBy("block").agg(F.min("day").alias("start")).select(F.col("block").alias("of"), "start")
+    m = b.groupBy("block", "day", "ready").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(s), F.col("block") <= F.col("of"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    old = F.col("block") < F.col("of")
+    return m.groupBy(F.col("of").alias("block_"), "start").agg(n(old & (F.col("ready") < F.col("start"))).alias("train"), n(F.col("block") == F.col("of")).alias("test"), n(old & (F.col("ready") >= F.col("start"))).alias("held_back")).withColumnRenamed("block_", "block")
+
+
+@query("M03_frozen_tail", "WITH q AS (SELECT quantile_disc(day, 0.8) AS cut FROM facts) SELECT day >= cut AS tail, count(*) AS n, count(DISTINCT day) AS stamps, min(day) AS first_day FROM facts, q GROUP BY 1")
+def m03(spark, d):
+    f = facts(spark, d)
+    days = f.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    cut = f.agg(F.expr("percentile_disc(0.8) WITHIN GROUP (ORDER BY day)").cast("bigint").alias("cut"))
+    return days.join(F.broadcast(cut)).groupBy((F.col("day") >= F.col("cut")).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("stamps"), F.min("day").alias("first_day"))
+
+
+@query("M04_grouped_folds", "SELECT entity % 5 AS fold, count(*) AS n, count(DISTINCT entity) AS groups FROM facts GROUP BY 1")
+def m04(spark, d):
+    e = facts(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy((F.col("entity") % 5).alias("fold")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+
+
+@query("M05_weighted_logistic")
+def m05(spark, d):
+    o = _orders(spark, d).withColumn("w", S.decay(F.lit(11600) - F.col("day"), 900.0))
+    p = Pipeline(stages=[StringIndexer(inputCol="class", outputCol="ci", handleInvalid="keep"), OneHotEncoder(inputCol="ci", outputCol="co"), VectorAssembler(inputCols=["form", "price", "co"], outputCol="x0"), StandardScaler(inputCol="x0", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.01, fitIntercept=False, standardization=False)])
+    train, test = o.where("day < 11000"), o.where("day >= 11000")
+    return _scored(p.fit(train), test).select("fact", "y", F.round("p", 6).alias("p"))
+
+
+@query("M06_mirrored")
+def m06(spark, d):
+    """Samples and their mirrors after the split; a prediction is averaged with its mirror's complement."""
+    s = steps(spark, d).select("grp", "step", F.col("qty").cast("double").alias("a"), F.col("disc").cast("double").alias("b"), F.col("win").cast("double").alias("y"))
+    mirror = lambda df: df.select("grp", "step", F.col("b").alias("a"), F.col("a").alias("b"), (1 - F.col("y")).alias("y"))
+    train, test = s.where("grp % 4 > 0"), s.where("grp % 4 = 0")
+    model = _logistic(["a", "b"], fitIntercept=False).fit(train.unionByName(mirror(train)))
+    p = _scored(model, test).select("grp", "step", "p").join(_scored(model, mirror(test)).select("grp", "step", (1 - F.col("p")).alias("q")), ["grp", "step"])
+    return p.select("grp", "step", F.round((F.col("p") + F.col("q")) / 2, 6).alias("p"))
+
+
+@query("M07_sample_weights", "SELECT fact, round(pow(2, -(11600 - day) / 365.0) * CASE WHEN class IN ('1-URGENT', '2-HIGH') THEN 1.5 ELSE 1 END / count(*) OVER (PARTITION BY entity), 8) AS w FROM facts")
+def m07(spark, d):
+    f = facts(spark, d)
+    each = f.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    w = S.decay(F.lit(11600) - F.col("day"), 365.0) * F.when(F.col("class").isin("1-URGENT", "2-HIGH"), 1.5).otherwise(1.0) / F.col("n")
+    return f.join(each, "entity").select("fact", F.round(w, 8).alias("w"))
+
+
+@query("M08_boosted_isotonic")
+def m08(spark, d):
+    o = _orders(spark, d)
+    x = VectorAssembler(inputCols=["form", "price"], outputCol="x")
+    model = Pipeline(stages=[x, GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7)]).fit(o.where("day < 10600"))
+    raw = _scored(model, o.where("day >= 10600")).select("fact", "day", "y", F.col("p").alias("raw"))
+    iso = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="p").fit(raw.where("day < 11000"))
+    return iso.transform(raw.where("day >= 11000")).select("fact", "y", F.round("raw", 6).alias("raw"), F.round("p", 6).alias("p"))
+
+
+@query("M09_platt")
+def m09(spark, d):
+    o = _orders(spark, d)
+    raw = _scored(_logistic(["form", "price"]).fit(o.where("day < 10600")), o.where("day >= 10600")).select("fact", "day", "y", S.logit("p").alias("z"))
+    platt = _logistic(["z"]).fit(raw.where("day < 11000"))
+    return _scored(platt, raw.where("day >= 11000")).select("fact", "y", F.round("p", 6).alias("p"))
+
+
+@query("M10_ridge")
+def m10(spark, d):
+    s = steps(spark, d).select("grp", "step", F.col("qty").cast("double"), F.col("disc").cast("double"), (F.col("cents") / 100).alias("y"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=["qty", "disc"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="y", regParam=1.0, elasticNetParam=0.0)]).fit(s.where("grp % 4 > 0"))
+    return model.transform(s.where("grp % 4 = 0")).agg(F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 2).alias("mae"), F.count(F.lit(1)).alias("n"))
+
+
+@query("M11_areas")
+def m11(spark, d):
+    """Areas for each label from all its vectors' first two numbers; -1 where a label has too few."""
+    e = table(spark, d, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(e)
+    big = [r["label"] for r in x.groupBy("label").count().where("count >= 20").orderBy("label").limit(4).collect()]
+    out = x.where(~F.col("label").isin(big)).select("vec_id", "label", F.lit(-1).alias("area")) if big else x.select("vec_id", "label", F.lit(-1).alias("area"))
+    for label in big:
+        ours = x.where(F.col("label") == label)
+        out = out.unionByName(KMeans(k=3, seed=1, featuresCol="x", predictionCol="area", maxIter=8).fit(ours).transform(ours).select("vec_id", "label", "area"))
+    return out
+
+
+@query("M12_entity_skill")
+def m12(spark, d):
+    """Skill of suppliers: coefficients of their indicators beside quantity and discount."""
+    s = steps(spark, d).select(F.col("supp").cast("string").alias("e"), F.col("qty").cast("double"), F.col("disc").cast("double"), F.col("win").cast("double").alias("y"))
+    index = StringIndexer(inputCol="e", outputCol="ei", stringOrderType="alphabetAsc")
+    model = Pipeline(stages=[index, OneHotEncoder(inputCol="ei", outputCol="eo", dropLast=False), VectorAssembler(inputCols=["qty", "disc", "eo"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=0.05, maxIter=20)]).fit(s)
+    names, beta = model.stages[0].labels, model.stages[-1].coefficients.toArray()
+    return spark.createDataFrame([(n, float(round(b, 5))) for n, b in zip(names, beta[2:], strict=True)], "entity string, skill double")
+
+
+@query("M13_permutation_importance")
+def m13(spark, d):
+    """Loss after a feature's values are dealt anew by hash order within each day."""
+    o = _orders(spark, d)
+    model = _logistic(["form", "price"]).fit(o.where("day < 11000"))
+    test = o.where("day >= 11000")
+    loss = lambda df, name: _scored(model, df).agg(*A.metrics("p", "y")).select(F.lit(name).alias("feature"), F.round("log_loss", 6).alias("log_loss"))
+    out = loss(test, "none")
+    for c in ("form", "price"):
+        month = F.floor(F.col("day") / 30).alias("m")
+        rank = lambda seed: F.row_number().over(Window.partitionBy("m").orderBy(F.xxhash64("fact", F.lit(seed))))  # noqa: B023, E731
+        left = test.withColumn("m", month).withColumn("r", rank(1))
+        right = test.withColumn("m", month).withColumn("r", rank(2)).select("m", "r", F.col(c).alias("new"))
+        out = out.unionByName(loss(left.join(right, ["m", "r"]).drop(c).withColumnRenamed("new", c), c))
+    return out
+
+
+@query("M14_ablation")
+def m14(spark, d):
+    o = _orders(spark, d)
+    train, test = o.where("day < 11000"), o.where("day >= 11000")
+    out = None
+    for name, cols in (("form", ["form"]), ("form+price", ["form", "price"])):
+        m = _scored(_logistic(cols).fit(train), test).agg(F.count(F.lit(1)).alias("n"), *A.metrics("p", "y")).select(F.lit(name).alias("variant"), "n", F.round("brier", 6).alias("brier"), F.round("log_loss", 6).alias("log_loss"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("M15_stacked")
+def m15(spark, d):
+    o = _orders(spark, d)
+    base = [_logistic([c]).fit(o.where("day < 10400")) for c in ("form", "price")]
+    z = o.where("day >= 10400")
+    for i, m in enumerate(base):
+        z = _scored(m, z).withColumn(f"z{i}", S.logit("p")).drop("p", "x0", "x", "rawPrediction", "probability", "prediction")
+    stack = _logistic(["z0", "z1"]).fit(z.where("day < 11000"))
+    return _scored(stack, z.where("day >= 11000")).select("fact", "y", F.round("p", 6).alias("p"))
+
+
+@query("M16_score_upcoming")
+def m16(spark, d):
+    """Open facts scored by a model of the decided ones, with form as of their own day."""
+    o = _orders(spark, d).join(facts(spark, d).select("fact", "status"), "fact")
+    model = _logistic(["form", "price"]).fit(o.where("status <> 'P'"))
+    return _scored(model, o.where("status = 'P'")).select("fact", F.round("p", 6).alias("p"))
+
+
+@query("M17_multinomial")
+def m17(spark, d):
+    s = steps(spark, d).select("grp", F.col("qty").cast("double"), F.col("disc").cast("double"), F.col("line").cast("double"), "flag")
+    p = Pipeline(stages=[StringIndexer(inputCol="flag", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=["qty", "disc", "line"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.01)])
+    t = p.fit(s.where("grp % 4 > 0")).transform(s.where("grp % 4 = 0"))
+    probs = vector_to_array("probability")
+    rank = F.size(F.filter(probs, lambda x: x > F.get(probs, F.col("y").cast("int"))))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((rank == 0).cast("int")), 4).alias("top1"), F.round(F.avg((rank <= 1).cast("int")), 4).alias("top2"))
+
+
+@query("M18_train_only_imputation", "WITH s AS (SELECT grp, step, CASE WHEN disc > 0 THEN CAST(disc AS DOUBLE) END AS x FROM steps), m AS (SELECT avg(x) AS a FROM s WHERE grp % 4 > 0) SELECT grp, step, round(coalesce(x, a), 6) AS x, x IS NULL AS missing FROM s, m WHERE grp % 4 = 0")
+def m18(spark, d):
+    s = steps(spark, d).select("grp", "step", F.when(F.col("disc") > 0, F.col("disc").cast("double")).alias("x"))
+    model = Imputer(inputCols=["x"], outputCols=["filled"], strategy="mean").fit(s.where("grp % 4 > 0"))
+    return model.transform(s.where("grp % 4 = 0")).select("grp", "step", F.round("filled", 6).alias("x"), F.col("x").isNull().alias("missing"))
+
+
+@query("M19_surprise_features")
+def m19(spark, d):
+    """Residuals of a past-only model, fed back as each entity's mean of its last three."""
+    o = _orders(spark, d)
+    p = _scored(_logistic(["form", "price"]).fit(o.where("day < 10400")), o.where("day >= 10400")).withColumn("r", F.col("y") - F.col("p"))
+    last = Window.partitionBy("entity").orderBy("day", "fact").rowsBetween(-3, -1)
+    return p.select("fact", F.round(F.avg("r").over(last), 6).alias("surprise"))
+
+
+@query("M20_elo_by_pool")
+def m20(spark, d):
+    """Elo within pools (nations); contests of one day are rated from the ratings before it."""
+
+    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
+        rating, out = {}, []
+        for _, day in pdf.sort_values(["day", "fact"]).groupby("day", sort=True):
+            a = day["entity"].map(lambda e: rating.get(e, 1500.0))
+            b = day["rival"].map(lambda e: rating.get(e, 1500.0))
+            p = 1 / (1 + 10 ** ((b - a) / 400))
+            out.append(day.assign(p=p)[["fact", "p"]])
+            move = 24 * (day["won"].astype(float) - p)
+            both = pd.concat([pd.Series(move.values, day["entity"].values), pd.Series(-move.values, day["rival"].values)]).groupby(level=0).sum()
+            for e, m in both.items():
+                rating[e] = rating.get(e, 1500.0) + m
+        return pd.concat(out) if out else pd.DataFrame({"fact": [], "p": []})
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("pool"))
+    f = facts(spark, d).join(c, "entity").select("fact", "day", "entity", "won", "pool", (F.col("entity") - F.col("entity") % 25 + (F.col("entity") + 7) % 25).alias("rival"))
+    return f.groupBy("pool").applyInPandas(rate, "fact long, p double").select("fact", F.round("p", 6).alias("p"))
+
+
+@query("M21_scheme_tournament", "WITH c AS (SELECT unnest([10, 20, 30]) AS q, unnest([2, 4, 6]) AS x UNION ALL SELECT 25, 0), r AS (SELECT c.q, c.x, count(*) AS n, sum(CASE WHEN s.win THEN s.cents ELSE -s.cents END) AS net FROM c JOIN steps s ON s.qty >= c.q AND s.disc >= c.x GROUP BY ALL) SELECT arg_max(q, (net // 1000, -q)) AS q, arg_max(x, (net // 1000, -q)) AS x, max(net) AS net, count(*) AS schemes FROM r WHERE n >= 50")
+def m21(spark, d):
+    c = spark.createDataFrame([(10, 2), (20, 4), (30, 6), (25, 0)], "q int, x int")
+    r = steps(spark, d).join(F.broadcast(c), (F.col("qty") >= F.col("q")) & (F.col("disc") >= F.col("x"))).groupBy("q", "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("win"), F.col("cents")).otherwise(-F.col("cents"))).alias("net")).where("n >= 50")
+    best = F.max_by(F.struct("q", "x"), F.struct(F.floor(F.col("net") / 1000), -F.col("q")))
+    return r.agg(best.alias("b"), F.max("net").alias("net"), F.count(F.lit(1)).alias("schemes")).select("b.q", "b.x", "net", "schemes")
+
+
+@query("M22_affine_fit", "WITH g AS (SELECT side, count(*) AS n, sum(qty) AS sx, sum(disc) AS sy, sum(qty * qty) AS sxx, sum(qty * disc) AS sxy FROM steps WHERE grp % 5 > 0 GROUP BY side), f AS (SELECT side, (n * sxy - sx * sy) * 1.0 / (n * sxx - sx * sx) AS b, sy * 1.0 / n - (n * sxy - sx * sy) * 1.0 / (n * sxx - sx * sx) * sx / n AS a FROM g) SELECT f.side, round(b, 6) AS slope, round(a, 6) AS base, round(avg(abs(s.disc - (a + b * s.qty))), 4) AS residual FROM f JOIN steps s ON f.side = s.side AND s.grp % 5 = 0 GROUP BY f.side, a, b")
+def m22(spark, d):
+    s = steps(spark, d)
+    g = s.where("grp % 5 > 0").groupBy("side").agg(F.regr_slope("disc", "qty").alias("b"), F.regr_intercept("disc", "qty").alias("a"))
+    return s.where("grp % 5 = 0").join(g, "side").groupBy("side", "a", "b").agg(F.round(F.avg(F.abs(F.col("disc") - (F.col("a") + F.col("b") * F.col("qty")))), 4).alias("residual")).select("side", F.round("b", 6).alias("slope"), F.round("a", 6).alias("base"), "residual")
+
+
+@query("C30_exit_forecast")
+def c30(spark, d):
+    """Exit level of a session from a model of earlier sessions only."""
+    t = tape(spark, d).withColumn("week", F.floor(F.col("us") / (7 * DAY)))
+    s = t.groupBy("key", "week").agg(F.min_by("cents", "us").cast("double").alias("start"), F.avg("k").alias("k"), F.max_by("cents", "us").cast("double").alias("y"))
+    first = s.agg(F.min("week")).first()[0]
+    model = Pipeline(stages=[VectorAssembler(inputCols=["start", "k"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="y", regParam=1.0)]).fit(s.where(F.col("week") <= first + 1))
+    return model.transform(s.where(F.col("week") > first + 1)).select("key", "week", F.round("prediction", 2).alias("forecast"))
+
+
+@query("C32_signature_folds")
+def c32(spark, d):
+    """Out-of-fold predictions with an encoding learnt on the other folds, and AUC a side."""
+    s = steps(spark, d).withColumns({"y": F.col("win").cast("double"), "fold": F.pmod(F.xxhash64("grp"), F.lit(3)), "q": F.col("qty").cast("double")})
+    out = None
+    for k in range(3):
+        train, test = s.where(f"fold <> {k}"), s.where(f"fold = {k}")
+        enc = train.groupBy("part").agg(A.shrunken(F.sum("y"), F.count(F.lit(1)), 0.33, 5).alias("sig"))
+        with_ = lambda df: df.join(enc, "part", "left").withColumn("sig", F.coalesce("sig", F.lit(0.33)))  # noqa: B023, E731
+        p = _scored(_logistic(["q", "sig"]).fit(with_(train)), with_(test)).select("side", "y", F.round("p", 4).alias("p"))
+        out = p if out is None else out.unionByName(p)
+    return A.auc(out, ["side"], "p", "y").withColumn("auc", F.round("auc", 4))
+
+
+@query("U01_row_function")
+def u01(spark, d):
+    """True NFKD has no built-in: an Arrow function over whole columns."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def ascii_name(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().casefold())
+
+    return table(spark, d, "documents").select("doc_id", F.length(ascii_name("text")).cast("long").alias("plain_chars"))
+
+
+@query("U02_custom_aggregate", "SELECT supp, round(quantile_cont(qty, 0.5), 4) AS mid, max(qty) - min(qty) AS span FROM steps GROUP BY supp")
+def u02(spark, d):
+    return steps(spark, d).groupBy("supp").agg(F.round(F.percentile("qty", 0.5), 4).alias("mid"), (F.max("qty") - F.min("qty")).alias("span"))
+
+
+@query("U03_group_function", "SELECT key, count(*) AS n, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS ups FROM (SELECT key, cents - lag(cents) OVER (PARTITION BY key ORDER BY us, seq) AS d FROM tape) GROUP BY key")
+def u03(spark, d):
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["us", "seq"])
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [len(pdf)], "ups": [int((pdf["cents"].diff() > 0).sum())]})
+
+    return tape(spark, d).select("key", "us", "seq", "cents").groupBy("key").applyInPandas(whole, "key long, n long, ups long")
+
+
+@query("U04_table_function", "SELECT grp, step, CAST(unnest(range(1, qty // 10 + 1)) AS BIGINT) AS level FROM steps WHERE step = 1 AND qty >= 10")
+def u04(spark, d):
+    s = steps(spark, d).where("step = 1 AND qty >= 10")
+    return s.select("grp", "step", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("qty") / 10))).alias("level"))
+
+
+@query("U05_pluggable_value", "SELECT grp, step, round(qty / 50.0 - disc / 10.0, 4) AS edge_a, round(0.5 - disc / 10.0, 4) AS edge_b FROM steps")
+def u05(spark, d):
+    """The fair value is a Column that the caller passes."""
+    edge = lambda fair: F.round(fair - F.col("disc") / 10, 4)
+    return steps(spark, d).select("grp", "step", edge(F.col("qty") / 50).alias("edge_a"), edge(F.lit(0.5)).alias("edge_b"))
+
+
+@query("U07_injected_clock", "SELECT fact, 11000 - day AS age, 11000 - day BETWEEN 0 AND 365 AS recent FROM facts")
+def u07(spark, d):
+    """Now is an argument, as a literal column."""
+    now = F.lit(11000).cast("long")
+    return facts(spark, d).select("fact", (now - F.col("day")).alias("age"), (now - F.col("day")).between(0, 365).alias("recent"))
