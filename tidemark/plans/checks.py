@@ -11,7 +11,10 @@ from ..sources.tables import facts, steps, table, tape
 from .registry import query
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-KEY = Window.partitionBy("key").orderBy("us", "seq")
+
+
+def _key():
+    return Window.partitionBy("key").orderBy("us", "seq")
 
 
 @query("F01_finite_number", "SELECT seq, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN CAST(k AS DOUBLE) ELSE CAST(cents AS DOUBLE) END AS num FROM tape")
@@ -106,7 +109,7 @@ QA = "qa AS (SELECT kind, count(*) AS n, round(avg(CASE WHEN cents > 500 THEN 1.
 
 
 def capture_qa(spark, d):
-    t = tape(spark, d).withColumns({"gap": F.col("us") - F.lag("us").over(KEY), "same": F.coalesce(F.col("k") == F.lag("k").over(KEY), F.lit(False))})
+    t = tape(spark, d).withColumns({"gap": F.col("us") - F.lag("us").over(_key()), "same": F.coalesce(F.col("k") == F.lag("k").over(_key()), F.lit(False))})
     return t.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("cents") > 500).cast("int")), 6).alias("valid"), F.round(F.percentile("gap", 0.5), 2).alias("gap50"), F.round(F.percentile("gap", 0.95), 2).alias("gap95"), F.count_if(F.col("gap") > 10 * HOUR).alias("stale"), F.count_if("same").alias("repeated"))
 
 
@@ -127,7 +130,7 @@ def f15(spark, d):
 WITH s AS (SELECT *, count(*) FILTER (WHERE kind = 'signup') OVER w AS segment, us - lag(us) OVER (PARTITION BY key ORDER BY us, seq) AS gap FROM tape WINDOW w AS (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING))
 SELECT key, segment, count(*) AS n, min(us) AS start_us, max(us) AS end_us, coalesce(max(gap) FILTER (WHERE kind = 'signup') <= 18000000000, false) AS restart FROM s GROUP BY key, segment""")
 def f16(spark, d):
-    t = tape(spark, d).withColumns({"segment": F.count(F.when(F.col("kind") == "signup", 1)).over(W.upto(["key"], ["us", "seq"])), "gap": F.col("us") - F.lag("us").over(KEY)})
+    t = tape(spark, d).withColumns({"segment": F.count(F.when(F.col("kind") == "signup", 1)).over(W.upto(["key"], ["us", "seq"])), "gap": F.col("us") - F.lag("us").over(_key())})
     restart = F.coalesce(F.max(F.when(F.col("kind") == "signup", F.col("gap"))) <= 5 * HOUR, F.lit(False))
     return t.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), restart.alias("restart"))
 

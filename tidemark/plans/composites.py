@@ -17,8 +17,14 @@ from .joins import STUDY, study
 from .registry import query
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-GRP = Window.partitionBy("grp").orderBy("step")
-KEY = Window.partitionBy("key").orderBy("us", "seq")
+
+
+def _grp():
+    return Window.partitionBy("grp").orderBy("step")
+
+
+def _key():
+    return Window.partitionBy("key").orderBy("us", "seq")
 
 
 @query("W31_wide_horizons", f"WITH RECURSIVE {STUDY} SELECT key, seq, max(pnl) FILTER (WHERE h = 6) AS h6, max(pnl) FILTER (WHERE h = 24) AS h24, max(pnl) FILTER (WHERE h = 72) AS h72 FROM study GROUP BY key, seq")
@@ -107,7 +113,7 @@ def c09(spark, d):
 @query("C10_decision_transitions", "WITH t AS (SELECT side, win, CASE WHEN qty < 15 THEN 'low' WHEN qty < 35 THEN 'mid' ELSE 'high' END AS tier, lag(CASE WHEN qty < 15 THEN 'low' WHEN qty < 35 THEN 'mid' ELSE 'high' END) OVER w AS prev_tier, lag(win) OVER w AS prev_win FROM steps WINDOW w AS (PARTITION BY grp ORDER BY step)) SELECT *, round(n * 1.0 / sum(n) OVER (PARTITION BY prev_tier, prev_win), 6) AS share FROM (SELECT prev_tier, prev_win, tier, count(*) AS n FROM t WHERE prev_tier IS NOT NULL GROUP BY prev_tier, prev_win, tier)")
 def c10(spark, d):
     t = steps(spark, d).withColumn("tier", S.bucket("qty", [15, 35], ["low", "mid", "high"]))
-    t = t.select("tier", F.lag("tier").over(GRP).alias("prev_tier"), F.lag("win").over(GRP).alias("prev_win")).where("prev_tier IS NOT NULL")
+    t = t.select("tier", F.lag("tier").over(_grp()).alias("prev_tier"), F.lag("win").over(_grp()).alias("prev_win")).where("prev_tier IS NOT NULL")
     n = t.groupBy("prev_tier", "prev_win", "tier").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("prev_tier", "prev_win")), 6))
 

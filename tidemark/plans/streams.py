@@ -12,7 +12,10 @@ from ..streaming import runs as R
 from .registry import query
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-KEY = Window.partitionBy("key").orderBy("us", "seq")
+
+
+def _key():
+    return Window.partitionBy("key").orderBy("us", "seq")
 
 
 def _stream(spark, d, **more):
@@ -45,7 +48,7 @@ def t02_change(spark, d):
 @query("T03_eligibility", "WITH g AS (SELECT *, us - lag(us) OVER (PARTITION BY key ORDER BY us, seq) AS gap FROM tape), s AS (SELECT *, max(CASE WHEN gap IS NULL OR gap > 43200000000 THEN us END) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS start_us FROM g) SELECT seq, us - start_us > 3600000000 AS eligible FROM s")
 def t03(spark, d):
     """Rows of the first hour after a start or a gap of 12 hours are a snapshot, not news."""
-    t = tape(spark, d).withColumn("gap", F.col("us") - F.lag("us").over(KEY))
+    t = tape(spark, d).withColumn("gap", F.col("us") - F.lag("us").over(_key()))
     start = F.max(F.when(F.col("gap").isNull() | (F.col("gap") > 12 * HOUR), F.col("us"))).over(W.upto(["key"], ["us", "seq"]))
     return t.select("seq", (F.col("us") - start > HOUR).alias("eligible"))
 
@@ -160,3 +163,16 @@ def t14(spark, d):
 def t15(spark, d):
     b = tape(spark, d).where("kind IN ('view', 'click')").groupBy("key", F.floor(F.col("us") / (2 * HOUR)).alias("bin"))
     return b.agg(F.round(F.percentile("cents", 0.5), 4).alias("mid"), F.count(F.lit(1)).alias("n"))
+
+
+@query("U06_keyed_state", "SELECT seq, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS n, sum(cents) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS total FROM tape")
+def u06(spark, d):
+    """A caller's own state: number and total so far of each key, across batches."""
+
+    def step(key, rows, state):
+        n, total = state or (0, 0)
+        out = rows[["seq"]].assign(n=range(n + 1, n + 1 + len(rows)), total=rows["cents"].cumsum() + total)
+        return out, (n + len(rows), int(out["total"].iloc[-1]))
+
+    s = _stream(spark, d).select("key", "us", "seq", "cents")
+    return R.drain(R.per_key(s, "key", "seq long, n long, total long", "n long, total long", step), "state")

@@ -12,13 +12,19 @@ from ..sources.tables import facts, steps, table, tape
 from .registry import query
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-GRP = Window.partitionBy("grp").orderBy("step")
-KEY = Window.partitionBy("key").orderBy("us", "seq")
+
+
+def _grp():
+    return Window.partitionBy("grp").orderBy("step")
+
+
+def _key():
+    return Window.partitionBy("key").orderBy("us", "seq")
 
 
 @query("W01_lag_lead_diff", "SELECT seq, lag(cents) OVER w AS prev, lead(cents) OVER w AS next, cents - lag(cents) OVER w AS diff, us - lag(us) OVER w AS gap FROM tape WINDOW w AS (PARTITION BY key ORDER BY us, seq)")
 def w01(spark, d):
-    return tape(spark, d).select("seq", F.lag("cents").over(KEY).alias("prev"), F.lead("cents").over(KEY).alias("next"), (F.col("cents") - F.lag("cents").over(KEY)).alias("diff"), (F.col("us") - F.lag("us").over(KEY)).alias("gap"))
+    return tape(spark, d).select("seq", F.lag("cents").over(_key()).alias("prev"), F.lead("cents").over(_key()).alias("next"), (F.col("cents") - F.lag("cents").over(_key())).alias("diff"), (F.col("us") - F.lag("us").over(_key())).alias("gap"))
 
 
 @query("W02_running_score", """
@@ -37,16 +43,16 @@ def w02(spark, d):
 WITH i AS (SELECT *, step - row_number() OVER (PARTITION BY grp, win ORDER BY step) AS isl FROM steps), r AS (SELECT *, row_number() OVER (PARTITION BY grp, win, isl ORDER BY step) * CASE WHEN win THEN 1 ELSE -1 END AS streak FROM i)
 SELECT grp, step, coalesce(lag(streak) OVER (PARTITION BY grp ORDER BY step), 0) AS entering FROM r""")
 def w03(spark, d):
-    s = W.islands(steps(spark, d), ["grp"], ["step"], F.col("win") != F.lag("win").over(GRP))
+    s = W.islands(steps(spark, d), ["grp"], ["step"], F.col("win") != F.lag("win").over(_grp()))
     length = F.row_number().over(Window.partitionBy("grp", "island").orderBy("step")) * F.when(F.col("win"), 1).otherwise(-1)
-    return s.withColumn("streak", length.cast("long")).select("grp", "step", F.coalesce(F.lag("streak").over(GRP), F.lit(0)).alias("entering"))
+    return s.withColumn("streak", length.cast("long")).select("grp", "step", F.coalesce(F.lag("streak").over(_grp()), F.lit(0)).alias("entering"))
 
 
 @query("W04_forward_majority", """
 WITH f AS (SELECT grp, step, sum(CASE WHEN win THEN 1 ELSE 0 END) OVER w AS wins, count(*) OVER w AS n FROM steps WINDOW w AS (PARTITION BY grp ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
 SELECT grp, step, wins >= 2 AS label FROM f WHERE n = 3""")
 def w04(spark, d):
-    w = GRP.rowsBetween(0, 2)
+    w = _grp().rowsBetween(0, 2)
     return steps(spark, d).select("grp", "step", (F.sum(F.col("win").cast("int")).over(w) >= 2).alias("label"), F.count(F.lit(1)).over(w).alias("n")).where("n = 3").drop("n")
 
 
@@ -60,7 +66,7 @@ WITH m AS (SELECT key, us, seq, cents, CAST(pow(cents - lag(cents) OVER (PARTITI
 SELECT a.seq, round(sqrt(CAST((SELECT coalesce(sum(b.sq), 0) FROM m b WHERE b.key = a.key AND b.us > a.us - 86400000000 AND (b.us, b.seq) <= (a.us, a.seq)) AS DOUBLE)), 4) AS vol FROM m a""")
 def w06(spark, d):
     t = tape(spark, d).select("key", "us", "seq", "cents")
-    move = F.col("cents") - F.lag("cents").over(KEY)
+    move = F.col("cents") - F.lag("cents").over(_key())
     return W.trailing_sum(t.withColumn("sq", move * move), ["key"], "us", "seq", "sq", DAY, "total").select("seq", F.round(F.sqrt("total"), 4).alias("vol"))
 
 
@@ -87,7 +93,7 @@ WITH f AS (SELECT *, cents >= 5000 AS hot, row_number() OVER (PARTITION BY key O
 SELECT key, min(seq) AS first_seq, count(*) AS n, max(us) - min(us) AS span, max(cents) AS peak FROM i WHERE hot GROUP BY key, isl""")
 def w09(spark, d):
     t = tape(spark, d).withColumn("hot", F.col("cents") >= 5000)
-    runs = W.islands(t, ["key"], ["us", "seq"], F.col("hot") != F.lag("hot").over(KEY)).where("hot")
+    runs = W.islands(t, ["key"], ["us", "seq"], F.col("hot") != F.lag("hot").over(_key())).where("hot")
     return runs.groupBy("key", "island").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"), (F.max("us") - F.min("us")).alias("span"), F.max("cents").alias("peak")).drop("island")
 
 
@@ -95,7 +101,7 @@ def w09(spark, d):
 WITH l AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 14400000000 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS brk FROM tape WINDOW w AS (PARTITION BY key ORDER BY us, seq)), c AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS chain FROM l)
 SELECT key, kind, min(seq) AS first_seq, count(*) AS n, sum(cents) AS cents FROM c GROUP BY key, chain, kind HAVING count(*) >= 2""")
 def w10(spark, d):
-    same = (F.col("us") - F.lag("us").over(KEY) <= 4 * HOUR) & (F.lag("kind").over(KEY) == F.col("kind"))
+    same = (F.col("us") - F.lag("us").over(_key()) <= 4 * HOUR) & (F.lag("kind").over(_key()) == F.col("kind"))
     c = W.islands(tape(spark, d), ["key"], ["us", "seq"], ~same, "chain")
     return c.groupBy("key", "chain", "kind").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")).where("n >= 2").drop("chain")
 
@@ -146,7 +152,7 @@ SELECT seq, move, new - old AS other_move, coalesce(sign(move) * sign(new - old)
 def w17(spark, d):
     t = tape(spark, d).select("key", "us", "seq", "cents", "kind")
     v, c = t.where("kind = 'view'").drop("kind"), t.where("kind = 'click'").drop("kind")
-    j = v.withColumn("move", F.col("cents") - F.lag("cents").over(KEY)).where(F.abs("move") >= 5000)
+    j = v.withColumn("move", F.col("cents") - F.lag("cents").over(_key())).where(F.abs("move") >= 5000)
     b = asof(asof(j, c, ["key"], "us", ["cents"], prefix="b_"), c, ["key"], "us", ["cents"], direction="forward", prefix="a_")
     other = F.col("a_cents") - F.col("b_cents")
     return b.select("seq", "move", other.alias("other_move"), F.coalesce(F.signum("move") * F.signum(other) < 0, F.lit(False)).alias("mirrored"))
@@ -186,7 +192,7 @@ def w21(spark, d):
 WITH l AS (SELECT *, lag(kind) OVER w IS NOT DISTINCT FROM kind AND row_number() OVER w > 1 AS same FROM tape WINDOW w AS (PARTITION BY key ORDER BY us, seq)), i AS (SELECT *, count(*) FILTER (WHERE NOT same) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS isl FROM l)
 SELECT key, kind, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM i GROUP BY key, isl, kind""")
 def w22(spark, d):
-    new = ~F.lag("kind").over(KEY).eqNullSafe(F.col("kind"))
+    new = ~F.lag("kind").over(_key()).eqNullSafe(F.col("kind"))
     i = W.islands(tape(spark, d), ["key"], ["us", "seq"], new)
     return i.groupBy("key", "island", "kind").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")).drop("island")
 
@@ -215,7 +221,7 @@ def w24(spark, d):
 WITH e AS (SELECT key, min_by(cents, (us, seq)) AS entry, min((us, seq)) AS at FROM tape GROUP BY key), x AS (SELECT t.key, e.entry, t.us, t.seq, t.cents, t.cents >= e.entry + 3000 AS tp, t.cents <= e.entry - 3000 AS sl FROM tape t JOIN e ON t.key = e.key WHERE (t.us, t.seq) > e.at)
 SELECT key, coalesce(min_by(CASE WHEN tp THEN 'TP' ELSE 'SL' END, (us, seq)) FILTER (WHERE tp OR sl), 'END') AS outcome, coalesce(min_by(cents, (us, seq)) FILTER (WHERE tp OR sl), max_by(cents, (us, seq))) - min(entry) AS pnl FROM x GROUP BY key""")
 def w25(spark, d):
-    t = tape(spark, d).withColumn("entry", F.first("cents").over(KEY)).withColumn("rn", F.row_number().over(KEY)).where("rn > 1")
+    t = tape(spark, d).withColumn("entry", F.first("cents").over(_key())).withColumn("rn", F.row_number().over(_key())).where("rn > 1")
     hit = F.when(F.col("cents") >= F.col("entry") + 3000, "TP").when(F.col("cents") <= F.col("entry") - 3000, "SL")
     at = F.struct("us", "seq")
     t = t.withColumn("hit", hit).withColumn("at", at)
@@ -273,7 +279,7 @@ WITH s AS (SELECT key, us, seq, k // 10 AS a, lag(k // 10) OVER (PARTITION BY ke
 SELECT CASE WHEN pa IS NULL THEN 'first' WHEN a < pa OR b < pb THEN 'backwards' WHEN (a - pa) + (b - pb) = 1 THEN 'one' WHEN a = pa AND b = pb THEN 'same' ELSE 'jump' END AS reason, count(*) AS n FROM s GROUP BY 1""")
 def w32(spark, d):
     t = tape(spark, d).select("key", "us", "seq", F.floor(F.col("k") / 10).alias("a"), F.floor(F.col("cents") / 1000).alias("b"))
-    t = t.withColumns({"da": F.col("a") - F.lag("a").over(KEY), "db": F.col("b") - F.lag("b").over(KEY)})
+    t = t.withColumns({"da": F.col("a") - F.lag("a").over(_key()), "db": F.col("b") - F.lag("b").over(_key())})
     reason = F.when(F.col("da").isNull(), "first").when((F.col("da") < 0) | (F.col("db") < 0), "backwards").when(F.col("da") + F.col("db") == 1, "one").when((F.col("da") == 0) & (F.col("db") == 0), "same").otherwise("jump")
     return t.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -307,7 +313,7 @@ def w34(spark, d):
     w = W.upto(["key"], ["us", "seq"])
     last = lambda kind: F.last(F.when(F.col("kind") == kind, F.col("cents")), True).over(w)
     m = tape(spark, d).withColumns({"bid": last("view"), "ask": last("click")}).withColumn("bad", F.coalesce(F.col("bid") > F.col("ask"), F.lit(False)))
-    i = W.islands(m, ["key"], ["us", "seq"], F.col("bad") != F.lag("bad").over(KEY)).where("bad")
+    i = W.islands(m, ["key"], ["us", "seq"], F.col("bad") != F.lag("bad").over(_key())).where("bad")
     return i.groupBy("key", "island").agg(F.min("seq").alias("first_seq"), F.max(F.col("bid") - F.col("ask")).alias("profit"), F.min("k").alias("size"), F.count(F.lit(1)).alias("n")).where("profit >= 2000 AND n >= 2").drop("island")
 
 
