@@ -37,9 +37,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """df in no more tasks than so many rows need, eight at least: small tables would
+    otherwise cost a task for every shuffle partition at each step."""
+    return df.coalesce(max(8, -(-rows // per_task)))
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage
-    in a way that survives lost executors."""
+    in a way that survives lost executors.  rows: about how many there are, if known."""
+    df = df if rows is None else sized(df, rows)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
