@@ -96,7 +96,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat id and text, one."""
-    found = materialize(exact_dedup(docs, id_col, text_col), "exact").where("kept").select(F.col("doc_id").alias("_kept_id"))
-    stay = docs.join(found, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    found = materialize(exact_dedup(docs, id_col, text_col), "exact").where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    # Ids need not be unique: a row stays if its id and its text do.
+    hashed = docs.withColumn("_sha", F.sha2(normalized(F.col(text_col)), 256))
+    stay = hashed.join(found, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
     again = docs.groupBy(F.col(id_col)).count().where("count > 1").limit(1)
-    return stay.dropDuplicates([id_col]) if not again.isEmpty() else stay
+    return (stay if again.isEmpty() else stay.dropDuplicates([id_col, "_sha"])).drop("_sha")

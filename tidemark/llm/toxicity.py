@@ -26,8 +26,8 @@ from .common import held_out
 
 #: Texts that a fit uses at most (a few more, as they are drawn by hash), and features it keeps.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 2000
-#: Texts of P in which a feature must be.
-LEAST = 4
+#: Texts of P in which a feature must be, and how far above its rate in U, in standard errors.
+LEAST, ERRORS = 3, 4.0
 STEPS, RATE, DECAY = 300, 0.1, 2e-5
 THRESHOLD = 0.3
 #: Words whose features a worker keeps in mind.
@@ -81,14 +81,13 @@ def train(texts: list[np.ndarray], positive: np.ndarray, prior: float, size: int
     for t in range(1, steps + 1):
         z = b + np.bincount(row, w[col], len(texts))
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss0 = -np.log1p(-np.clip(s, 0, 1 - 1e-12))  # logistic loss of label 0
-        rest = loss0[u].mean() - prior * loss0[p].mean()
+        slope = s * (1 - s)  # of the bounded sigmoid loss: a sure P text can't outweigh all of U
+        rest = s[u].mean() - prior * s[p].mean()
         g = np.zeros(len(texts))
         if rest >= 0:
-            g[p] = (prior * (s[p] - 1) - prior * s[p]) / p.sum()
-            g[u] = s[u] / u.sum()
+            g[p], g[u] = -2 * prior * slope[p] / p.sum(), slope[u] / u.sum()
         else:  # back from where the corrected risk of label 0 is negative
-            g[p], g[u] = prior * s[p] / p.sum(), -s[u] / u.sum()
+            g[p], g[u] = prior * slope[p] / p.sum(), -slope[u] / u.sum()
         gw, gb = np.bincount(col, g[row], size) + DECAY * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -128,9 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not sizes.get(True) or not sizes.get(False):
         return None
     by = each.select(F.explode("f").alias("f"), "p").groupBy("f").agg(F.count_if("p").alias("np"), F.count_if(~F.col("p")).alias("nu"))
-    rate_p, rate_u = F.col("np") / sizes[True], F.col("nu") / sizes[False]
-    apart = F.abs(rate_p - rate_u) / F.sqrt((rate_p + rate_u) / 2)
-    kept = [r["f"] for r in by.where(F.col("np") >= LEAST).orderBy(apart.desc(), "f").limit(FEATURES).collect()]
+    # How many standard errors the feature's rate in P is above that in U: chance alone gives
+    # few that pass, however small the sample, so plain words don't take part.
+    rate = (F.col("np") + F.col("nu")) / (sizes[True] + sizes[False])
+    error = F.sqrt(rate * (1 - rate) * (1 / sizes[True] + 1 / sizes[False]))
+    above = F.try_divide(F.col("np") / sizes[True] - F.col("nu") / sizes[False], error)
+    kept = [r["f"] for r in by.where((F.col("np") >= LEAST) & (above >= ERRORS)).orderBy(above.desc(), "f").limit(FEATURES).collect()]
     if not kept:
         return None
     at = {f: i for i, f in enumerate(kept)}
