@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,14 +46,18 @@ def overlap_pairs(sets: DataFrame, key: str, member: str, least: int, percent: i
     return sized.where(100 * F.col("common") >= percent * union).select("a", "b", "common", union.alias("in_all"))
 
 
-def min_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """Connected components of edges (a, b): id, comp (the smallest id reached).  Labels are
-    halved along pointers each round; every round is written, so plans stay short."""
-    spark = edges.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Set the folder that checkpoints go to, unless there is one."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-"))
+
+
+def min_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """Connected components of edges (a, b): id, comp (the smallest id reached).  Labels are
+    halved along pointers each round; every round is written, so plans stay short."""
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct()
     for _ in range(rounds):

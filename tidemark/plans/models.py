@@ -8,7 +8,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import clusters as C
 from ..operators import windows as W
 from ..sources.tables import facts, steps, table, tape
 from .registry import query
@@ -150,14 +150,8 @@ def m10(spark, d):
 @query("M11_areas")
 def m11(spark, d):
     """Areas for each label from all its vectors' first two numbers; -1 where a label has too few."""
-    e = table(spark, d, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    x = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(e)
-    big = [r["label"] for r in x.groupBy("label").count().where("count >= 20").orderBy("label").limit(4).collect()]
-    out = x.where(~F.col("label").isin(big)).select("vec_id", "label", F.lit(-1).alias("area")) if big else x.select("vec_id", "label", F.lit(-1).alias("area"))
-    for label in big:
-        ours = x.where(F.col("label") == label)
-        out = out.unionByName(KMeans(k=3, seed=1, featuresCol="x", predictionCol="area", maxIter=8).fit(ours).transform(ours).select("vec_id", "label", "area"))
-    return out
+    e = table(spark, d, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL")
+    return C.areas(e.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b")), 20, 8).select("vec_id", "label", "area")
 
 
 @query("M12_entity_skill")
