@@ -1,7 +1,8 @@
 """Queries over all rows: small tables with a known or brute-force answer."""
 
 import random
-from itertools import groupby
+from datetime import datetime
+from itertools import combinations, groupby
 
 
 from tidemark.plans import registry
@@ -21,3 +22,33 @@ def test_areas_of_every_label(spark, tmp_path):
             assert set(at) == {-1}
         else:
             assert all(len(set(at[i::3])) == 1 for i in range(3)) and set(at) == {0, 1, 2}
+
+
+def lineitem(spark, path, sets):
+    """sets: (group, members, which are both its parts and suppliers)."""
+    rows = [(g, m, m, i, 1.0, 1.0, 0.0, 0.0, "R", "O", datetime(1996, 1, 1)) for g, ms in sets for i, m in enumerate(ms)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{path}/lineitem.parquet")
+
+
+def pairs_by_hand(sets, percent):
+    for (a, x), (b, y) in combinations(sorted(sets), 2):
+        same, union = len(x & y), len(x | y)
+        if same >= 3 and 100 * same >= percent * union:
+            yield a, b, same, union
+
+
+def test_components_and_overlaps_of_all_groups(spark, tmp_path):
+    rng = random.Random(4)
+    sets = [(g, {rng.randrange(14) for _ in range(rng.randrange(1, 9))}) for g in range(1, 150)]
+    sets += [(g, {x + 20 for x in range(g % 7, g % 7 + 4)}) for g in range(200, 207)] + [(300, {40, 41, 42}), (301, {40, 41, 42})]
+    lineitem(spark, tmp_path, [(g, [*s, min(s)]) for g, s in sets])
+    got = registry.QUERIES["J18_set_overlap"](spark, str(tmp_path))
+    assert sorted((r["a"], r["b"], r["common"], r["in_all"]) for r in got.collect()) == sorted(pairs_by_hand(sets, 60))
+    comp = {}
+    edges = list(pairs_by_hand(sets, 0))
+    for a, b, *_ in edges:
+        comp[a], comp[b] = a, b
+    while any(comp[a] != comp[b] for a, b, *_ in edges):
+        for a, b, *_ in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert {r["id"]: r["comp"] for r in registry.QUERIES["A25_components"](spark, str(tmp_path)).collect()} == comp
