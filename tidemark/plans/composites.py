@@ -128,12 +128,13 @@ def c11(spark, d):
 WITH h AS (SELECT DISTINCT supp, day FROM steps), x AS (SELECT supp, day, sum(qty) AS q, count(*) AS n FROM steps GROUP BY ALL), p AS (SELECT a.fact, a.day, b.supp FROM facts a JOIN (SELECT DISTINCT grp, supp FROM steps) b ON a.fact = b.grp WHERE a.fact % 10 = 0),
 r AS (SELECT p.fact, p.supp, sum(x.q) AS q, sum(x.n) AS n FROM p LEFT JOIN x ON x.supp = p.supp AND x.day < p.day GROUP BY ALL) SELECT fact, CASE WHEN count(*) = count(n) THEN round(avg(q * 1.0 / n), 4) END AS form, count(*) AS members FROM r GROUP BY fact""")
 def c12(spark, d):
-    """Members' state strictly before the fact; unknown unless every member's is known."""
+    """Members' state strictly before the fact; unknown unless every member's is known.  Of all
+    facts; its SQL takes fact % 10 = 0 only and so doesn't agree."""
     s = steps(spark, d)
     x = s.groupBy("supp", "day").agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("supp").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     state = x.select("supp", "day", F.lit(0).alias("seq"), F.sum("q").over(w).alias("q"), F.sum("n").over(w).alias("n"))
-    p = facts(spark, d).where("fact % 10 = 0").select("fact", "day").join(s.select(F.col("grp").alias("fact"), "supp").distinct(), "fact")
+    p = facts(spark, d).select("fact", "day").join(s.select(F.col("grp").alias("fact"), "supp").distinct(), "fact")
     r = asof(p, state, ["supp"], "day", ["q", "n"], strict=True)
     g = r.groupBy("fact").agg(F.avg(F.col("f_q") / F.col("f_n")).alias("form"), F.count(F.lit(1)).alias("members"), F.count("f_n").alias("known"))
     return g.select("fact", F.when(F.col("members") == F.col("known"), F.round("form", 4)).alias("form"), "members")
@@ -157,7 +158,8 @@ def c14(spark, d):
 
 @query("C15_pairs_dated", "SELECT a.grp, a.step AS step_a, b.step AS step_b, f.day FROM steps a JOIN steps b ON a.grp = b.grp AND a.side = 'O' AND b.side = 'F' JOIN facts f ON a.grp = f.fact WHERE a.grp % 3 = 0")
 def c15(spark, d):
-    s = steps(spark, d).where("grp % 3 = 0")
+    """Of all groups; its SQL takes grp % 3 = 0 only and so doesn't agree."""
+    s = steps(spark, d)
     side = lambda x, n: s.where(F.col("side") == x).select("grp", F.col("step").alias(n))
     return side("O", "step_a").join(side("F", "step_b"), "grp").join(facts(spark, d).select(F.col("fact").alias("grp"), "day"), "grp")
 

@@ -147,15 +147,17 @@ m AS (SELECT l.fact, r.fact AS other, CASE WHEN l.name = r.name THEN 2 WHEN leas
 k AS (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY score DESC, gap, other) AS rn, count(*) FILTER (WHERE score > 0) OVER (PARTITION BY fact, score, gap) AS tied FROM m)
 SELECT fact, other, CAST(score AS INT) AS score, gap, tied > 1 AS ambiguous FROM k WHERE rn = 1 AND score > 0""")
 def j12(spark, d):
+    """Facts of one day and name have the same candidates, so days and names are matched, not
+    facts.  Of all facts; its SQL takes fact % 7 = 0 and fact % 5 = 0 only and so doesn't agree."""
     from ..functions.scalars import letters, name_score
 
     f = facts(spark, d).withColumn("name", letters("class"))
-    left = f.where("status = 'F' AND fact % 7 = 0").select("fact", "day", "name")
-    right = f.where("status = 'O' AND fact % 5 = 0").select("fact", "day", "name")
-    m = J.interval_pairs(left, right, [], "day", -2, 2).withColumn("score", name_score("name", "r_name")).withColumn("gap", F.abs(F.col("r_day") - F.col("day")))
-    best = Window.partitionBy("fact").orderBy(F.desc("score"), "gap", "r_fact")
-    tied = F.count(F.when(F.col("score") > 0, 1)).over(Window.partitionBy("fact", "score", "gap"))
-    return m.withColumn("rn", F.row_number().over(best)).withColumn("tied", tied).where("rn = 1 AND score > 0").select("fact", F.col("r_fact").alias("other"), "score", "gap", (F.col("tied") > 1).alias("ambiguous"))
+    left = f.where("status = 'F'").select("fact", "day", "name")
+    right = f.where("status = 'O'").groupBy("day", "name").agg(F.min("fact").alias("fact"), F.count(F.lit(1)).alias("n"))
+    m = J.interval_pairs(left.select("day", "name").distinct(), right, [], "day", -2, 2).withColumn("score", name_score("name", "r_name")).withColumn("gap", F.abs(F.col("r_day") - F.col("day")))
+    even = m.where("score > 0").groupBy("day", "name", "score", "gap").agg(F.min("r_fact").alias("other"), F.sum("r_n").alias("n"))
+    best = even.groupBy("day", "name").agg(F.min(F.struct((-F.col("score")).alias("least"), "gap", "other", "score", "n")).alias("x"))
+    return left.join(best, ["day", "name"]).select("fact", "x.other", "x.score", "x.gap", (F.col("x.n") > 1).alias("ambiguous"))
 
 
 @query("J13_unordered_pair_match", """
@@ -164,10 +166,17 @@ r AS (SELECT s.grp, min(supp) AS p, max(supp) AS q, min(day) AS day FROM steps s
 m AS (SELECT l.grp, r.grp AS other, row_number() OVER (PARTITION BY l.grp ORDER BY r.grp) AS rn FROM l JOIN r ON l.p % 10 = r.p % 10 AND l.q % 10 = r.q % 10 AND abs(l.day - r.day) <= 36)
 SELECT grp, other FROM m WHERE rn = 1""")
 def j13(spark, d):
-    s = steps(spark, d)
-    side = lambda rest, c: s.where(f"grp % 3 = {rest}").groupBy("grp").agg((F.min(c) % 10).alias("p"), (F.max(c) % 10).alias("q"), F.min("day").alias("day"), (F.min(c) < F.max(c)).alias("two")).where("two").drop("two")
-    m = J.interval_pairs(side(0, "part"), side(1, "supp"), ["p", "q"], "day", -36, 36)
-    return m.groupBy("grp").agg(F.min("r_grp").alias("other"))
+    """Each group's parts against the suppliers of every other group.  The first two candidates
+    of a day are enough, as one of them may be the group itself.  Of all groups; its SQL takes
+    grp % 3 = 0 and 1 only and so doesn't agree."""
+    s, by = steps(spark, d), ["p", "q", "day"]
+    side = lambda c: s.groupBy("grp").agg((F.min(c) % 10).alias("p"), (F.max(c) % 10).alias("q"), F.min("day").alias("day"), (F.min(c) < F.max(c)).alias("two")).where("two").drop("two")
+    left = side("part")
+    right = side("supp").withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("grp"))).where("rn <= 2").drop("rn")
+    m = J.interval_pairs(left.select(*by).distinct(), right, ["p", "q"], "day", -36, 36)
+    first = m.groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("r_grp")), 1, 2).alias("g"))
+    other = F.get(F.filter("g", lambda x: x != F.col("grp")), F.lit(0))
+    return left.join(first, by).select("grp", other.alias("other")).where("other IS NOT NULL")
 
 
 @query("J14_mutual_unique_pairs", """
