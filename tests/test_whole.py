@@ -7,6 +7,7 @@ from itertools import combinations, groupby
 import pytest
 from test_oracles import SF, duck, plain  # noqa: F401
 
+from tidemark.operators import joins as J
 from tidemark.plans import registry
 
 
@@ -76,3 +77,18 @@ def test_all_facts_and_groups(spark, duck, name, rests):  # noqa: F811
     rows = [sorted((tuple(map(plain, r)) for r in x), key=repr) for x in (got.select(*cols).collect(), cur.fetchall())]
     assert len(rows[0]) == len(rows[1])
     assert all(a == b or abs(a - b) <= 0.0011 for x, y in zip(*rows, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_components_of_long_chains(spark):
+    """A smaller label has to cross a basin that has settled on another one."""
+    path = [2, *range(10, 110), 1]
+    shuffled = [*range(1000, 1400)]
+    random.Random(5).shuffle(shuffled)
+    edges = [*zip(path, path[1:]), *zip(shuffled, shuffled[1:])]
+    got = {r["id"]: r["comp"] for r in J.min_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(path, 1) | dict.fromkeys(shuffled, 1000)
+
+
+def test_components_not_settled(spark):
+    with pytest.raises(RuntimeError):
+        J.min_labels(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"), 1)

@@ -79,17 +79,20 @@ def checkpoints(spark: SparkSession) -> None:
 
 
 def min_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """Connected components of edges (a, b): id, comp (the smallest id reached).  Labels are
-    halved along pointers each round; every round is written, so plans stay short."""
+    """Connected components of edges (a, b): id, comp (the smallest id reached).  Each round an
+    id takes the smallest label among its neighbours and gives it to its own label as well, and
+    labels are halved along pointers, so whole trees are hung together; every round is written,
+    so plans stay short.  Raises if labels still move after `rounds` rounds."""
     checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct()
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        pulled = labels.join(near, "id", "left").select("id", "comp", F.least("comp", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("far"))
-        nxt = pulled.join(jump, "low", "left").select("id", F.least("low", "far").alias("new"), "comp").checkpoint()
-        labels, moved = nxt.select("id", F.col("new").alias("comp")), nxt.where("new <> comp").limit(1).count()
-        if not moved:
-            break
-    return labels
+        far = labels.join(labels.select(F.col("id").alias("comp"), F.col("comp").alias("far")), "comp").checkpoint()
+        near = both.join(far.select(F.col("id").alias("b"), F.col("far").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        pulled = far.join(near, "id", "left").select("id", "comp", F.least("far", "near").alias("low")).checkpoint()
+        given = pulled.groupBy(F.col("comp").alias("id")).agg(F.min("low").alias("given"))
+        nxt = pulled.join(given, "id", "left").select("id", F.least("low", "given").alias("new"), "comp").checkpoint()
+        labels = nxt.select("id", F.col("new").alias("comp"))
+        if nxt.where("new <> comp").isEmpty():
+            return labels
+    raise RuntimeError(f"components not settled after {rounds} rounds")
