@@ -7,6 +7,7 @@ from itertools import combinations, groupby
 import pytest
 from test_oracles import SF, duck, plain  # noqa: F401
 
+from tidemark.llm import html_text
 from tidemark.operators import joins as J
 from tidemark.plans import registry
 
@@ -92,3 +93,21 @@ def test_components_of_long_chains(spark):
 def test_components_not_settled(spark):
     with pytest.raises(RuntimeError):
         J.min_labels(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"), 1)
+
+
+LONG, SHORT = "<p>" + "a, b, c, d, e, f " + "long " * 116 + "</p>", "<p>One, two, three " + "tail " * 57 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept", "gone"),
+    [
+        (f"<div><section>{LONG * 2}</section><h2>Head</h2><section>{SHORT}</section></div>", ["Head", "tail"], []),
+        (f"<div><section>{LONG * 20}</section><h2>Head</h2><section>{SHORT}</section></div>", ["Head", "tail"], []),
+        (f"<div><section>{LONG}</section><ul><li>item</ul><table><tr><td>cell</table><blockquote>said</blockquote><pre>code</pre></div>", ["item", "cell", "said", "code"], []),
+        (f"<body><ul><li><a href=/>menu</a></ul><div>{LONG}<h2>Sources</h2><ul><li><a href=/a>source</a></ul></div><ul><li><a href=/>more</a></ul></body>", ["Sources", "source"], ["menu", "more"]),
+        (f"<body><div>{LONG}<ul class=share><li><a href=/>send</a></ul></div></body>", ["long"], ["send"]),
+    ],
+)
+def test_split_articles_are_whole(page, kept, gone):
+    words = set(html_text.main_text(page).split())
+    assert words.issuperset(kept) and not words & set(gone)

@@ -6,7 +6,7 @@ notices, adverts, forms, scripts, styles, comments) are left out while reading.
 Every paragraph then gives points for its length and commas to its ancestors, all to
 its parent, half to the grandparent, less further up; a container's points are
 discounted by the share of its text that is links.  The best container is kept with
-those of its siblings that score well too.
+those of its siblings that hold prose, lists, tables or quotes, and all between them.
 
 Rows are independent: one narrow pass, linear in the page's length, no shuffle.
 """
@@ -31,6 +31,7 @@ DROP_NAMES = frozenset(
 )
 KEEP_TAGS = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("ul ol dl table blockquote pre figure".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body figcaption".split())
 #: An open element of the first kind ends where one of the second kind begins.
 ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
@@ -190,18 +191,20 @@ def main_text(source: str | None) -> str:
             best = up
     keep = [best] if best else [0]
     if best and page.tag[best] not in ("article", "main", "body", "html"):
-        floor = max(10, 0.2 * score[best])
-        for i in range(1, n):
-            if page.parent[i] == page.parent[best] and i != best:
-                good = score[i] >= floor or page.tag[i] in HEADINGS and i < best
-                good = good or page.tag[i] == "p" and (chars[i] > 80 and plain[i] > 0.75 or 0 < chars[i] and plain[i] == 1)
-                if good:
-                    keep.append(i)
+        beside = [i for i in range(1, n) if page.parent[i] == page.parent[best] and page.end[i] > page.first[i]]
+        for i in beside:
+            good = page.tag[i] in HEADINGS and i < best or points[i] and plain[i] > 0.5
+            good = good or page.tag[i] in PARTS and plain[i] >= 0.2
+            good = good or page.tag[i] == "p" and (chars[i] > 80 and plain[i] > 0.75 or 0 < chars[i] and plain[i] == 1)
+            if good and i != best:
+                keep.append(i)
     wanted = bytearray(len(page.blocks))
-    for i in keep:
-        wanted[page.first[i] : page.end[i]] = b"\1" * (page.end[i] - page.first[i])
+    first, end = min(page.first[i] for i in keep), max(page.end[i] for i in keep)
+    wanted[first:end] = b"\1" * (end - first)  # what lies between is of the article too
+    whole = page.tag[best] not in ("#", "html", "body")
     for i in range(1, n):
-        if page.tag[i] in ("ul", "ol") and chars[i] and plain[i] < 0.2:  # a list of links is a menu
+        inside = whole and page.first[best] <= page.first[i] and page.end[i] <= page.end[best]
+        if page.tag[i] in ("ul", "ol") and chars[i] and plain[i] < 0.2 and not inside:  # a list of links is a menu
             wanted[page.first[i] : page.end[i]] = bytes(page.end[i] - page.first[i])
     return " ".join(b[0] for b, w in zip(page.blocks, wanted, strict=True) if w)
 
