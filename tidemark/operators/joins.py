@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
+
 
 def interval_pairs(left: DataFrame, right: DataFrame, by: list[str], on: str, low: int, high: int, prefix: str = "r_") -> DataFrame:
     """Pairs of equal keys with low <= right.on - left.on <= high.
@@ -72,10 +74,9 @@ def overlap_pairs(sets: DataFrame, key: str, member: str, least: int, percent: i
 
 def checkpoints(spark: SparkSession) -> None:
     """Set the folder that checkpoints go to, unless there is one."""
+    folder = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-"))
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def min_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:

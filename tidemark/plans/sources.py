@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path as _scratch
 from ..sources import tapes as T
 from ..sources.tables import facts, steps, table, tape
 from .registry import query
 
 
-def _scratch(spark, name: str) -> str:
-    """A new path in the shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _lines(spark, d):
     """The tape as JSON lines, every seventh broken, every eleventh not an object."""
     t = tape(spark, d).select("seq", "key", "kind", "cents", "k")

@@ -7,8 +7,6 @@ each key by Spark's state store, so a lost executor resumes from the checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,14 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import scratch_path as scratch
 from ..sources.tables import micros
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def tape_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The tape as a stream from Parquet files (a folder or a glob)."""
     schema = spark.read.parquet(path).schema
