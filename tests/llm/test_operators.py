@@ -176,15 +176,33 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == list(zip(*_components(texts), strict=True))
 
 
-def test_ngram_join_through_every_kind_of_round(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0)
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 3)
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 50)
+@pytest.mark.parametrize(("docs_", "bucket", "salt"), [(3, 2000, 50_000), (5, 3, 50_000), (4, 1, 2)])
+def test_ngram_join_through_every_kind_of_round(spark, monkeypatch, docs_, bucket, salt):
+    """Blocks, chains of long buckets and salts: small bounds, the same components."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", docs_)
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", salt)
     texts = _near_texts(3)
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == _components(texts)[1]
 
 
+def test_ngram_join_repeated_rows_and_ids(spark):
+    rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (5, "other words stand here now and then"), (2, "other words stand here now and then"), (None, "a b c d e f g"), (None, "alone"), (7, "x " * 200_000), (8, "x")]
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(True, 5, 3, 5), (True, 5, 3, 5), (True, 5, 3, 2), (True, 2, 3, 2), (False, 0, 3, 5), (False, 0, 1, None), (True, 7, 1, 7), (True, 8, 1, 8)], key=str)
+
+
+def test_ngram_overlaps_and_forest():
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 50, r.integers(0, 40))) for _ in range(20)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    apart = ~np.eye(20, dtype=bool)
+    assert (ngram_join.overlaps(sets) == want)[apart].all() and (ngram_join.overlaps(sets, 7) == want[:7, 7:]).all()
+    a, b = ngram_join.forest(np.array([5, 3, 9, 8]), np.array([3, 1, 8, 8]))
+    assert dict(zip(a.tolist(), b.tolist())) == {5: 1, 3: 1, 9: 8}
+
+
 def test_ngram_join_empty_table(empty):
     assert ngram_join.similarity_components(empty).count() == 0
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, discard, materialize, scratch_path, shared_dir, sized
+
+__all__ = ["ASCII_SPACE", "Scratch", "discard", "held_out", "materialize", "read_table", "scratch_path", "shared_dir", "sized"]
+
 #: ASCII white space, the characters of [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -16,42 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none (tests, local runs) a temporary folder of
-    this machine is made and set as the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        base = tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
-def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
-    """df in no more tasks than so many rows need, eight at least: small tables would
-    otherwise cost a task for every shuffle partition at each step."""
-    return df.coalesce(max(8, -(-rows // per_task)))
-
-
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage
-    in a way that survives lost executors.  rows: about how many there are, if known."""
-    df = df if rows is None else sized(df, rows)
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id) -> F.Column:
     """crc32 of doc_id as text, modulo 4, is 2 (false for a null id)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

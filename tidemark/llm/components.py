@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import Scratch, materialize, sized
 
 MAX_ROUNDS = 60
 
@@ -36,19 +36,20 @@ def _settled(edges: DataFrame, rows: int) -> bool:
     return sized(roles.groupBy("v").agg(F.sum("child").alias("up"), F.min("child").alias("low")), rows).where("up > 1 OR (up = 1 AND low = 0)").isEmpty()
 
 
-def components(edges: DataFrame, label: str = "components", rows: int | None = None) -> DataFrame:
+def components(edges: DataFrame, label: str = "components", rows: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """edges: columns a, b of one orderable type.  Returns vertex, component (its smallest
     member) for every vertex that has an edge; empty edges give no rows.  edges are read twice
-    unless their number is given as rows."""
+    unless their number is given as rows.  The result reads a table in scratch, if given."""
+    write = scratch.write if scratch else materialize
     rows = 2 * (edges.count() if rows is None else rows)
     current = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current = materialize(current, f"{label}0", rows)
+    current = write(current, f"{label}0", rows)
     for n in range(1, MAX_ROUNDS):
         if _settled(current, rows):
             break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pulled = _star(both, True, rows).where("a <> b")
-        current = materialize(_star(pulled, False, rows).where("a <> b").distinct(), f"{label}{n}", rows)
+        current = write(_star(pulled, False, rows).where("a <> b").distinct(), f"{label}{n}", rows)
     else:
         raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
