@@ -180,6 +180,7 @@ def test_ngram_join_equals_brute_force(spark, seed):
 def test_ngram_join_through_every_kind_of_round(spark, monkeypatch, docs_, bucket, salt):
     """Blocks, chains of long buckets and salts: small bounds, the same components."""
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", docs_)
+    monkeypatch.setattr(ngram_join, "META_DOCS", docs_)
     monkeypatch.setattr(ngram_join, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(ngram_join, "SALT_ROWS", salt)
     texts = _near_texts(3)
