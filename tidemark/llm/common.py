@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, discard, materialize, scratch_path, shared_dir, sized
 
-__all__ = ["ASCII_SPACE", "Scratch", "discard", "held_out", "materialize", "read_table", "scratch_path", "shared_dir", "sized"]
+__all__ = ["ASCII_SPACE", "Scratch", "discard", "held_out", "materialize", "read_table", "scratch_path", "shared_dir", "sized", "unused"]
 
 #: ASCII white space, the characters of [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -17,6 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id) -> F.Column:
     """crc32 of doc_id as text, modulo 4, is 2 (false for a null id)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize
+from .common import ASCII_SPACE, materialize, unused
 
 BLOCK_CHARS = 1024
 #: A name: bucket * 65536 + place, beyond the range of a long.
@@ -63,12 +63,12 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, n_points (code points of the text as it is),
     text_sha256, n_blocks, name.  Equal (n_blocks, name) means equal text.
 
-    Rows that repeat both id and text are one document; a null id is an id like any
-    other.  An empty or null text has no block and the name 0.
+    Every row is a document, repeated rows too; a null id is an id like any other.  An
+    empty or null text has no block and the name 0.
     bucket_bits below 64 is for tests: it forces blocks to share buckets."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"), normalized(F.col(text_col)).alias("norm"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"), normalized(F.col(text_col)).alias("norm"), F.monotonically_increasing_id().alias("row"))
     blocks = base.withColumn("keys", F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
-    rows = blocks.select(F.struct("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.size("keys").alias("n_blocks")).alias("rid"), "keys")
+    rows = blocks.select(F.struct("row", "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.size("keys").alias("n_blocks")).alias("rid"), "keys")
     level = materialize(_name_level(rows, bucket_bits, "blocks"), "names")
     done = level.where(F.size("names") <= 1)
     todo = level.where(F.size("names") > 1)
@@ -79,26 +79,34 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         todo = materialize(_name_level(pairs, bucket_bits, f"pairs{depth}"), f"level{depth}")
         longest, depth = (longest + 1) // 2, depth + 1
     every = done.unionByName(todo) if depth else done
-    return every.select("rid.*", F.coalesce(F.get("names", F.lit(0)), F.lit(0).cast(NAME)).alias("name")).distinct()
+    return every.select("rid.*", F.coalesce(F.get("names", F.lit(0)), F.lit(0).cast(NAME)).alias("name")).drop("row")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row per document, dropped ones too.
 
     Of equal texts the document with the most code points in its original text
-    stays, then the smallest id (a null id comes last).  Empty tables give no rows;
-    other columns of docs are not looked at."""
+    stays, then the smallest id (a null id comes last); rows that repeat that id with an
+    equal text are marked kept as well.  Empty tables give no rows; other columns of docs
+    are not looked at."""
     each = materialize(identities(docs, id_col, text_col, **named), "identity")
     best = F.min(F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")))
+    # Written first: the join below then has plain shuffles on both sides, which adaptive
+    # execution splits where one group of copies is large.
     groups = each.groupBy("n_blocks", "name").agg(best["c"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups, "groups")
     return each.join(groups, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat id and text, one."""
-    found = materialize(exact_dedup(docs, id_col, text_col), "exact").where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    """The rows of docs that stay, with all their columns; of rows that repeat id and text, one.
+
+    Null and empty texts are equal texts; empty tables give no rows; columns of docs may
+    have any names."""
+    sha, kept = unused(docs, "sha"), unused(docs, "kept")
+    found = materialize(exact_dedup(docs, id_col, text_col), "exact").where("kept").select(F.struct("doc_id", "text_sha256").alias(kept))
     # Ids need not be unique: a row stays if its id and its text do.
-    hashed = docs.withColumn("_sha", F.sha2(normalized(F.col(text_col)), 256))
-    stay = hashed.join(found, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    hashed = docs.withColumn(sha, F.sha2(normalized(F.col(text_col)), 256))
+    stay = hashed.join(found, F.col(id_col).eqNullSafe(F.col(kept)["doc_id"]) & (F.col(sha) == F.col(kept)["text_sha256"]), "left_semi")
     again = docs.groupBy(F.col(id_col)).count().where("count > 1").limit(1)
-    return (stay if again.isEmpty() else stay.dropDuplicates([id_col, "_sha"])).drop("_sha")
+    return (stay if again.isEmpty() else stay.dropDuplicates([id_col, sha])).drop(sha)
