@@ -3,7 +3,8 @@
 The tokenizers file holds vocabulary and merges; its ids of merged tokens grow with
 the merges' ranks, so the same file serves as the rank table of the faster tiktoken
 encoder.  Ids are those of the tokenizers library (tests compare them); strings of
-special tokens in a text become their ids, as there.
+special tokens in a text become their ids, as there.  A text that the faster encoder
+gives up on (runs of some million white space characters) goes to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -35,4 +36,22 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     made = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     allowed = set(special)
-    return lambda text: made.encode(text, allowed_special=allowed, disallowed_special=())
+
+    def encode(text: str) -> list[int]:
+        try:
+            return made.encode(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:
+            return library(path).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+@functools.cache
+def library(path: str):
+    """The tokenizers library's encoder without truncation and padding."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
