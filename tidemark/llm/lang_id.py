@@ -32,8 +32,9 @@ RIDGE = 1e-2
 SHARPNESS = 0.2
 #: Rows of one matrix product.
 ROWS = 128
-#: Texts whose best share is lower are no text of a known language.
-MIN_SCORE = 0.4
+#: Texts of so many n-grams or more whose best share is lower are of no known language; the
+#: shares of shorter ones are close to each other whatever they are.
+MIN_SCORE, MIN_GRAMS = 0.4, 60
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -41,6 +42,9 @@ UNKNOWN = "und"
 def ngrams(text: str | None) -> np.ndarray:
     """Sorted distinct codes of the text's n-grams, n = 1 to 3; none if it has no letters."""
     words = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not words.replace(" ", "").isalpha():  # numerals that are no digits, as in x²
+        words = "".join(c if c.isalpha() else " " for c in words)
+        words = " ".join(words.split())
     if not words:
         return np.empty(0, np.int32)
     b = np.frombuffer(f" {words} ".encode("utf-8", "ignore"), np.uint8).astype(np.int32)
@@ -114,7 +118,10 @@ def train(texts: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Learn from at most `rows` rows with a language whose id isn't held out; None if there are none."""
+    """Learn from at most `rows` rows with a language whose id isn't held out; None if there are none.
+
+    Of more than rows // 8 languages the most frequent are learnt (by name where counts tie).
+    Repeated rows count as often as they come; other columns are not looked at."""
     usable = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(rows // 8).collect()}
     if not counts:
@@ -139,7 +146,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; lang_pred is `und` with score 0
-    for null texts, texts without letters, and without a model."""
+    for null texts, texts without letters, and without a model.  Of languages with equal scores
+    the first by name is taken; repeated rows come out as often as they go in; a null id is not
+    held out; an empty table gives no rows; other columns are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: landmarks are bounded
 
     def run(batches):
@@ -153,14 +162,19 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
 
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs whose text is of a known language, with all their columns."""
+    """The rows of docs whose text is of a known language, with all their columns.
+
+    Null texts and texts without letters go, and texts of MIN_GRAMS n-grams or more whose best
+    share is below min_score; short texts with letters stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
         if shared.value is None:
             return pd.Series(False, index=texts.index)
-        names, score = shared.value.predict([ngrams(t) for t in texts])
-        return pd.Series((np.array(names, object) != UNKNOWN) & (score >= min_score), index=texts.index)
+        grams = [ngrams(t) for t in texts]
+        names, score = shared.value.predict(grams)
+        short = np.array([len(g) < MIN_GRAMS for g in grams], bool)
+        return pd.Series((np.array(names, object) != UNKNOWN) & (short | (score >= min_score)), index=texts.index)
 
     return docs.where(known(F.col(text_col)))
