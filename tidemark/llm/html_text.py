@@ -71,6 +71,7 @@ class _Page:
         self._parts: list[str] = []
         self._links, self._in_link = 0, False
         self._stack, self._dropped = [0], 0  # _dropped: depth of the open boilerplate element
+        self._depths: dict[str, list[int]] = {}  # of the open elements, by tag
         self._read(source)
         while len(self._stack) > 1:
             self._close()
@@ -92,6 +93,7 @@ class _Page:
         self.parent.append(self._stack[-1])
         self.first.append(len(self.blocks))
         self.end.append(len(self.blocks))
+        self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
         if drop and not self._dropped:
             self._dropped = len(self._stack)
@@ -102,18 +104,16 @@ class _Page:
             self._dropped = 0
         if not inside:
             self._flush()
-        self.end[self._stack.pop()] = len(self.blocks)
+        node = self._stack.pop()
+        self._depths[self.tag[node]].pop()
+        self.end[node] = len(self.blocks)
 
     def _close_to(self, tags, until=()) -> None:
         """Close open elements down to the nearest of tags, unless one of until is nearer."""
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[depth]]
-            if tag in tags:
-                while len(self._stack) > depth:
-                    self._close()
-                return
-            if tag in until:
-                return
+        nearest = lambda some: max((self._depths[t][-1] for t in some if self._depths.get(t)), default=0)
+        depth = nearest(tags)
+        while depth > nearest(until) and len(self._stack) > depth:
+            self._close()
 
     def _text(self, piece: str) -> None:
         if piece and not self._dropped:
