@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +36,10 @@ class Level:
     seed: int
 
     def admits(self, key: Column) -> Column:
-        bits, table = 64 * len(self.words), F.array(*[F.lit(w) for w in self.words])
-        test = lambda at: F.getbit(F.get(table, (at / 64).cast("int")), (at % 64).cast("int")) == 1
-        return reduce(lambda a, b: a & b, [test(at) for at in _places(key, self.hashes, bits, self.seed)])
+        # One literal, which the optimizer reads once: an array of literals is slow to plan.
+        bits, table = 64 * len(self.words), F.from_json(F.lit(str(list(self.words))), "array<bigint>")
+        test = lambda at: F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
+        return F.forall(F.array(*_places(key, self.hashes, bits, self.seed)), test)
 
 
 def _places(key: Column, hashes: int, bits: int, seed: int) -> list[Column]:
