@@ -40,6 +40,14 @@ def ids_of(path, text):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
+def test_byte_ids_of_long_white_space():
+    """The faster encoder gives up on these; ids are those of the library."""
+    from tidemark.llm.byte_tokens import encoder
+
+    for text in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b"):
+        assert encoder(BYTE)(text) == ids_of(BYTE, text)
+
+
 # Packing
 
 
@@ -101,6 +109,9 @@ def test_cascade_is_exact_over_its_universe(spark):
     cascade = url_filter.build_cascade(listed, universe.unionByName(universe))
     assert len(cascade.levels) > 1
     assert universe.where(cascade.contains(F.col("key")) != F.col("key").like("%7")).isEmpty()
+    many = spark.range(200_000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 10 == 3).alias("in"))
+    large = url_filter.build_cascade(many.where("in"), many)
+    assert many.where(large.contains(F.col("key")) != F.col("in")).isEmpty() and len(large.levels) > 1
     assert universe.where(url_filter.build_cascade(listed.limit(0), universe).contains(F.col("key"))).isEmpty()
 
 
@@ -241,6 +252,15 @@ def test_html_query_shape(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_is_linear_on_broken_markup():
+    from time import perf_counter
+
+    for page in ("<div>" * 200_000 + "</p>" * 200_000 + "text", "<dl><dt><dl>" + "<div>" * 50_000 + "<dt>x</dt>" * 50_000):
+        begun = perf_counter()
+        html_text.main_text(page)
+        assert perf_counter() - begun < 20
+
+
 # Exact dedup
 
 
@@ -265,8 +285,9 @@ def test_exact_dedup_equals_brute_force(spark, bits):
 def test_exact_dedup_repeated_rows_null_ids_empty(spark, empty):
     rows = [(1, "a"), (1, "a"), (2, " a"), (None, "a"), (None, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = exact_dedup.exact_dedup(df).collect()
-    assert len(got) == 4 and {r["keep_id"] for r in got if r["group_size"] == 3} == {2}
+    for bits in (64, 1):  # every row is a document, also where blocks share buckets
+        got = exact_dedup.exact_dedup(df, block_chars=1, bucket_bits=bits).collect()
+        assert len(got) == 5 and {r["keep_id"] for r in got if r["group_size"] == 4} == {2} and sum(r["group_size"] == 4 for r in got) == 4
     assert sorted((r["doc_id"] or -1, r["text"]) for r in exact_dedup.keep_one(df).collect()) == [(-1, "b"), (2, " a")]
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_one(empty).count() == 0
 
@@ -326,6 +347,11 @@ def test_language_held_out_accuracy_and_odd_texts(spark, empty):
     assert set(lang_id.keep_known(df, model).columns) == set(df.columns)
 
 
+def test_numerals_are_no_letters():
+    assert all(len(lang_id.ngrams(t)) == 0 for t in ("²", "½", "Ⅷ", "①", "12 ²½Ⅷ① 34", None, ""))
+    assert (lang_id.ngrams("x² y") == lang_id.ngrams("x y")).all()
+
+
 def test_language_kernel_is_the_share_of_common_ngrams():
     a, b = lang_id.ngrams("abc abd"), lang_id.ngrams("abc xyz")
     model = lang_id.train([a, b], ["x", "y"], 4)
