@@ -28,7 +28,8 @@ from .common import held_out
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 2000
 #: Texts of P in which a feature must be, and how far above its rate in U, in standard errors.
 LEAST, ERRORS = 3, 4.0
-STEPS, RATE, DECAY = 300, 0.1, 2e-5
+#: Steps, those of them with the logistic loss, step size and weight decay.
+STEPS, WARM, RATE, DECAY = 300, 150, 0.05, 2e-5
 THRESHOLD = 0.3
 #: Words whose features a worker keeps in mind.
 MAX_WORDS = 400_000
@@ -69,9 +70,13 @@ class ToxicityModel:
         return score
 
 
-def train(texts: list[np.ndarray], positive: np.ndarray, prior: float, size: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def train(texts: list[np.ndarray], positive: np.ndarray, prior: float, size: int, steps: int = STEPS, warm: int = WARM) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, averaged over the last third
-    of the steps, as the risk's corner at zero keeps them moving; texts: feature numbers of each."""
+    of the steps, as the risk's corner at zero keeps them moving; texts: feature numbers of each.
+
+    The first half of the steps takes the logistic loss, whose slope does not vanish on P texts
+    that start out far on the wrong side; the rest the bounded sigmoid loss, by which a sure P
+    text can't outweigh all of U."""
     col = np.concatenate(texts) if texts else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     w, b = np.zeros(size), np.log(prior / (1 - prior))
@@ -81,13 +86,14 @@ def train(texts: list[np.ndarray], positive: np.ndarray, prior: float, size: int
     for t in range(1, steps + 1):
         z = b + np.bincount(row, w[col], len(texts))
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        slope = s * (1 - s)  # of the bounded sigmoid loss: a sure P text can't outweigh all of U
-        rest = s[u].mean() - prior * s[p].mean()
+        # Losses of label 0, and the slopes of both labels' losses.
+        zero, up, down = (np.logaddexp(0, z), s, s - 1) if t <= warm else (s, s * (1 - s), s * (s - 1))
+        rest = zero[u].mean() - prior * zero[p].mean()
         g = np.zeros(len(texts))
         if rest >= 0:
-            g[p], g[u] = -2 * prior * slope[p] / p.sum(), slope[u] / u.sum()
+            g[p], g[u] = prior * (down - up)[p] / p.sum(), up[u] / u.sum()
         else:  # back from where the corrected risk of label 0 is negative
-            g[p], g[u] = prior * slope[p] / p.sum(), -slope[u] / u.sum()
+            g[p], g[u] = prior * up[p] / p.sum(), -up[u] / u.sum()
         gw, gb = np.bincount(col, g[row], size) + DECAY * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -103,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from rows whose id isn't held out; None without a toxic example.
 
     labels: ids and label_col (1: toxic; 0; null: unknown).  Only the 1s and, for the
-    class prior, their share are used."""
+    class prior, their share are used; of rows that repeat an id the largest label counts.
+    Repeated rows of docs count as often as they come; empty tables give None."""
     ours = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).alias("toxic"))
     known = ours.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     if not known["p"]:
@@ -149,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; null and empty texts are scored
-    by the bias alone, and without a model every score is 0."""
+    by the bias alone, and without a model every score is 0.  Repeated rows come out as often
+    as they go in; a null id is not held out; other columns are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words and weights
 
     def run(batches):
