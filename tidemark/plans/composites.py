@@ -125,11 +125,10 @@ def c11(spark, d):
 
 
 @query("C12_states_before", """
-WITH h AS (SELECT DISTINCT supp, day FROM steps), x AS (SELECT supp, day, sum(qty) AS q, count(*) AS n FROM steps GROUP BY ALL), p AS (SELECT a.fact, a.day, b.supp FROM facts a JOIN (SELECT DISTINCT grp, supp FROM steps) b ON a.fact = b.grp WHERE a.fact % 10 = 0),
+WITH h AS (SELECT DISTINCT supp, day FROM steps), x AS (SELECT supp, day, sum(qty) AS q, count(*) AS n FROM steps GROUP BY ALL), p AS (SELECT a.fact, a.day, b.supp FROM facts a JOIN (SELECT DISTINCT grp, supp FROM steps) b ON a.fact = b.grp),
 r AS (SELECT p.fact, p.supp, sum(x.q) AS q, sum(x.n) AS n FROM p LEFT JOIN x ON x.supp = p.supp AND x.day < p.day GROUP BY ALL) SELECT fact, CASE WHEN count(*) = count(n) THEN round(avg(q * 1.0 / n), 4) END AS form, count(*) AS members FROM r GROUP BY fact""")
 def c12(spark, d):
-    """Members' state strictly before the fact; unknown unless every member's is known.  Of all
-    facts; its SQL takes fact % 10 = 0 only and so doesn't agree."""
+    """Members' state strictly before the fact; unknown unless every member's is known."""
     s = steps(spark, d)
     x = s.groupBy("supp", "day").agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("supp").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
@@ -156,9 +155,8 @@ def c14(spark, d):
     return g.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.when(F.col("w") > F.col("b"), 1.0).when(F.col("w") == F.col("b"), 0.5).otherwise(0.0)), 3).alias("accuracy"))
 
 
-@query("C15_pairs_dated", "SELECT a.grp, a.step AS step_a, b.step AS step_b, f.day FROM steps a JOIN steps b ON a.grp = b.grp AND a.side = 'O' AND b.side = 'F' JOIN facts f ON a.grp = f.fact WHERE a.grp % 3 = 0")
+@query("C15_pairs_dated", "SELECT a.grp, a.step AS step_a, b.step AS step_b, f.day FROM steps a JOIN steps b ON a.grp = b.grp AND a.side = 'O' AND b.side = 'F' JOIN facts f ON a.grp = f.fact")
 def c15(spark, d):
-    """Of all groups; its SQL takes grp % 3 = 0 only and so doesn't agree."""
     s = steps(spark, d)
     side = lambda x, n: s.where(F.col("side") == x).select("grp", F.col("step").alias(n))
     return side("O", "step_a").join(side("F", "step_b"), "grp").join(facts(spark, d).select(F.col("fact").alias("grp"), "day"), "grp")
@@ -217,13 +215,15 @@ def c21(spark, d):
     return p.select("supp", "n", role.alias("role"), F.rank().over(Window.orderBy(F.desc("rate"), "supp")).cast("bigint").alias("place"))
 
 
-@query("C22_signature_gaps", "WITH v AS (SELECT grp, supp, count(*) AS n FROM steps GROUP BY ALL), t AS (SELECT grp, supp AS team FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, supp) AS rn FROM v) WHERE rn = 1), s AS (SELECT s.grp, t.team, f.day, avg(s.disc) AS sig FROM steps s JOIN t ON s.grp = t.grp JOIN facts f ON s.grp = f.fact GROUP BY s.grp, t.team, f.day) SELECT grp, team, round(sig - avg(sig) OVER (PARTITION BY team ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS gap FROM s")
+@query("C22_signature_gaps", "WITH v AS (SELECT grp, supp, count(*) AS n FROM steps GROUP BY ALL), t AS (SELECT grp, supp AS team FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, supp) AS rn FROM v) WHERE rn = 1), s AS (SELECT s.grp, t.team, f.day, CAST(sum(s.disc) * 1000000 // count(*) AS BIGINT) AS sig FROM steps s JOIN t ON s.grp = t.grp JOIN facts f ON s.grp = f.fact GROUP BY s.grp, t.team, f.day), g AS (SELECT *, sum(sig) OVER w AS past, count(sig) OVER w AS n FROM s WINDOW w AS (PARTITION BY team ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT grp, team, CAST(sig * n - past AS DOUBLE) / CAST(nullif(n, 0) AS DOUBLE) AS gap FROM g")
 def c22(spark, d):
     s = steps(spark, d)
     v = s.groupBy("grp", "supp").agg(F.count(F.lit(1)).alias("n"))
     team = v.groupBy("grp").agg(F.min(F.struct((-F.col("n")).alias("m"), "supp")).alias("x")).select("grp", F.col("x.supp").alias("team"))
-    g = s.groupBy("grp").agg(F.avg("disc").alias("sig")).join(team, "grp").join(facts(spark, d).select(F.col("fact").alias("grp"), "day"), "grp")
-    return g.select("grp", "team", F.round(F.col("sig") - F.avg("sig").over(W.earlier(["team"], "day")), 6).alias("gap"))
+    # Signatures are whole millionths, so that sums of them are exact.
+    g = s.groupBy("grp").agg(F.expr("sum(disc) * 1000000 div count(1)").alias("sig")).join(team, "grp").join(facts(spark, d).select(F.col("fact").alias("grp"), "day"), "grp")
+    past, n = (f("sig").over(W.earlier(["team"], "day")) for f in (F.sum, F.count))
+    return g.select("grp", "team", F.try_divide((F.col("sig") * n - past).cast("double"), n.cast("double")).alias("gap"))
 
 
 @query("C23_source_audit", "WITH a AS (SELECT key, max(us) AS last_us, max_by(kind, (us, seq)) AS last_kind, count(*) AS n FROM tape GROUP BY key), x AS (SELECT key FROM tape WHERE kind = 'error' AND k = 99) SELECT key, last_kind, n, last_kind IN ('purchase', 'view') AS normal_end FROM a WHERE key NOT IN (SELECT key FROM x)")
