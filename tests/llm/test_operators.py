@@ -310,6 +310,28 @@ def test_exact_dedup_repeated_rows_null_ids_empty(spark, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_one(empty).count() == 0
 
 
+def test_range_join_with_default_parameters(spark):
+    """Labels large enough for pivots, replicas and blocks, links planted across them."""
+    r = np.random.default_rng(7)
+    base = r.normal(size=(1100, 8))
+    x = np.concatenate([base + r.normal(scale=0.12, size=base.shape) for _ in range(4)] + [base[:300], r.normal(size=(400, 8))]).astype(np.float32)
+    label = np.where(np.arange(len(x)) % 12 == 11, 2, 1)
+    rows = [(int(i), [float(v) for v in x[i]], int(label[i])) for i in range(len(x))]
+    pivots = range_join.draw_pivots(range_join.unit_vectors(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label"), range_join.CELL_ROWS)
+    assert pivots
+    got = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in range_join.near_duplicates(df).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    m = (u @ u.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(m, False)
+    low = np.arange(len(x))
+    while True:
+        new = np.minimum(low, np.where(m, low, len(x)).min(1))
+        if (new == low).all():
+            break
+        low = new
+    assert m.sum() > 5000 and [got[i] for i in range(len(x))] == list(zip(m.sum(1).tolist(), low.tolist(), strict=True))
+
+
 # ORC
 
 
@@ -377,6 +399,17 @@ def test_language_kernel_is_the_share_of_common_ngrams():
     assert np.allclose(k[0, 1], len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)), atol=1e-6) and np.allclose(np.diag(k), 1, atol=1e-6)
 
 
+def test_toxicity_fit_finds_texts_that_start_on_the_wrong_side():
+    """Toxic texts full of features that plain texts have more often: the slope must not vanish."""
+    r = np.random.default_rng(1)
+    positive = np.arange(4000) % 4 == 0
+    toxic = positive | (r.random(4000) < 0.1)
+    texts = [np.concatenate([r.choice(np.arange(10, 300), 60, replace=False), r.choice(10, 2, replace=False) if x else np.empty(0, np.int64)]) for x in toxic]
+    w, b = toxicity.train(texts, positive, 0.1, 300)
+    found = np.array([1 / (1 + np.exp(-b - w[t].sum())) >= toxicity.THRESHOLD for t in texts])
+    assert found[toxic].mean() > 0.95 and found[~toxic].mean() < 0.01
+
+
 def _toxic(spark, n=600):
     r = random.Random(5)
     words, bad = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)], ["zorgil", "zorgan", "zorgets", "plumpo"]

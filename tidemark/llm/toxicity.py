@@ -28,8 +28,8 @@ from .common import held_out
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 2000
 #: Texts of P in which a feature must be, and how far above its rate in U, in standard errors.
 LEAST, ERRORS = 3, 4.0
-#: Steps, those of them with the logistic loss, step size and weight decay.
-STEPS, WARM, RATE, DECAY = 300, 150, 0.05, 2e-5
+#: Steps, those of them with the logistic loss, first step size (the last is a tenth) and weight decay.
+STEPS, WARM, RATE, DECAY = 300, 200, 0.05, 2e-5
 THRESHOLD = 0.3
 #: Words whose features a worker keeps in mind.
 MAX_WORDS = 400_000
@@ -74,7 +74,7 @@ def train(texts: list[np.ndarray], positive: np.ndarray, prior: float, size: int
     """Weights and bias that minimise the non-negative risk, averaged over the last third
     of the steps, as the risk's corner at zero keeps them moving; texts: feature numbers of each.
 
-    The first half of the steps takes the logistic loss, whose slope does not vanish on P texts
+    The first two thirds of the steps take the logistic loss, whose slope does not vanish on P texts
     that start out far on the wrong side; the rest the bounded sigmoid loss, by which a sure P
     text can't outweigh all of U."""
     col = np.concatenate(texts) if texts else np.empty(0, np.int64)
@@ -98,8 +98,9 @@ def train(texts: list[np.ndarray], positive: np.ndarray, prior: float, size: int
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c, d = 1 - 0.9**t, 1 - 0.999**t
-        w = w - RATE * (m / c) / (np.sqrt(v / d) + 1e-8)
-        b = b - RATE * (mb / c) / (np.sqrt(vb / d) + 1e-8)
+        rate = RATE * (1 - 0.9 * t / steps)
+        w = w - rate * (m / c) / (np.sqrt(v / d) + 1e-8)
+        b = b - rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
         if t > steps - steps // 3:
             mean_w, mean_b = mean_w + w, mean_b + b
     return mean_w / (steps // 3), float(mean_b / (steps // 3))
