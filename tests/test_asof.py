@@ -72,3 +72,20 @@ def test_interval_pairs_equal_brute_force(spark):
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6)], "a long, b long")
     assert {r["id"]: r["comp"] for r in J.min_labels(e).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
+
+
+def test_passes_carry_their_state_over_batches(spark):
+    """A key of many Arrow batches, null times and null keys."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rng = random.Random(7)
+        rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(60)]), i) for i in range(200)]
+        got = sorted(r["seq"] for r in W.cooldown(spark.createDataFrame(rows, "key long, us long, seq long"), ["key"], "us", "seq", 7).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = [], {}
+    for key, us, seq in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])):
+        if key not in last or us - last[key] >= 7:
+            want.append(seq)
+            last[key] = us
+    assert got == sorted(want)

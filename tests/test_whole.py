@@ -8,6 +8,7 @@ import pytest
 
 from tidemark.operators import joins as J
 from tidemark.plans import registry
+from tidemark.sources.tables import facts
 
 
 def test_areas_of_every_label(spark, tmp_path):
@@ -69,3 +70,22 @@ def test_components_of_long_chains(spark):
 def test_components_not_settled(spark):
     with pytest.raises(RuntimeError):
         J.min_labels(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"), 1)
+
+
+def test_elo_of_each_pool_by_hand(spark):
+    """Ratings of M20 by one loop over days and pools, whole pools at once."""
+    sf = "/root/testdata/sf0.001"
+    pool = {r["c_custkey"]: r["c_nationkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    rows = sorted((r["day"], r["fact"], r["entity"], r["won"]) for r in facts(spark, sf).collect())
+    rating, want = {}, {}
+    for _, day in groupby(rows, key=lambda r: r[0]):
+        moves = []
+        for _, fact, a, won in day:
+            b = a - a % 25 + (a + 7) % 25
+            ra, rb = (rating.get((pool[a], e), 1500.0) for e in (a, b))
+            want[fact] = 1 / (1 + 10 ** ((rb - ra) / 400))
+            moves += [((pool[a], a), 24 * (won - want[fact])), ((pool[a], b), -24 * (won - want[fact]))]
+        for e, m in moves:
+            rating[e] = rating.get(e, 1500.0) + m
+    got = {r["fact"]: r["p"] for r in registry.QUERIES["M20_elo_by_pool"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)

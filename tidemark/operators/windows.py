@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from .asof import asof
 
+ARROW = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+SPARK = {"boolean": BooleanType(), "long": LongType(), "double": DoubleType(), "string": StringType()}
+
 
 def before(by: list[str], order: list) -> Window:
     """All earlier rows of the group, this one left out."""
@@ -37,37 +43,54 @@ def trailing_sum(df: DataFrame, by: list[str], on: str, order: str, value: str,
     return found.withColumn(on, F.col("_t")).withColumn(name, F.coalesce(F.col("_run"), F.lit(0)) - F.coalesce(F.col("_p_run"), F.lit(0))).drop("_t", "_run", *[c for c in found.columns if c.startswith("_p")])
 
 
+def ordered_pass(df: DataFrame, by: list[str], order: list[str], values: list[str], adds: dict[str, str], step: Callable) -> DataFrame:
+    """Each key's rows in order through one sequential pass; adds the columns `adds` (name to type).
+
+    step(state, *values of the row) gives (new state, values of the added columns); the state
+    is None at a key's first row.  Rows are sorted inside their partitions and come in Arrow
+    batches, with the state carried from batch to batch: a key of any size needs the memory
+    of one batch and of its state.  Null keys are one key; nulls in `order` come first."""
+    names = df.columns
+    key_at, value_at = [names.index(c) for c in by], [names.index(c) for c in values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), None
+        for batch in batches:
+            keys = zip(*[batch.column(i).to_pylist() for i in key_at], strict=True)
+            rows = zip(*[batch.column(i).to_pylist() for i in value_at], strict=True)
+            out = []
+            for k, row in zip(keys, rows, strict=True):
+                if k != key:
+                    key, state = k, None
+                state, new = step(state, *row)
+                out.append(new)
+            added = [pa.array([new[i] for new in out], ARROW[kind]) for i, kind in enumerate(adds.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *adds])
+
+    schema = StructType([*df.schema.fields, *[StructField(name, SPARK[kind]) for name, kind in adds.items()]])
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def cooldown(df: DataFrame, by: list[str], on: str, order: str, width: int) -> DataFrame:
     """Greedy selection: a row is taken if `width` has passed since the last taken one.
 
-    What is taken depends on what was, so no window expresses it; a key's rows go
-    through one ordered pass."""
+    What is taken depends on what was, so no window expresses it.  A row without a time is
+    never taken."""
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([on, order], kind="stable")
-        last, keep = None, []
-        for t in pdf[on]:
-            ok = last is None or t - last >= width
-            keep.append(ok)
-            last = t if ok else last
-        return pdf[keep]
+    def take(last, t):
+        ok = t is not None and (last is None or t - last >= width)
+        return (t if ok else last), (ok,)
 
-    return df.groupBy(*by).applyInPandas(take, df.schema)
+    return ordered_pass(df, by, [on, order], [on], {"_taken": "boolean"}, take).where("_taken").drop("_taken")
 
 
 def monotone(df: DataFrame, by: list[str], on: str, order: str, values: list[str]) -> DataFrame:
     """Quarantine against the last accepted row: a row is accepted if none of its values is
     below the last accepted row's.  With several values no running maximum gives this, as
-    a rejected row must not move the bar.  Adds accepted."""
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([on, order], kind="stable")
-        bar, ok = None, []
-        for row in pdf[values].itertuples(index=False):
-            good = bar is None or all(a >= b for a, b in zip(row, bar, strict=True))
-            ok.append(good)
-            bar = row if good else bar
-        return pdf.assign(accepted=ok)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(*by).applyInPandas(mark, f"{fields}, accepted boolean")
+    a rejected row must not move the bar.  Rows with a null value are not accepted.  Adds accepted."""
+
+    def mark(bar, *row):
+        good = None not in row and (bar is None or all(a >= b for a, b in zip(row, bar, strict=True)))
+        return (row if good else bar), (good,)
+
+    return ordered_pass(df, by, [on, order], values, {"accepted": "boolean"}, mark)

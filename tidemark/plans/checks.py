@@ -73,7 +73,7 @@ def f09(spark, d):
     return steps(spark, d).withColumn("later", later).groupBy("grp").agg(((n == F.max("line")) & (F.count_distinct("line") == n)).alias("contiguous"), F.bool_and("later").alias("monotone"))
 
 
-@query("F10_column_roles")
+@query("F10_column_roles", "WITH r(name, role) AS (VALUES ('grp', 'metadata'), ('step', 'metadata'), ('qty', 'feature'), ('disc', 'feature'), ('win', 'label')), c AS (UNPIVOT (SELECT count(grp) AS grp, count(step) AS step, count(qty) AS qty, count(disc) AS disc, count(win) AS win FROM steps) ON grp, step, qty, disc, win INTO NAME name VALUE n) SELECT name, role, n FROM r JOIN c USING (name)")
 def f10(spark, d):
     """Role metadata of a dataset's columns, checked to be disjoint and exhaustive."""
     s = K.require_columns(steps(spark, d), ["grp", "step", "qty", "disc", "win"]).select("grp", "step", "qty", "disc", "win")

@@ -337,10 +337,16 @@ def w11(spark, d):
     return shocks(spark, d).select("key", "us", "seq", "move")
 
 
-STUDY = SHOCKS.strip() + """,
-f AS (SELECT key, us, seq, cents FROM tape WHERE kind = 'view'), g AS (SELECT s.key, s.seq, s.us, s.move, h, s.us + 3600000000 AS t_in, s.us + h * 3600000000 AS t_out FROM shocks s, (VALUES (6), (24), (72)) v(h)),
+def study_sql(horizons=(6, 24, 72), latencies=(1,)) -> str:
+    """CTEs of the study at horizons and latencies in hours."""
+    hours, late = (", ".join(f"({x})" for x in xs) for xs in (horizons, latencies))
+    return f"""{SHOCKS.strip()},
+f AS (SELECT key, us, seq, cents FROM tape WHERE kind = 'view'), g AS (SELECT s.key, s.seq, s.us, s.move, h, latency, s.us + latency * 3600000000 AS t_in, s.us + h * 3600000000 AS t_out FROM shocks s, (VALUES {hours}) v(h), (VALUES {late}) w(latency)),
 a AS (SELECT g.*, f.cents AS entry, f.us - g.t_in AS w_in FROM g ASOF LEFT JOIN f ON g.key = f.key AND g.t_in <= f.us), e AS (SELECT a.*, f.cents AS exit, f.us - a.t_out AS w_out FROM a ASOF LEFT JOIN f ON a.key = f.key AND a.t_out <= f.us),
-study AS (SELECT key, seq, us, move, h, CASE WHEN w_in <= 86400000000 AND w_out <= 86400000000 THEN (exit - entry) * CASE WHEN move > 0 THEN -1 ELSE 1 END END AS pnl FROM e)"""
+study AS (SELECT key, seq, us, move, h, latency, CASE WHEN w_in <= 86400000000 AND w_out <= 86400000000 THEN (exit - entry) * CASE WHEN move > 0 THEN -1 ELSE 1 END END AS pnl FROM e)"""
+
+
+STUDY = study_sql()
 
 
 def study(spark, d, horizons=(6, 24, 72), latency_hours=1):

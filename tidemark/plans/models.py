@@ -239,24 +239,27 @@ def m19(spark, d):
 
 @query("M20_elo_by_pool")
 def m20(spark, d):
-    """Elo within pools (nations); contests of one day are rated from the ratings before it."""
-
-    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating, out = {}, []
-        for _, day in pdf.sort_values(["day", "fact"]).groupby("day", sort=True):
-            a = day["entity"].map(lambda e: rating.get(e, 1500.0))
-            b = day["rival"].map(lambda e: rating.get(e, 1500.0))
-            p = 1 / (1 + 10 ** ((b - a) / 400))
-            out.append(day.assign(p=p)[["fact", "p"]])
-            move = 24 * (day["won"].astype(float) - p)
-            both = pd.concat([pd.Series(move.values, day["entity"].values), pd.Series(-move.values, day["rival"].values)]).groupby(level=0).sum()
-            for e, m in both.items():
+    """Elo within pools (nations); contests of one day are rated from the ratings before it.
+
+    Rivals are of the same 25 entities, so that a pool's blocks of 25 are rated apart: the
+    state of a pass is 25 ratings and one day's moves, however large a pool is."""
+
+    def rate(state, day, entity, rival, won):
+        last, rating, moves = state or (day, {}, {})
+        if day != last:
+            for e, m in moves.items():
                 rating[e] = rating.get(e, 1500.0) + m
-        return pd.concat(out) if out else pd.DataFrame({"fact": [], "p": []})
+            moves = {}
+        p = 1 / (1 + 10 ** ((rating.get(rival, 1500.0) - rating.get(entity, 1500.0)) / 400))
+        move = 24 * (won - p)
+        moves[entity] = moves.get(entity, 0.0) + move
+        moves[rival] = moves.get(rival, 0.0) - move
+        return (day, rating, moves), (p,)
 
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("pool"))
-    f = facts(spark, d).join(c, "entity").select("fact", "day", "entity", "won", "pool", (F.col("entity") - F.col("entity") % 25 + (F.col("entity") + 7) % 25).alias("rival"))
-    return f.groupBy("pool").applyInPandas(rate, "fact long, p double").select("fact", F.round("p", 6).alias("p"))
+    block = F.floor(F.col("entity") / 25)
+    f = facts(spark, d).join(c, "entity").select("fact", "day", "entity", "won", "pool", block.alias("block"), (block * 25 + (F.col("entity") + 7) % 25).alias("rival"))
+    return W.ordered_pass(f, ["pool", "block"], ["day", "fact"], ["day", "entity", "rival", "won"], {"p": "double"}, rate).select("fact", F.round("p", 6).alias("p"))
 
 
 @query("M21_scheme_tournament", "WITH c AS (SELECT unnest([10, 20, 30]) AS q, unnest([2, 4, 6]) AS x UNION ALL SELECT 25, 0), r AS (SELECT c.q, c.x, count(*) AS n, sum(CASE WHEN s.win THEN s.cents ELSE -s.cents END) AS net FROM c JOIN steps s ON s.qty >= c.q AND s.disc >= c.x GROUP BY ALL) SELECT arg_max(q, (net // 1000, -q)) AS q, arg_max(x, (net // 1000, -q)) AS x, max(net) AS net, count(*) AS schemes FROM r WHERE n >= 50")

@@ -82,7 +82,7 @@ def s08(spark, d):
     return T.upsert(old, new, ["key"], ("first_us",), ("last_us",))
 
 
-@query("S09_write_once")
+@query("S09_write_once", "SELECT side, count(*) AS n, true AS second_refused FROM steps GROUP BY side")
 def s09(spark, d):
     path = _scratch(spark, "once")
     s = steps(spark, d).groupBy("side").agg(F.count(F.lit(1)).alias("n"))

@@ -61,13 +61,20 @@ def t04(spark, d):
     return R.drain(s, "late", "complete")
 
 
-@query("T05_book_stream")
+BOOK = """
+WITH m AS (SELECT key, seq, kind, cents // 100 AS price, k, row_number() OVER w AS n, count(*) FILTER (WHERE kind = 'signup') OVER w AS epoch FROM tape WHERE cents IS NOT NULL AND k IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY us, seq)),
+l AS (SELECT a.key, a.seq, b.price, arg_max(b.k, b.n) AS size, arg_max(b.kind = 'signup', b.n) AS fresh FROM m a JOIN m b ON a.key = b.key AND a.epoch = b.epoch AND b.n <= a.n GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY key, seq ORDER BY price DESC) AS r FROM l WHERE fresh OR size >= 10)
+SELECT m.key, m.seq, max(s.price) AS best, CAST(coalesce(sum(s.size) FILTER (WHERE r <= 5), 0) AS BIGINT) AS depth5, count(s.price) AS levels FROM m LEFT JOIN s ON m.key = s.key AND m.seq = s.seq GROUP BY m.key, m.seq"""
+
+
+@query("T05_book_stream", BOOK)
 def t05(spark, d):
     """The stateful book over the stream; tests hold it against T05_book_batch."""
-    return R.drain(R.per_key(_stream(spark, d).select("key", "us", "seq", "kind", "cents", "k"), "key", R.BOOK, "prices array<long>, sizes array<long>", R.book_step), "book")
+    return R.drain(R.per_key(_stream(spark, d).select("key", "us", "seq", "kind", "cents", "k").dropna(), "key", R.BOOK, "prices array<long>, sizes array<long>", R.book_step), "book")
 
 
-@query("T05_book_batch")
+@query("T05_book_batch", BOOK)
 def t05_batch(spark, d):
     return R.book_batch(tape(spark, d))
 
@@ -104,9 +111,12 @@ def t09(spark, d):
     return b.select("seq", F.col("b_seq").alias("before_seq"), F.col("a_seq").alias("after_seq")).where("before_seq IS NOT NULL OR after_seq IS NOT NULL")
 
 
-@query("T10_monotone_stream")
+@query("T10_monotone_stream", """
+WITH RECURSIVE o AS (SELECT key, seq, k, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS n FROM tape WHERE k IS NOT NULL),
+r AS (SELECT key, seq, n, k AS bar, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.key, o.seq, o.n, greatest(r.bar, o.k), o.k >= r.bar FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)
+SELECT key, seq, accepted FROM r""")
 def t10(spark, d):
-    s = _stream(spark, d).select("key", "us", "seq", "k")
+    s = _stream(spark, d).select("key", "us", "seq", "k").dropna()
     return R.drain(R.per_key(s, "key", "key long, seq long, accepted boolean", "bar long", R.monotone_step), "monotone")
 
 
@@ -116,7 +126,10 @@ def t11(spark, d):
     return t.groupBy("key", F.session_window("ts", "5 hours")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.min("us").alias("first_us")).drop("session_window")
 
 
-@query("T11_session_stream")
+@query("T11_session_stream", """
+WITH b AS (SELECT *, CASE WHEN us - lag(us) OVER w < 18000000000 THEN 0 ELSE 1 END AS brk FROM tape WINDOW w AS (PARTITION BY key ORDER BY us, seq)), s AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS s FROM b),
+g AS (SELECT key, count(*) AS n, sum(cents) AS cents, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY key, s), mark AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS closed FROM tape)
+SELECT key, n, cents, first_us FROM g, mark WHERE last_us + 18000000000 <= closed""")
 def t11_stream(spark, d):
     """Sessions that the watermark has closed, while the stream goes on."""
     s = _stream(spark, d).withWatermark("ts", "1 hour").groupBy("key", F.session_window("ts", "5 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.min("us").alias("first_us")).drop("w")

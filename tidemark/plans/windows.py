@@ -182,9 +182,13 @@ def w20(spark, d):
     return s.groupBy("grp").agg(F.max(F.when(~F.col("ok"), F.col("step"))).alias("bad"), F.max("step").alias("n")).where("bad IS NULL OR bad < n").select("grp", (F.coalesce("bad", F.lit(0)) + 1).alias("locked"))
 
 
-@query("W21_monotone_quarantine")
+@query("W21_monotone_quarantine", """
+WITH RECURSIVE o AS (SELECT grp, step, day, line, row_number() OVER (PARTITION BY grp ORDER BY step, line) AS n FROM steps),
+r AS (SELECT grp, step, n, day AS bar_day, line AS bar_line, true AS accepted FROM o WHERE n = 1
+UNION ALL SELECT o.grp, o.step, o.n, CASE WHEN o.day >= r.bar_day AND o.line >= r.bar_line THEN o.day ELSE r.bar_day END, CASE WHEN o.day >= r.bar_day AND o.line >= r.bar_line THEN o.line ELSE r.bar_line END, o.day >= r.bar_day AND o.line >= r.bar_line FROM r JOIN o ON o.grp = r.grp AND o.n = r.n + 1)
+SELECT grp, step, accepted FROM r""")
 def w21(spark, d):
-    """Steps whose day and line both don't fall below the last accepted step's (no SQL twin)."""
+    """Steps whose day and line both don't fall below the last accepted step's."""
     return W.monotone(steps(spark, d).select("grp", "step", "day", "line"), ["grp"], "step", "line", ["day", "line"]).select("grp", "step", "accepted")
 
 
@@ -284,25 +288,27 @@ def w32(spark, d):
     return t.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("W33_transition_inference")
+@query("W33_transition_inference", """
+WITH RECURSIVE o AS (SELECT key, seq, k // 20 AS a, cents // 4000 AS b, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS n FROM tape WHERE k IS NOT NULL AND cents IS NOT NULL),
+r AS (SELECT key, seq, n, a AS la, b AS lb, CAST(NULL AS VARCHAR) AS winner FROM o WHERE n = 1
+UNION ALL SELECT key, seq, n, CASE WHEN ok THEN a ELSE la END, CASE WHEN ok THEN b ELSE lb END, CASE WHEN ok THEN CASE WHEN a > la THEN 'a' ELSE 'b' END END
+FROM (SELECT o.key, o.seq, o.n, o.a, o.b, r.la, r.lb, o.a >= r.la AND o.b >= r.lb AND o.a + o.b - r.la - r.lb = 1 AS ok FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1) x)
+SELECT seq, winner FROM r WHERE winner IS NOT NULL""")
 def w33(spark, d):
     """Winners inferred from score changes between accepted rows: the next accepted row is
-    the one whose scores don't fall and rise by one in all; others are skipped (no SQL twin)."""
-    import pandas as pd
-
-    def infer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"], kind="stable")
-        out, last = [], None
-        for seq, a, b in zip(pdf["seq"], pdf["a"], pdf["b"], strict=True):
-            if last is None or a < last[0] or b < last[1]:
-                last = (a, b) if last is None else last
-            elif a + b - last[0] - last[1] == 1:
-                out.append((seq, "a" if a > last[0] else "b"))
-                last = (a, b)
-        return pd.DataFrame(out, columns=["seq", "winner"]).astype({"seq": "int64", "winner": "object"})
+    the one whose scores don't fall and rise by one in all; others are skipped, as are rows with a null score."""
+
+    def infer(last, a, b):
+        if a is None or b is None:
+            return last, (None,)
+        if last is None:
+            return (a, b), (None,)
+        if a >= last[0] and b >= last[1] and a + b - last[0] - last[1] == 1:
+            return (a, b), ("a" if a > last[0] else "b",)
+        return last, (None,)
 
     t = tape(spark, d).select("key", "us", "seq", F.floor(F.col("k") / 20).alias("a"), F.floor(F.col("cents") / 4000).alias("b"))
-    return t.groupBy("key").applyInPandas(infer, "seq long, winner string")
+    return W.ordered_pass(t, ["key"], ["us", "seq"], ["a", "b"], {"winner": "string"}, infer).where("winner IS NOT NULL").select("seq", "winner")
 
 
 @query("W34_violations", """

@@ -7,6 +7,7 @@ each key by Spark's state store, so a lost executor resumes from the checkpoint.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.windows import ordered_pass
 from ..scratch import scratch_path as scratch
 from ..sources.tables import micros
 
@@ -84,22 +86,19 @@ def monotone_step(key, rows, state):
     return rows[["key", "seq"]].assign(accepted=ok), (bar,)
 
 
-def book_rows(rows: pd.DataFrame, book: dict[int, int]) -> pd.DataFrame:
-    """Best levels after each message: signup replaces the book by one level, a size (k) of
-    0 to 9 deletes its price, any other sets it.  Prices are in whole units."""
-    out = []
-    for seq, kind, cents, k in zip(rows["seq"], rows["kind"], rows["cents"], rows["k"], strict=True):
-        price = int(cents) // 100
-        if kind == "signup":
-            book.clear()
-            book[price] = int(k)
-        elif k < 10:
-            book.pop(price, None)
-        else:
-            book[price] = int(k)
-        top = sorted(book, reverse=True)[:5]
-        out.append((seq, top[0] if top else None, sum(book[p] for p in top), len(book)))
-    return pd.DataFrame(out, columns=["seq", "best", "depth5", "levels"]).astype({"seq": "int64", "best": "Int64", "depth5": "int64", "levels": "int64"})
+def book_message(book: dict[int, int], kind: str, cents: int, k: int) -> tuple:
+    """Best levels after a message, which changes the book: signup replaces it by one level,
+    a size (k) of 0 to 9 deletes its price, any other sets it.  Prices are in whole units."""
+    price = int(cents) // 100
+    if kind == "signup":
+        book.clear()
+        book[price] = int(k)
+    elif k < 10:
+        book.pop(price, None)
+    else:
+        book[price] = int(k)
+    top = heapq.nlargest(5, book)
+    return (top[0] if top else None, sum(book[p] for p in top), len(book))
 
 
 BOOK = "key long, seq long, best long, depth5 long, levels long"
@@ -107,18 +106,18 @@ BOOK = "key long, seq long, best long, depth5 long, levels long"
 
 def book_step(key, rows, state):
     book = dict(zip(state[0], state[1], strict=True)) if state else {}
-    out = book_rows(rows, book)
-    out.insert(0, "key", key[0])
-    return out, ([int(p) for p in book], [int(s) for s in book.values()])
+    out = [(key[0], seq, *book_message(book, kind, cents, k)) for seq, kind, cents, k in zip(rows["seq"], rows["kind"], rows["cents"], rows["k"], strict=True)]
+    frame = pd.DataFrame(out, columns=["key", "seq", "best", "depth5", "levels"]).astype({"best": "Int64", "depth5": "int64", "levels": "int64"})
+    return frame, ([int(p) for p in book], [int(s) for s in book.values()])
 
 
 def book_batch(tape: DataFrame) -> DataFrame:
-    """The batch twin of the stateful book."""
+    """The batch twin of the stateful book: one ordered pass, the book is its state.  Messages
+    without a price or size are no messages."""
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"], kind="stable")
-        out = book_rows(pdf, {})
-        out.insert(0, "key", pdf["key"].iloc[0])
-        return out
+    def step(book, *message):
+        book = {} if book is None else book
+        return book, book_message(book, *message)
 
-    return tape.select("key", "us", "seq", "kind", "cents", "k").groupBy("key").applyInPandas(whole, BOOK)
+    rows = tape.select("key", "us", "seq", "kind", "cents", "k").dropna()
+    return ordered_pass(rows, ["key"], ["us", "seq"], ["kind", "cents", "k"], {"best": "long", "depth5": "long", "levels": "long"}, step).select("key", "seq", "best", "depth5", "levels")
