@@ -48,9 +48,8 @@ def t02_change(spark, d):
 @query("T03_eligibility", "WITH g AS (SELECT *, us - lag(us) OVER (PARTITION BY key ORDER BY us, seq) AS gap FROM tape), s AS (SELECT *, max(CASE WHEN gap IS NULL OR gap > 43200000000 THEN us END) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS start_us FROM g) SELECT seq, us - start_us > 3600000000 AS eligible FROM s")
 def t03(spark, d):
     """Rows of the first hour after a start or a gap of 12 hours are a snapshot, not news."""
-    t = tape(spark, d).withColumn("gap", F.col("us") - F.lag("us").over(_key()))
-    start = F.max(F.when(F.col("gap").isNull() | (F.col("gap") > 12 * HOUR), F.col("us"))).over(W.upto(["key"], ["us", "seq"]))
-    return t.select("seq", (F.col("us") - start > HOUR).alias("eligible"))
+    s = _stream(spark, d).select("key", "us", "seq")
+    return R.drain(R.per_key(s, "key", "seq long, eligible boolean", "start long, last long", R.eligible_step(12 * HOUR, HOUR)), "eligible")
 
 
 @query("T04_late_rows", "SELECT CASE WHEN k IS NULL THEN 'missing' WHEN k - 20 < -2 THEN 'early' WHEN k - 20 > 50 THEN 'late' ELSE 'kept' END AS outcome, count(*) AS n FROM tape GROUP BY 1")
@@ -81,10 +80,10 @@ def t05_batch(spark, d):
 
 @query("T06_rolling_features", "SELECT a.seq, CAST((SELECT count(*) FROM tape b WHERE b.key = a.key AND b.us > a.us - 43200000000 AND (b.us, b.seq) <= (a.us, a.seq)) AS BIGINT) AS n12, CAST((SELECT coalesce(sum(CASE b.kind WHEN 'purchase' THEN b.cents WHEN 'error' THEN -b.cents ELSE 0 END), 0) FROM tape b WHERE b.key = a.key AND b.us > a.us - 43200000000 AND (b.us, b.seq) <= (a.us, a.seq)) AS BIGINT) AS flow12 FROM tape a")
 def t06(spark, d):
+    """Trailing counts and flows from state; a key silent for the window's length loses it."""
     flow = F.when(F.col("kind") == "purchase", F.col("cents")).when(F.col("kind") == "error", -F.col("cents")).otherwise(0)
-    t = tape(spark, d).select("key", "us", "seq", flow.alias("flow"), F.lit(1).alias("one"))
-    n = W.trailing_sum(t, ["key"], "us", "seq", "one", 12 * HOUR, "n12")
-    return W.trailing_sum(n, ["key"], "us", "seq", "flow", 12 * HOUR, "flow12").select("seq", "n12", "flow12")
+    s = _stream(spark, d).withWatermark("ts", "1 hour").select("key", "ts", F.unix_millis("ts").alias("ms"), "us", "seq", F.coalesce(flow, F.lit(0)).alias("flow"))
+    return R.drain(R.per_key(s, "key", "seq long, n12 long, flow12 long", "times array<long>, flows array<long>", R.trailing_step(12 * HOUR), idle=12 * HOUR // 1000), "rolling")
 
 
 @query("T07_cooldown_stream", "WITH RECURSIVE c AS (SELECT key, us, seq FROM tape WHERE cents >= 10000), r AS (SELECT key, min(us) AS us FROM c GROUP BY key UNION ALL SELECT r.key, (SELECT min(c.us) FROM c WHERE c.key = r.key AND c.us >= r.us + 172800000000) FROM r WHERE EXISTS (SELECT 1 FROM c WHERE c.key = r.key AND c.us >= r.us + 172800000000)) SELECT c.key, c.us, c.seq FROM c JOIN r ON c.key = r.key AND c.us = r.us")
@@ -174,8 +173,9 @@ def t14(spark, d):
 
 @query("T15_median_bins", "SELECT key, us // 7200000000 AS bin, round(quantile_cont(cents, 0.5), 4) AS mid, count(*) AS n FROM tape WHERE kind IN ('view', 'click') GROUP BY ALL")
 def t15(spark, d):
-    b = tape(spark, d).where("kind IN ('view', 'click')").groupBy("key", F.floor(F.col("us") / (2 * HOUR)).alias("bin"))
-    return b.agg(F.round(F.percentile("cents", 0.5), 4).alias("mid"), F.count(F.lit(1)).alias("n"))
+    """Medians are of the bin's rows so far, so results replace each other."""
+    s = _stream(spark, d).where("kind IN ('view', 'click')").groupBy("key", F.floor(F.col("us") / (2 * HOUR)).alias("bin"))
+    return R.drain(s.agg(F.round(F.percentile("cents", 0.5), 4).alias("mid"), F.count(F.lit(1)).alias("n")), "medians", "complete")
 
 
 @query("U06_keyed_state", "SELECT seq, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS n, sum(cents) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS total FROM tape")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +49,27 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def per_key(stream: DataFrame, by: str, schema: str, state_schema: str, step: Callable[[tuple, pd.DataFrame, object], tuple[pd.DataFrame, tuple]]) -> DataFrame:
-    """A stateful operator: step(key, rows in arrival order, state or None) gives rows out
-    and the new state."""
+def per_key(stream: DataFrame, by: str, schema: str, state_schema: str, step: Callable[[tuple, pd.DataFrame, object], tuple[pd.DataFrame, tuple]], idle: int | None = None) -> DataFrame:
+    """A stateful operator: step(key, rows in order of a batch, state or None) gives rows out
+    and the new state.
+
+    idle: a key's state goes when the watermark is so many milliseconds beyond its last row.
+    The stream then needs a watermark on ts and the column ms, ts in milliseconds; rows at
+    or before 1970 count as late then.  A key with rows in the batch keeps its state."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["us", "seq"], kind="stable")
         out, new = step(key, rows, state.get if state.exists else None)
         state.update(new)
+        if idle is not None:
+            state.setTimeoutTimestamp(int(max(rows["ms"].max() + idle, state.getCurrentWatermarkMs() + 1)))
         yield out
 
-    return stream.groupBy(by).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    return stream.groupBy(by).applyInPandasWithState(run, schema, state_schema, "append", timeout)
 
 
 def cooldown_step(width: int):
@@ -86,6 +97,42 @@ def monotone_step(key, rows, state):
     return rows[["key", "seq"]].assign(accepted=ok), (bar,)
 
 
+def eligible_step(gap: int, settle: int):
+    """Rows with whether more than `settle` has passed since the key's last start, which is
+    its first row or one after a silence of more than `gap`."""
+
+    def step(key, rows, state):
+        start, last = state or (None, None)
+        ok = []
+        for t in rows["us"]:
+            start = t if last is None or t - last > gap else start
+            ok.append(t - start > settle)
+            last = t
+        return rows[["seq"]].assign(eligible=ok), (int(start), int(last))
+
+    return step
+
+
+def trailing_step(width: int):
+    """Number and sum of flow over the last `width` up to each row; the state is the rows of
+    that time, so that it is bounded by the key's rate.  Of rows of one instant the later
+    ones see the earlier ones."""
+
+    def step(key, rows, state):
+        old_us, old_flow = state or ([], [])
+        us = np.concatenate([np.asarray(old_us, "int64"), rows["us"].to_numpy("int64")])
+        flow = np.concatenate([np.asarray(old_flow, "int64"), rows["flow"].to_numpy("int64")])
+        run = np.concatenate([[0], np.cumsum(flow)])
+        at = np.arange(len(old_us), len(us))
+        # Rows that come late stand after newer ones: times never fall in what is searched.
+        out_of = np.searchsorted(np.maximum.accumulate(us), us[at] - width, side="right")
+        out = rows[["seq"]].assign(n12=at + 1 - out_of, flow12=run[at + 1] - run[out_of])
+        keep = np.maximum.accumulate(us) > us.max() - width
+        return out, (us[keep].tolist(), flow[keep].tolist())
+
+    return step
+
+
 def book_message(book: dict[int, int], kind: str, cents: int, k: int) -> tuple:
     """Best levels after a message, which changes the book: signup replaces it by one level,
     a size (k) of 0 to 9 deletes its price, any other sets it.  Prices are in whole units."""
