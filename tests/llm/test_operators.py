@@ -317,8 +317,8 @@ def test_range_join_with_default_parameters(spark):
     x = np.concatenate([base + r.normal(scale=0.12, size=base.shape) for _ in range(4)] + [base[:300], r.normal(size=(400, 8))]).astype(np.float32)
     label = np.where(np.arange(len(x)) % 12 == 11, 2, 1)
     rows = [(int(i), [float(v) for v in x[i]], int(label[i])) for i in range(len(x))]
-    pivots = range_join.draw_pivots(range_join.unit_vectors(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label"), range_join.CELL_ROWS)
-    assert pivots
+    pivots = range_join.draw_pivots(range_join.unit_vectors(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label"), range_join.CELL_ROWS, (2 - 2 * 0.93) ** 0.5)
+    assert len(pivots) == 2
     got = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in range_join.near_duplicates(df).collect()}
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
     m = (u @ u.T >= 0.93) & (label[:, None] == label)

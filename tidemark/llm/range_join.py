@@ -8,11 +8,14 @@ sharper, (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) <= r.  A vector is replicated to tho
 cells of lower number, so every pair meets in exactly one cell, and cells join on their
 own, in blocks, as matrix products in double precision.
 
-Scale: equal vectors are joined as one with a weight.  Large cells are cut into blocks of
-BLOCK_ROWS, and a task gets two blocks, so neither a hot label nor a hot vector lands in
-one task.  Tasks return counts and a spanning forest of their links, never the links.
-The number of pivots is bounded (MAX_PIVOTS); it decides speed only.  Where vectors
-are spread evenly over many dimensions the bounds prune little and the work is that of
+Scale: equal vectors are joined as one with a weight.  A label gets more pivots the more
+vectors it has, down to small labels, as long as the cells that a sample of its vectors
+goes to are few (CELL_COPIES on average), two at least; so what is sent to cells grows
+with the input.  Large cells are cut into blocks of BLOCK_ROWS, and a task gets two blocks,
+so neither a hot label nor a hot vector lands in one task.  Tasks return counts and a
+spanning forest of their links, never the links.  The number of pivots is bounded
+(LABEL_PIVOTS, MAX_PIVOTS); it decides speed only.  Where vectors are spread evenly over
+many dimensions the bounds prune little, labels keep few pivots, and the work is that of
 comparing a label's vectors with each other in blocks.
 """
 
@@ -30,7 +33,11 @@ from .components import components
 
 COSINE = 0.93
 #: Vectors of one cell aimed at; rows of a block; pivots of one label and of all.
-CELL_ROWS, BLOCK_ROWS, LABEL_PIVOTS, MAX_PIVOTS = 4000, 1000, 64, 2048
+CELL_ROWS, BLOCK_ROWS, LABEL_PIVOTS, MAX_PIVOTS = 40, 1000, 256, 4096
+#: Cells that a vector may go to on average where a label has more than two pivots.
+CELL_COPIES = 2.0
+#: Vectors of a label drawn to try pivots on, about.
+SAMPLE = 64
 #: Rounding must never prune: added to the bound.
 SLACK = 1e-6
 
@@ -48,7 +55,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
     return scaled.withColumn("n", norm).select("vec_id", "copies", "label", F.size("v").alias("dim"), F.transform("u", lambda x: x / F.col("n")).alias("unit"))
 
 
-def draw_pivots(units: DataFrame, cell_rows: int) -> dict:
+def draw_pivots(units: DataFrame, cell_rows: int, radius: float) -> dict:
     """(label, dim) -> pivots (k x dim), for labels of more than one cell's rows."""
     counts = units.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).orderBy(F.desc("n"), "label", "dim").limit(MAX_PIVOTS // 2)
     large = counts.collect()  # at most MAX_PIVOTS / 2 rows
@@ -57,17 +64,34 @@ def draw_pivots(units: DataFrame, cell_rows: int) -> dict:
     wanted = [max(2, int(k * shrink)) for k in wanted]
     if not large:
         return {}
-    rates = units.sparkSession.createDataFrame([(r["label"], r["dim"], int(min(1.0, 4.0 * k / r["n"]) * 1e9)) for r, k in zip(large, wanted, strict=True)], units.select("label", "dim").withColumn("_rate", F.lit(0).cast("long")).schema)
+    rates = units.sparkSession.createDataFrame([(r["label"], r["dim"], int(min(1.0, max(SAMPLE, 2.0 * k) / r["n"]) * 1e9)) for r, k in zip(large, wanted, strict=True)], units.select("label", "dim").withColumn("_rate", F.lit(0).cast("long")).schema)
     key = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(10**9))
-    drawn = units.join(F.broadcast(rates), ["label", "dim"]).where(key < F.col("_rate")).select("label", "dim", key.alias("key"), "unit").collect()  # some 4 * MAX_PIVOTS rows
+    # Some max(SAMPLE * labels, 2 * MAX_PIVOTS) rows.
+    drawn = units.join(F.broadcast(rates), ["label", "dim"]).where(key < F.col("_rate")).select("label", "dim", key.alias("key"), "unit").collect()
+    samples: dict = {}
+    for r in drawn:
+        samples.setdefault((r["label"], r["dim"]), []).append((r["key"], r["unit"]))
     out = {}
     for r, k in zip(large, wanted, strict=True):
-        ours = sorted((x["key"], x["unit"]) for x in drawn if (x["label"], x["dim"]) == (r["label"], r["dim"]))[:k]
+        ours = np.array([u for _, u in sorted(samples.get((r["label"], r["dim"]), []))])
         if len(ours) > 1:
-            out[r["label"], r["dim"]] = np.array([u for _, u in ours])
+            out[r["label"], r["dim"]] = few_cells(ours, min(k, len(ours)), radius)
     return out
 
 
+def few_cells(sample: np.ndarray, k: int, radius: float) -> np.ndarray:
+    """k vectors of the sample that lie far apart, or half as many and so on, as pivots under
+    which the others go to no more than CELL_COPIES cells on average; two at least."""
+    order, reach = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(order) < k:  # the next pivot is the vector that is farthest from those there are
+        order.append(int(reach.argmax()))
+        reach = np.minimum(reach, ((sample - sample[order[-1]]) ** 2).sum(1))
+    cells = lambda k: np.mean([len(c) for c in homes(np.delete(sample, order[:k], 0), sample[order[:k]], radius)] or [1])
+    while k > 2 and cells(k) > CELL_COPIES:
+        k = max(2, k // 2)
+    return sample[order[:k]]
+
+
 def homes(x: np.ndarray, pivots: np.ndarray, radius: float) -> list[np.ndarray]:
     """For each row of x the cells it goes to: its home first, then lower cells in reach."""
     d2 = np.maximum(0.0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T)
@@ -150,7 +174,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         raise ValueError("cosine must be in (0, 1]")
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     units = materialize(unit_vectors(vectors, id_col, vector_col, label_col), "units")
-    pivots = draw_pivots(units, cell_rows)
+    pivots = draw_pivots(units, cell_rows, radius)
     cells = materialize(spread(units, pivots, radius), "cells")
     sizes = cells.groupBy("label", "dim", "cell", "native").agg(F.count(F.lit(1)).alias("n")).groupBy("label", "dim", "cell").agg(F.coalesce(F.sum(F.when(F.col("native"), F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~F.col("native"), F.col("n"))), F.lit(0)).alias("r"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block_rows)).cast("int")
