@@ -46,13 +46,26 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
     """Distinct usable vectors: vec_id (smallest), copies, label, dim, unit (array<double>)."""
     v = F.col(vector_col).cast("array<double>")
     usable = F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    top = F.array_max(F.transform(v, F.abs))
     rows = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v")).where(F.array_max(F.transform("v", F.abs)) > 0)
     # Equal vectors are one; the sum over all is map-side combined.
     one = rows.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-    scaled = one.withColumn("s", F.array_max(F.transform("v", F.abs))).withColumn("u", F.transform("v", lambda x: x / F.col("s")))
-    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("n", norm).select("vec_id", "copies", "label", F.size("v").alias("dim"), F.transform("u", lambda x: x / F.col("n")).alias("unit"))
+    raw = one.select("vec_id", "copies", "label", F.size("v").alias("dim"), F.col("v").alias("unit"))
+    return raw.mapInArrow(_scaled, raw.schema)
+
+
+def _scaled(batches):
+    """The last column's vectors, none of them empty or zero, divided by their lengths."""
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        if not len(sizes):
+            continue
+        x, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+        starts = ends - sizes
+        x = x / np.repeat(np.maximum.reduceat(np.abs(x), starts), sizes)  # so that no square overflows
+        x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), sizes)
+        unit = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(x, pa.float64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], unit], batch.schema.names)
 
 
 def draw_pivots(units: DataFrame, cell_rows: int, radius: float) -> dict:
