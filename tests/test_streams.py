@@ -63,3 +63,25 @@ def test_eligibility_over_batches(spark, landed):
         last[k] = t
         want.append((r["seq"], t - start[k] > HOUR))
     assert _rows(R.drain(s, "eligible")) == sorted(want) and {e for _, e in want} == {True, False}
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_pairing_over_batches_equals_brute_force(spark, tmp_path, late):
+    """Quotes that come late, within the watermark's delay, and probes that wait for batches."""
+    path, width = str(tmp_path / "ticks"), 6 * HOUR
+    rows = [(i % 2, (1000 + i) * HOUR + i % 5 * 600_000_000, i, i % 3 == 0) for i in range(60) if i % 17 not in (3, 4, 5, 6, 7, 8, 9)] + [(0, 1200 * HOUR, 100, False)]
+    files = [rows[i : i + 7] for i in range(0, len(rows), 7)]
+    if late:  # neighbours by time land in each other's files
+        for a, b in zip(files, files[1:]):
+            a[-1], b[0] = b[0], a[-1]
+    for some in files:
+        spark.createDataFrame(some, "key long, us long, seq long, probe boolean").withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(path)
+    got = _rows(R.drain(R.paired(_stream(spark, path).withWatermark("ts", "5 hours"), "key", F.col("probe"), width), "pairs"))
+    want = []
+    for key, us, seq, probe in rows:
+        quotes = [(u, s) for k, u, s, p in rows if k == key and not p]
+        before = max([(u, s) for u, s in quotes if 0 <= us - u <= width], default=(None, None))
+        after = min([(u, s) for u, s in quotes if 0 <= u - us <= width], default=(None, None))
+        if probe and (before[1] is not None or after[1] is not None):
+            want.append((seq, before[1], after[1]))
+    assert got == sorted(want) and any(None in w for w in want) and not all(None in w for w in want)

@@ -110,6 +110,18 @@ def t09(spark, d):
     return b.select("seq", F.col("b_seq").alias("before_seq"), F.col("a_seq").alias("after_seq")).where("before_seq IS NOT NULL OR after_seq IS NOT NULL")
 
 
+@query("T09_pairing_stream", """
+WITH p AS (SELECT key, us, seq FROM tape WHERE kind = 'purchase'), q AS (SELECT key, us, seq FROM tape WHERE kind = 'view'),
+a AS (SELECT p.*, CASE WHEN p.us - q.us <= 21600000000 THEN q.seq END AS before_seq FROM p ASOF LEFT JOIN q ON p.key = q.key AND p.us >= q.us),
+b AS (SELECT a.*, CASE WHEN q.us - a.us <= 21600000000 THEN q.seq END AS after_seq, CASE WHEN q.us - a.us <= 21600000000 THEN q.us ELSE a.us + 21600000000 END AS final FROM a ASOF LEFT JOIN q ON a.key = q.key AND a.us <= q.us),
+mark AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS closed FROM tape WHERE kind IN ('purchase', 'view'))
+SELECT seq, before_seq, after_seq FROM b, mark WHERE coalesce(final, us + 21600000000) <= closed AND (before_seq IS NOT NULL OR after_seq IS NOT NULL)""")
+def t09_stream(spark, d):
+    """As T09_pairing, on the stream: pairs that the watermark has made final."""
+    s = _stream(spark, d).where("kind IN ('purchase', 'view')").withWatermark("ts", "1 hour")
+    return R.drain(R.paired(s, "key", F.col("kind") == "purchase", 6 * HOUR), "paired")
+
+
 @query("T10_monotone_stream", """
 WITH RECURSIVE o AS (SELECT key, seq, k, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS n FROM tape WHERE k IS NOT NULL),
 r AS (SELECT key, seq, n, k AS bar, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.key, o.seq, o.n, greatest(r.bar, o.k), o.k >= r.bar FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)

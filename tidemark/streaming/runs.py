@@ -133,6 +133,57 @@ def trailing_step(width: int):
     return step
 
 
+def match_near(probes: list[tuple], quotes: list[tuple], width: int) -> list[tuple]:
+    """(probe's seq, last quote at or before it, first one at or after it, time from which the
+    answer is final) for probes and quotes (us, seq); quotes further off than width don't
+    count and are null."""
+    quotes = sorted(quotes)
+    us = np.array([q[0] for q in quotes], "int64")
+    out = []
+    for t, seq in probes:
+        i, j = int(us.searchsorted(t, "right")) - 1, int(us.searchsorted(t, "left"))
+        left = quotes[i] if i >= 0 and t - quotes[i][0] <= width else None
+        right = quotes[j] if j < len(quotes) and quotes[j][0] - t <= width else None
+        out.append((seq, left and left[1], right and right[1], right[0] if right else t + width))
+    return out
+
+
+def paired(stream: DataFrame, by: str, probe: F.Column, width: int) -> DataFrame:
+    """Streaming pairing: rows with `probe` true and their nearest other rows (quotes) of the
+    same key before and after, at most `width` away: seq, before_seq, after_seq.
+
+    The stream has us, seq and a watermark on ts.  A probe waits until the watermark has
+    passed its next quote, or `width` where none comes, so that quotes within the watermark's
+    delay may come in any order; a timer then sends it on.  Probes without a quote give no
+    row.  State holds waiting probes and the quotes that they or later probes can meet."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        p_us, p_seq, q_us, q_seq = state.get if state.exists else ([], [], [], [])
+        probes, quotes = list(zip(p_us, p_seq, strict=True)), list(zip(q_us, q_seq, strict=True))
+        for rows in [] if state.hasTimedOut else frames:
+            for us, seq, is_probe in zip(rows["us"].tolist(), rows["seq"].tolist(), rows["probe"].tolist(), strict=True):
+                (probes if is_probe else quotes).append((us, seq))
+        mark = state.getCurrentWatermarkMs()
+        closed = mark * 1000
+        found = match_near(probes, quotes, width)
+        final = [x[3] <= closed for x in found]
+        done = [x[:3] for x, f in zip(found, final, strict=True) if f and (x[1] is not None or x[2] is not None)]
+        waiting = [p for p, f in zip(probes, final, strict=True) if not f]
+        since = min([closed, *[t for t, _ in waiting]]) - width
+        quotes = [q for q in quotes if q[0] >= since]
+        if waiting or quotes:
+            due = min([x[3] for x, f in zip(found, final, strict=True) if not f] or [max(q[0] for q in quotes) + width + 1000])
+            state.update(([t for t, _ in waiting], [n for _, n in waiting], [t for t, _ in quotes], [n for _, n in quotes]))
+            state.setTimeoutTimestamp(max(mark + 1, -(-due // 1000) - 1))  # fires once the watermark is beyond it
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(done, columns=["seq", "before_seq", "after_seq"]).astype("Int64")
+
+    rows = stream.select(by, "ts", "us", "seq", F.coalesce(probe, F.lit(False)).alias("probe"))
+    arrays = "p_us array<long>, p_seq array<long>, q_us array<long>, q_seq array<long>"
+    return rows.groupBy(by).applyInPandasWithState(run, "seq long, before_seq long, after_seq long", arrays, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def book_message(book: dict[int, int], kind: str, cents: int, k: int) -> tuple:
     """Best levels after a message, which changes the book: signup replaces it by one level,
     a size (k) of 0 to 9 deletes its price, any other sets it.  Prices are in whole units."""
