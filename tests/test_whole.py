@@ -1,14 +1,17 @@
 """Queries over all rows: small tables with a known or brute-force answer."""
 
+import math
 import random
 from datetime import datetime
 from itertools import combinations, groupby
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import joins as J
 from tidemark.plans import registry
 from tidemark.sources.tables import facts
+from tidemark.sources.tapes import run_shards
 
 
 def test_areas_of_every_label(spark, tmp_path):
@@ -89,3 +92,52 @@ def test_elo_of_each_pool_by_hand(spark):
             rating[e] = rating.get(e, 1500.0) + m
     got = {r["fact"]: r["p"] for r in registry.QUERIES["M20_elo_by_pool"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_deviation_ratings_by_hand(spark):
+    """M20_idle_deviation against the published formulas, written out for whole days and pools."""
+    sf, q, c2 = "/root/testdata/sf0.001", math.log(10) / 400, 400.0
+    pool = {r["c_custkey"]: r["c_nationkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    rows = sorted((r["day"], r["fact"], r["entity"], r["won"]) for r in facts(spark, sf).collect())
+    r, rd, seen, want = {}, {}, {}, {}
+    for day, contests in groupby(rows, key=lambda x: x[0]):
+        met = {}
+        for _, fact, a, won in contests:
+            a, b = (pool[a], a), (pool[a], a - a % 25 + (a + 7) % 25)
+            for e in (a, b):
+                if seen.get(e) != day:
+                    rd[e] = min(350.0, math.sqrt(rd.get(e, 350.0) ** 2 + c2 * (day - seen.get(e, day))))
+                    seen[e] = day
+            met.setdefault(a, []).append((b, float(won), fact))
+            met.setdefault(b, []).append((a, 1.0 - won, None))
+        new = {}
+        for e, games in met.items():
+            d, s = 0.0, 0.0
+            for o, score, fact in games:
+                g = 1 / math.sqrt(1 + 3 * q**2 * rd[o] ** 2 / math.pi**2)
+                p = 1 / (1 + 10 ** (-g * (r.get(e, 1500.0) - r.get(o, 1500.0)) / 400))
+                d, s = d + q**2 * g**2 * p * (1 - p), s + g * (score - p)
+                if fact is not None:
+                    want[fact] = (p, rd[e])
+            v = 1 / (1 / rd[e] ** 2 + d)
+            new[e] = (r.get(e, 1500.0) + q * v * s, math.sqrt(v))
+        for e, (x, y) in new.items():
+            r[e], rd[e] = x, y
+    got = {x["fact"]: (x["p"], x["deviation"]) for x in registry.QUERIES["M20_idle_deviation"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-3 for k in want for a, b in zip(got[k], want[k], strict=True))
+    assert len({round(y) for _, y in got.values()}) > 20
+
+
+def test_shards_that_lost_rows_are_done_anew(spark, tmp_path):
+    rows = spark.range(40).select((F.col("id") % 2).alias("part"), F.when(F.col("id") % 3 == 0, "purchase").otherwise("view").alias("kind"))
+    folders = [f"{tmp_path}/in/part={i}" for i in range(2)]
+    for i, f in enumerate(folders):
+        rows.where(f"part = {i}").drop("part").coalesce(1).write.parquet(f)
+    first = run_shards(spark, folders, f"{tmp_path}/1", None)
+    audit = lambda a: sorted((r["part"], r["n"], r["status"], r["reason"]) for r in a.collect())
+    assert audit(first) == [("0", 20, "ok", "new"), ("1", 20, "ok", "new")]
+    spark.read.parquet(f"{tmp_path}/1/rows/part=0").limit(3).write.parquet(f"{tmp_path}/kept")
+    spark.read.parquet(f"{tmp_path}/kept").write.mode("overwrite").parquet(f"{tmp_path}/1/rows/part=0")
+    second = run_shards(spark, folders, f"{tmp_path}/2", first)
+    assert audit(second) == [("0", 20, "ok", "changed"), ("1", 20, "skipped", "verified")]
+    assert audit(run_shards(spark, folders, f"{tmp_path}/3", second)) == [("0", 20, "skipped", "verified"), ("1", 20, "skipped", "verified")]

@@ -5,6 +5,8 @@ Splits, weights and closed-form fits have oracles; fitted models return rows onl
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -237,6 +239,13 @@ def m19(spark, d):
     return p.select("fact", F.round(F.avg("r").over(last), 6).alias("surprise"))
 
 
+def _contests(spark, d):
+    """Facts as contests of two entities of one block of 25 of a pool."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("pool"))
+    block = F.floor(F.col("entity") / 25)
+    return facts(spark, d).join(c, "entity").select("fact", "day", "entity", "won", "pool", block.alias("block"), (block * 25 + (F.col("entity") + 7) % 25).alias("rival"))
+
+
 @query("M20_elo_by_pool")
 def m20(spark, d):
     """Elo within pools (nations); contests of one day are rated from the ratings before it.
@@ -256,10 +265,41 @@ def m20(spark, d):
         moves[rival] = moves.get(rival, 0.0) - move
         return (day, rating, moves), (p,)
 
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("pool"))
-    block = F.floor(F.col("entity") / 25)
-    f = facts(spark, d).join(c, "entity").select("fact", "day", "entity", "won", "pool", block.alias("block"), (block * 25 + (F.col("entity") + 7) % 25).alias("rival"))
-    return W.ordered_pass(f, ["pool", "block"], ["day", "fact"], ["day", "entity", "rival", "won"], {"p": "double"}, rate).select("fact", F.round("p", 6).alias("p"))
+    return W.ordered_pass(_contests(spark, d), ["pool", "block"], ["day", "fact"], ["day", "entity", "rival", "won"], {"p": "double"}, rate).select("fact", F.round("p", 6).alias("p"))
+
+
+#: Rating points a unit of log odds; variance gained a day of rest; deviation of the unknown.
+POINTS, DAILY, UNKNOWN = 400 / math.log(10), 20.0**2, 350.0
+
+
+def rate_with_deviation(state, day, entity, rival, won):
+    """Rating and deviation (Glickman's closed-form updates) of both sides of a contest; a
+    deviation grows with the days of rest, up to that of an unknown.  Contests of one day
+    see the ratings before it.  Gives (chance of entity, its deviation)."""
+    last, book, news = state or (day, {}, {})
+    if day != last:
+        for who, (grade, pull) in news.items():
+            r, variance, _ = book[who]
+            variance = 1 / (1 / variance + grade)
+            book[who] = (r + variance * pull, variance, last)
+        news = {}
+    for who in (entity, rival):
+        r, variance, seen = book.get(who, (1500.0, UNKNOWN**2, day))
+        book[who] = (r, min(UNKNOWN**2, variance + DAILY * (day - seen)), day)
+    out = None
+    for me, other, score in ((entity, rival, float(won)), (rival, entity, 1.0 - won)):
+        g = 1 / math.sqrt(1 + 3 * book[other][1] / (math.pi * POINTS) ** 2)
+        p = 1 / (1 + math.exp(-g * (book[me][0] - book[other][0]) / POINTS))
+        grade, pull = news.get(me, (0.0, 0.0))
+        news[me] = (grade + (g / POINTS) ** 2 * p * (1 - p), pull + g / POINTS * (score - p))
+        out = out or (p, math.sqrt(book[me][1]))
+    return (day, book, news), out
+
+
+@query("M20_idle_deviation")
+def m20_idle(spark, d):
+    """Ratings whose deviation grows while an entity rests, in the pools and blocks of M20_elo_by_pool."""
+    return W.ordered_pass(_contests(spark, d), ["pool", "block"], ["day", "fact"], ["day", "entity", "rival", "won"], {"p": "double", "deviation": "double"}, rate_with_deviation).select("fact", F.round("p", 6).alias("p"), F.round("deviation", 4).alias("deviation"))
 
 
 @query("M21_scheme_tournament", "WITH c AS (SELECT unnest([10, 20, 30]) AS q, unnest([2, 4, 6]) AS x UNION ALL SELECT 25, 0), r AS (SELECT c.q, c.x, count(*) AS n, sum(CASE WHEN s.win THEN s.cents ELSE -s.cents END) AS net FROM c JOIN steps s ON s.qty >= c.q AND s.disc >= c.x GROUP BY ALL) SELECT arg_max(q, (net // 1000, -q)) AS q, arg_max(x, (net // 1000, -q)) AS x, max(net) AS net, count(*) AS schemes FROM r WHERE n >= 50")
