@@ -359,6 +359,28 @@ def test_token_files_of_empty_table(spark, empty):
     assert token_orc.token_offsets(spark, path).count() == 0
 
 
+def test_repeated_rows_and_null_ids_stay(spark, empty):
+    """Operators that give a row for each document: ids, files, language and toxicity."""
+    rows = [(None, "a a"), (None, "a a"), (1, "b"), (1, "b"), (1, "c d e"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit("i"), "n_tokens": F.lit("n"), "file": F.lit("f"), "row": F.lit(1), "base": F.lit(2), "grams": F.lit(3), "_id": F.lit(4), "p": F.lit(5), "lang": F.lit("en")})
+    key = lambda found: sorted((r["doc_id"] or -1) for r in found)
+    ids = [-1, -1, 1, 1, 1, 2]
+    got = bpe.digests(df, WORD).collect()
+    assert key(got) == ids and sorted(r["n_tokens"] for r in got) == sorted(len(ids_of(WORD, t)) for _, t in rows)
+    assert bpe.digests(empty, WORD).count() == bpe.encode(empty, WORD).count() == 0
+    path = scratch_path(spark, "orc-odd")
+    token_orc.write_tokens(df, path, BYTE, partitions=2)
+    got = sorted(token_orc.token_offsets(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 1, 1, 1, 2]
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    model = lang_id.fit(df)
+    assert key(lang_id.predict(df, model).collect()) == ids and lang_id.keep_known(df, model).columns == df.columns
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert key(toxicity.score(df, model).collect()) == ids and toxicity.keep_clean(df, model).columns == df.columns
+    assert toxicity.fit(empty, labels) is None and toxicity.fit(df, labels.limit(0)) is None
+
+
 # Classifiers
 
 

@@ -196,7 +196,11 @@ def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: what encode and
-    then decode give, digested in the same pass so that no ids leave the worker."""
+    then decode give, digested in the same pass so that no ids leave the worker.
+
+    Null text counts as empty (no tokens, digests of the empty string); repeated rows come
+    out as often as they go in; a null id stays null; an empty table gives no rows; other
+    columns are not looked at."""
 
     def value(ids, vocab):
         return len(ids), " ".join(map(str, ids)), " ".join(vocab.token[i] for i in ids)

@@ -51,7 +51,10 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 
 def token_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files.
+
+    One row for each row written: repeated ids have places of their own, side by side in
+    some order; null ids come first; files without rows give none."""
 
     def sums(batches):
         for batch in batches:

@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; null and empty texts are scored
     by the bias alone, and without a model every score is 0.  Repeated rows come out as often
-    as they go in; a null id is not held out; other columns are not looked at."""
+    as they go in; a null id is not held out; an empty table gives no rows; other columns
+    are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words and weights
 
     def run(batches):
@@ -172,7 +173,8 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns; null and empty
+    texts as score has them, repeated rows as often as they come, all without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
