@@ -10,8 +10,9 @@ import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, lang_id, ngram_join, packing, range_join, token_orc, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, lang_id, merkle, ngram_join, packing, range_join, token_orc, toxicity, url_filter
 from .common import read_table, scratch_path
 
 
@@ -86,6 +87,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = lambda found: found.withColumn("proof_sha256", merkle.proof_digest(F.col("proof"))).drop("proof")
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), derive=digests)
+
+
+OP11_SQL = """
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS n0,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) END AS n1,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS crc FROM documents),
+d AS (SELECT doc_id, lang, sha256(head || n0 || tail) AS leaf, CASE WHEN crc % 7 = 0 THEN sha256(head || n1 || tail) ELSE sha256(head || n0 || tail) END AS found FROM f),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) AS n FROM d GROUP BY lang),
+r AS (SELECT d.*, g.g, g.n, row_number() OVER (PARTITION BY g.g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+up AS (SELECT 0 AS lvl, g, rank, leaf AS digest, n FROM r
+       UNION ALL SELECT lvl + 1, g, rank // 2, sha256(string_agg(digest, '' ORDER BY rank)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lvl, g, rank // 2, n),
+tops AS (SELECT g, digest FROM up WHERE n = 1),
+over AS (SELECT 0 AS lvl, g AS rank, digest, (SELECT count(*) FROM tops) AS n FROM tops
+         UNION ALL SELECT lvl + 1, rank // 2, sha256(string_agg(digest, '' ORDER BY rank)), (n + 1) // 2 FROM over WHERE n > 1 GROUP BY lvl, rank // 2, n),
+walk AS (SELECT g AS top, rank AS bottom, 0 AS lvl, g, rank, found AS folded, '' AS proof, n, FALSE AS high FROM r
+         UNION ALL
+         SELECT w.top, w.bottom, CASE WHEN w.n > 1 THEN w.lvl + 1 ELSE 0 END, w.g, CASE WHEN w.n > 1 THEN w.rank // 2 ELSE w.g END,
+                CASE WHEN w.n = 1 THEN w.folded WHEN w.rank % 2 = 0 THEN sha256(w.folded || coalesce(s.digest, t.digest, '')) ELSE sha256(coalesce(s.digest, t.digest) || w.folded) END,
+                CASE WHEN w.n = 1 THEN w.proof ELSE w.proof || coalesce(s.digest, t.digest, '') END, CASE WHEN w.n > 1 THEN (w.n + 1) // 2 ELSE (SELECT count(*) FROM tops) END, w.high OR w.n = 1
+         FROM walk w LEFT JOIN up s ON NOT w.high AND w.n > 1 AND s.lvl = w.lvl AND s.g = w.g AND s.rank = xor(w.rank, 1)
+              LEFT JOIN over t ON w.high AND w.n > 1 AND t.lvl = w.lvl AND t.rank = xor(w.rank, 1)
+         WHERE w.n > 1 OR NOT w.high)
+SELECT r.doc_id, r.leaf, tops.digest AS subroot, o.digest AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = o.digest AS verified
+FROM r JOIN tops USING (g) JOIN walk w ON w.top = r.g AND w.bottom = r.rank AND w.high AND w.n = 1 JOIN over o ON o.n = 1
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -97,5 +132,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_range_join": op9_range_join,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
-ORACLES = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
