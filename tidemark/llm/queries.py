@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, lang_id, merkle, ngram_join, packing, range_join, token_orc, toxicity, url_filter
+from . import ann, bpe, conversations, exact_dedup, html_text, lang_id, merkle, ngram_join, packing, range_join, token_orc, toxicity, url_filter
 from .common import read_table, scratch_path
 
 
@@ -121,6 +121,14 @@ FROM r JOIN tops USING (g) JOIN walk w ON w.top = r.g AND w.bottom = r.rank AND
 """
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -133,5 +141,7 @@ QUERIES = {
     "op9_range_join": op9_range_join,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_nearest": op12_nearest,
+    "op13_conversations": op13_conversations,
 }
 ORACLES = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
