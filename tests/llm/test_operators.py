@@ -317,7 +317,7 @@ def test_range_join_with_default_parameters(spark):
     x = np.concatenate([base + r.normal(scale=0.12, size=base.shape) for _ in range(4)] + [base[:300], r.normal(size=(400, 8))]).astype(np.float32)
     label = np.where(np.arange(len(x)) % 12 == 11, 2, 1)
     rows = [(int(i), [float(v) for v in x[i]], int(label[i])) for i in range(len(x))]
-    pivots = range_join.draw_pivots(range_join.unit_vectors(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label"), range_join.CELL_ROWS, (2 - 2 * 0.93) ** 0.5)
+    pivots = range_join.draw_pivots(range_join.unit_vectors(range_join.classes_of(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label")), range_join.CELL_ROWS, (2 - 2 * 0.93) ** 0.5)
     assert len(pivots) == 2
     got = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in range_join.near_duplicates(df).collect()}
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
@@ -494,3 +494,13 @@ def test_range_join_equals_brute_force(spark, cell_rows):
                 todo.append(j)
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(link[i]), min(seen), min(seen) == i)
     assert range_join.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_range_join_of_repeated_ids(spark):
+    """A row out for each row in, from its own vector and label."""
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.999, 0.01]
+    rows = [(5, a, 1), (5, b, 1), (7, a, 1), (5, a, 2), (9, c, 2), (5, b, 2), (5, b, 2), (None, a, 3), (None, a, 3), (4, c, 3), (5, None, 1), (6, [0.0, 0.0], None)]
+    got = range_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"cid": F.lit(1), "v": F.lit("v")})).collect()
+    want = [(5, 1, 5), (5, 0, 5), (7, 1, 5), (5, 1, 5), (9, 1, 5), (5, 1, 5), (5, 1, 5), (None, 2, 4), (None, 2, 4), (4, 2, 4), (5, 0, 5), (6, 0, 6)]
+    assert sorted(map(tuple, ((r["vec_id"], r["n_links"], r["component_id"]) for r in got)), key=str) == sorted(want, key=str)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)

@@ -42,14 +42,19 @@ SAMPLE = 64
 SLACK = 1e-6
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Distinct usable vectors: vec_id (smallest), copies, label, dim, unit (array<double>)."""
+def classes_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """Distinct usable vectors: cid (a number of its own), vec_id (smallest), copies, label, v."""
     v = F.col(vector_col).cast("array<double>")
     usable = F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v")).where(F.array_max(F.transform("v", F.abs)) > 0)
     # Equal vectors are one; the sum over all is map-side combined.
     one = rows.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-    raw = one.select("vec_id", "copies", "label", F.size("v").alias("dim"), F.col("v").alias("unit"))
+    return one.select(F.monotonically_increasing_id().alias("cid"), "vec_id", "copies", "label", "v")
+
+
+def unit_vectors(classes: DataFrame) -> DataFrame:
+    """cid, copies, label, dim, unit (array<double>) of written classes."""
+    raw = classes.select("cid", "copies", "label", F.size("v").alias("dim"), F.col("v").alias("unit"))
     return raw.mapInArrow(_scaled, raw.schema)
 
 
@@ -78,7 +83,7 @@ def draw_pivots(units: DataFrame, cell_rows: int, radius: float) -> dict:
     if not large:
         return {}
     rates = units.sparkSession.createDataFrame([(r["label"], r["dim"], int(min(1.0, max(SAMPLE, 2.0 * k) / r["n"]) * 1e9)) for r, k in zip(large, wanted, strict=True)], units.select("label", "dim").withColumn("_rate", F.lit(0).cast("long")).schema)
-    key = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(10**9))
+    key = F.pmod(F.xxhash64("unit", F.lit(9)), F.lit(10**9))
     # Some max(SAMPLE * labels, 2 * MAX_PIVOTS) rows.
     drawn = units.join(F.broadcast(rates), ["label", "dim"]).where(key < F.col("_rate")).select("label", "dim", key.alias("key"), "unit").collect()
     samples: dict = {}
@@ -122,7 +127,7 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def spread(units: DataFrame, pivots: dict, radius: float) -> DataFrame:
-    """One row for each vector and cell: label, dim, cell, native, vec_id, copies, unit."""
+    """One row for each vector and cell: cid, copies, label, dim, unit, cell, native."""
     shared = units.sparkSession.sparkContext.broadcast(pivots)  # MAX_PIVOTS vectors at most
 
     def run(batches):
@@ -159,7 +164,7 @@ def _links(a: dict, b: dict | None, cosine: float):
     n_b = None if same else m.T @ a["copies"]
     # Labels run over the links until every vertex has its part's smallest id.
     top = np.iinfo(np.int64).max
-    la, lb = a["vec_id"].copy(), b["vec_id"].copy()
+    la, lb = a["cid"].copy(), b["cid"].copy()
     busy_a, busy_b = m.any(1), m.any(0)
     sub, ia, ib = m[np.ix_(busy_a, busy_b)], np.flatnonzero(busy_a), np.flatnonzero(busy_b)
     while len(ia):
@@ -176,23 +181,25 @@ def _links(a: dict, b: dict | None, cosine: float):
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row a vector: vec_id, n_links (other vectors linked with it), component_id
-    (smallest vec_id that links reach, its own included), kept (vec_id is component_id).
+    """One row a vector: cid, n_links (other vectors linked with it), component_id
+    (smallest cid that links reach, its own included), kept (cid is component_id).
 
     Only vectors of equal, non-null label and equal length are compared.  Vectors that
     are null, empty, all zero or have null or non-finite components link with nothing.
-    Ids are taken to be unique; rows that repeat an id count as copies.  Empty tables
-    give no rows; other columns are not looked at."""
+    Every row is a vector: rows that repeat an id, with the same vector or another, get a row each,
+    from their own vector and label.  Rows without an id link and are counted; a component of
+    such rows alone has a null id.  Empty tables give no rows; other columns are not looked at."""
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be in (0, 1]")
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-    units = materialize(unit_vectors(vectors, id_col, vector_col, label_col), "units")
+    classes = materialize(classes_of(vectors, id_col, vector_col, label_col), "classes")
+    units = unit_vectors(classes)
     pivots = draw_pivots(units, cell_rows, radius)
     cells = materialize(spread(units, pivots, radius), "cells")
     sizes = cells.groupBy("label", "dim", "cell", "native").agg(F.count(F.lit(1)).alias("n")).groupBy("label", "dim", "cell").agg(F.coalesce(F.sum(F.when(F.col("native"), F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~F.col("native"), F.col("n"))), F.lit(0)).alias("r"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block_rows)).cast("int")
     dealt = cells.join(sizes.where("n > 0").select("label", "dim", "cell", blocks("n").alias("nb"), blocks("r").alias("rb")), ["label", "dim", "cell"])
-    at = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.when(F.col("native"), F.col("nb")).otherwise(F.col("rb"))).cast("int")
+    at = F.pmod(F.xxhash64("cid", F.lit(5)), F.when(F.col("native"), F.col("nb")).otherwise(F.col("rb"))).cast("int")
     dealt = dealt.withColumn("at", at)
     # A task is a pair of blocks (x, y): natives x <= y, or natives x with replicas nb + y.
     span = lambda to: F.when(to > 0, F.sequence(F.lit(0), to - 1)).otherwise(F.array().cast("array<int>"))
@@ -201,32 +208,31 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         F.transform(span(F.col("rb")), lambda i: F.struct(F.col("at").alias("x"), (F.col("nb") + i).alias("y"), F.lit(True).alias("left"))),
     )
     theirs = F.transform(span(F.col("nb")), lambda i: F.struct(i.alias("x"), (F.col("nb") + F.col("at")).alias("y"), F.lit(False).alias("left")))
-    tasks = dealt.withColumn("t", F.explode(F.when(F.col("native"), mine).otherwise(theirs))).select("label", "dim", "cell", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.left").alias("left"), "vec_id", "copies", "unit")
+    tasks = dealt.withColumn("t", F.explode(F.when(F.col("native"), mine).otherwise(theirs))).select("label", "dim", "cell", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.left").alias("left"), "cid", "copies", "unit")
 
     def join(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
-        side = lambda mask: {"vec_id": table.column("vec_id").to_numpy()[mask], "copies": table.column("copies").to_numpy()[mask], "unit": _matrix(table.column("unit").combine_chunks())[mask]}
+        side = lambda mask: {"cid": table.column("cid").to_numpy()[mask], "copies": table.column("copies").to_numpy()[mask], "unit": _matrix(table.column("unit").combine_chunks())[mask]}
         a = side(left)
         if table.column("x")[0].as_py() == table.column("y")[0].as_py():
             n_a, _, la, _ = _links(a, None, cosine)
-            ids, n, low = a["vec_id"], n_a, la
+            ids, n, low = a["cid"], n_a, la
         else:
             b = side(~left)
             n_a, n_b, la, lb = _links(a, b, cosine)
-            ids, n, low = np.concatenate([a["vec_id"], b["vec_id"]]), np.concatenate([n_a, n_b]), np.concatenate([la, lb])
+            ids, n, low = np.concatenate([a["cid"], b["cid"]]), np.concatenate([n_a, n_b]), np.concatenate([la, lb])
         hit = n > 0
-        return pa.table({"vec_id": ids[hit], "n": n[hit].astype(np.int64), "low": low[hit]})
-
-    found = materialize(tasks.groupBy("label", "dim", "cell", "x", "y").applyInArrow(join, "vec_id long, n long, low long"), "links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_other"))
-    parts = components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")), "vectors")
-    classes = units.select("vec_id", "copies", "label", F.col("unit")).join(counts, "vec_id", "left").join(parts.withColumnRenamed("vertex", "vec_id"), "vec_id", "left")
-    known = classes.select("vec_id", "label", (F.coalesce("n_other", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    # Back from classes of equal vectors to vectors: class ids by vector, then the class's result.
+        return pa.table({"cid": ids[hit], "n": n[hit].astype(np.int64), "low": low[hit]})
+
+    found = materialize(tasks.groupBy("label", "dim", "cell", "x", "y").applyInArrow(join, "cid long, n long, low long"), "links")
+    counts = found.groupBy("cid").agg(F.sum("n").alias("n_other"))
+    parts = components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")), "vectors").select(F.col("vertex").alias("cid"), "component")
+    known = classes.join(counts, "cid", "left").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    low = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = known.join(low, "component").select("label", "v", (F.coalesce("n_other", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    # Back from classes to rows, by label and vector; ids play no part in it.
     v = F.col(vector_col).cast("array<double>")
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
-    members = every.where("label IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("class_id"))
-    named = every.join(members, ["label", "v"], "left").select("vec_id", "class_id")
-    out = named.join(known.select(F.col("vec_id").alias("class_id"), "n_links", "component_id"), "class_id", "left")
+    out = every.join(known, ["label", "v"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
