@@ -12,9 +12,10 @@ the whole table are nearer, so recall there is higher.  Where vectors are spread
 spread over parts and a query goes to most of them.
 
 Scale: only the sample (SAMPLE_ROWS at most) and the network reach the driver, both of a fixed size.
-Parts are dealt in blocks of BLOCK_ROWS and queries in blocks of QUERY_ROWS, so neither a hot
-vector nor a full part is one task's work, and no part has a cap.  A block keeps each query's
-best rows alone, and the best of those are found by a ranking window that cuts before it shuffles.
+Small parts share a shelf of some BLOCK_ROWS rows, large ones are cut into blocks of that size, and queries come
+in blocks of QUERY_ROWS, so neither a hot vector nor a full part is one task's work, and no part
+has a cap.  A query visits a shelf once, with its parts there, and leaves with its
+best rows alone; the best of those are found by a ranking window that cuts before it shuffles.
 The number of parts grows with the table up to MAX_PARTS.
 """
 
@@ -188,7 +189,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def routed(rows: DataFrame, index: Index, query: bool) -> DataFrame:
-    """rows with ``part``: of a query every part it goes to, of another row the most probable.
+    """rows with ``part``, the most probable one, or, of queries, with ``parts``, all they go to.
     Vectors of another length than the index's have a part of their own for each length."""
     shared = rows.sparkSession.sparkContext.broadcast(index)  # a network of a fixed size
 
@@ -196,28 +197,37 @@ def routed(rows: DataFrame, index: Index, query: bool) -> DataFrame:
         index = shared.value
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            ours = np.flatnonzero(dims == index.dim)
-            others = np.flatnonzero(dims != index.dim)
-            take, part = others, -dims[others].astype(np.int64)
+            ours, part = np.flatnonzero(dims == index.dim), -dims.astype(np.int64)
+            parts = [[p] for p in part.tolist()]
             if len(ours):
                 x = _matrix(batch.column("v").take(pa.array(ours)))
-                hit = index.routes(x) if query else None
-                i, p = np.nonzero(hit) if query else (np.arange(len(ours)), index.home(x))
-                take, part = np.concatenate([ours[i], take]), np.concatenate([p, part])
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(take)).columns, pa.array(part, pa.int64())], [*batch.schema.names, "part"])
-
-    return rows.mapInArrow(run, "vec_id long, v array<double>, dim int, uid long, part long")
-
-
-def best(q: np.ndarray, q_uid: np.ndarray, x: np.ndarray, ids: np.ndarray, uid: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the rows of x nearest to it, but itself: places in q, places in x, scores."""
+                if query:
+                    for i, go in zip(ours.tolist(), index.routes(x), strict=True):
+                        parts[i] = np.flatnonzero(go).tolist()
+                else:
+                    part[ours] = index.home(x)
+            added = pa.array(parts, pa.list_(pa.int64())) if query else pa.array(part, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, added], [*batch.schema.names, "parts" if query else "part"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<double>, dim int, uid long, " + ("parts array<long>" if query else "part long"))
+
+
+def best(q: np.ndarray, q_uid: np.ndarray, q_parts: list, x: np.ndarray, ids: np.ndarray, uid: np.ndarray, part: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the nearest rows of x that are in its parts, but itself: places in q, in x, scores.
+    Rows of x are in order of part."""
+    names, begin = np.unique(part, return_index=True)
+    end = np.append(begin[1:], len(part))
+    goes = np.array([np.isin(names, p) for p in q_parts])
     at_q, at_x, out = [], [], []
     for i in range(0, len(q), 64):
-        scores = q[i : i + 64] @ x.T
+        scores = np.full((len(q[i : i + 64]), len(x)), -np.inf)
+        for k in range(len(names)):
+            some = np.flatnonzero(goes[i : i + 64, k])
+            scores[some, begin[k] : end[k]] = q[i + some] @ x[begin[k] : end[k]].T
         scores[q_uid[i : i + 64, None] == uid] = -np.inf
         k = min(nearest, len(x))
         least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
-        reach = SLACK * np.maximum(1.0, np.abs(least))
+        reach = SLACK * np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 0.0)))
         for row, s in enumerate(scores):
             near = np.flatnonzero((s >= least[row] - reach[row]) & (s > -np.inf))
             exact = (x[near] * q[i + row]).sum(1)
@@ -241,23 +251,30 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = NEAREST, id_col:
         rows = scratch.write(usable(vectors, id_col, vector_col).withColumn("uid", F.monotonically_increasing_id()), "rows")
         index = learn(rows, nearest)
         homes = scratch.write(routed(rows, index, query=False), "homes")
-        asked = scratch.write(routed(rows.where(F.col("vec_id") % every == 0), index, query=True), "asked")
-        blocks = lambda df, per, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
-        plan = scratch.write(blocks(homes, block_rows, "nb").join(blocks(asked, query_rows, "nq"), "part"), "plan")
+        asked = routed(rows.where(F.col("vec_id") % every == 0), index, query=True)
+        # Statistics of parts, MAX_PARTS and the other lengths: those that begin in the same block_rows rows share a shelf.
+        sizes = homes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        length = F.when(F.col("part") < 0, F.col("part")).otherwise(F.lit(0))  # no shelf has vectors of two lengths
+        plan = scratch.write(sizes.select("part", F.struct(length.alias("length"), F.floor(before / block_rows).alias("block")).alias("shelf"), F.ceil(F.col("n") / block_rows).cast("int").alias("nb")), "plan")
+        visits = asked.withColumn("part", F.explode("parts")).join(plan, "part").groupBy("uid", "shelf").agg(F.any_value("vec_id").alias("vec_id"), F.any_value("v").alias("v"), F.collect_set("part").alias("parts"), F.max("nb").alias("nb"))
+        visits = scratch.write(visits, "visits")
+        askers = scratch.write(visits.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("nq")), "askers")
         place = lambda n, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(n)).cast("int")
         span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = homes.join(plan, "part").withColumn("b", place("nb", 3)).withColumn("q", span("nq")).select("part", "b", "q", "vec_id", "v", "uid")
-        right = asked.join(plan, "part").withColumn("q", place("nq", 4)).withColumn("b", span("nb")).select("part", "b", "q", "vec_id", "v", "uid")
+        left = homes.join(plan, "part").join(askers, "shelf").withColumn("b", place("nb", 3)).withColumn("q", span("nq")).select("shelf", "b", "q", "vec_id", "v", "uid", "part")
+        right = visits.join(askers, "shelf").withColumn("q", place("nq", 4)).withColumn("b", span("nb")).select("shelf", "b", "q", "vec_id", "v", "uid", "parts")
 
         def compare(there: pa.Table, queries: pa.Table) -> pa.Table:
             if not len(there) or not len(queries):
                 return FOUND.empty_table()
+            there = there.sort_by("part")
             ids = there.column("vec_id").combine_chunks()
             low = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            at_q, at_x, score = best(_matrix(queries.column("v")), queries.column("uid").to_numpy(), _matrix(there.column("v")), low, there.column("uid").to_numpy(), nearest)
+            at_q, at_x, score = best(_matrix(queries.column("v")), queries.column("uid").to_numpy(), queries.column("parts").to_pylist(), _matrix(there.column("v")), low, there.column("uid").to_numpy(), there.column("part").to_numpy(), nearest)
             return pa.table([queries.column("vec_id").take(pa.array(at_q)), queries.column("uid").take(pa.array(at_q)), ids.take(pa.array(at_x)), pa.array(score, pa.float64())], schema=FOUND)
 
-        met = left.groupBy("part", "b", "q").cogroup(right.groupBy("part", "b", "q")).applyInArrow(compare, "query_id long, uid long, vec_id long, score double")
+        met = left.groupBy("shelf", "b", "q").cogroup(right.groupBy("shelf", "b", "q")).applyInArrow(compare, "query_id long, uid long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
         return materialize(met.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score"), "nearest")
 
