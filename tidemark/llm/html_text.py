@@ -2,19 +2,25 @@
 
 A page is read once into blocks of text hanging on a tree of containers.  Elements
 that by tag, role or name are never article text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments) are left out while reading.
-Every paragraph then gives points for its length and commas to its ancestors, all to
+notices, adverts, scripts, styles, comments) are left out while reading.  Forms, and elements with
+such a word in a longer name (``page-with-sidebar``, ``ad-free``), may be the wrapper of
+a whole page: they are left out unless they hold nine tenths of the points there are.
+Every paragraph gives points for its length and commas to its ancestors, all to
 its parent, half to the grandparent, less further up; a container's points are
 discounted by the share of its text that is links.  The best container is kept with
-those of its siblings that hold prose, lists, tables or quotes, and all between them.
+those of its siblings that hold prose, lists, tables or quotes, and all between them, and
+so are its ancestors' siblings up to the lowest container that holds nine tenths of the page's points, as
+an article's parts need not be siblings.
 
 Rows are independent: one narrow pass, linear in the page's length, no shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +30,12 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea title".split())
-DROP_TAGS = RAW | frozenset("head nav header footer aside form button select dialog menu search canvas video audio".split())
+DROP_TAGS = RAW | frozenset("head nav header footer aside button select dialog menu search canvas video audio".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 DROP_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 KEEP_TAGS = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("ul ol dl table blockquote pre figure".split())
@@ -42,31 +49,41 @@ RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element is, by tag, role or name, no part of an article."""
+#: Share of the points that makes a wrapper of a doubtful element, and the article's container.
+MOST = 0.9
+SURE, DOUBTFUL = 2, 1
+
+
+def is_boilerplate(tag: str, attributes: str) -> int:
+    """Whether an element is, by tag, role or name, no part of an article: SURE, DOUBTFUL or 0."""
     if tag in DROP_TAGS:
-        return True
+        return SURE
+    found = DOUBTFUL if tag == "form" else 0
     if tag in KEEP_TAGS or not attributes:
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return True
+            return SURE
         if kind == "role" and value.lower() in DROP_ROLES:
-            return True
+            if value.lower() != "form":
+                return SURE
+            found = DOUBTFUL
         if kind in ("class", "id"):
             for name in value.split():
                 words = [w.lower() for w in NAME.findall(name)]
                 if words and words[0] not in ("with", "has", "no", "without") and (words[0] in DROP_NAMES or words[-1] in DROP_NAMES):
-                    return True
-    return False
+                    if len(words) == 1 or not COMMENTS.isdisjoint(words) or tag not in BLOCK:
+                        return SURE
+                    found = DOUBTFUL
+    return found
 
 
 class _Page:
     """Blocks of text (text, link characters, container) and their containers."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.first, self.end = ["#"], [-1], [0], [0]
+        self.tag, self.parent, self.first, self.end, self.doubtful = ["#"], [-1], [0], [0], [False]
         self.blocks: list[tuple[str, int, int]] = []
         self._parts: list[str] = []
         self._links, self._in_link = 0, False
@@ -86,11 +103,13 @@ class _Page:
             self._parts = []
         self._links = 0
 
-    def _open(self, tag: str, drop: bool) -> None:
+    def _open(self, tag: str, how: int) -> None:
+        drop = how == SURE
         if not drop or tag in BLOCK:
             self._flush()
         self.tag.append(tag)
         self.parent.append(self._stack[-1])
+        self.doubtful.append(how == DOUBTFUL)
         self.first.append(len(self.blocks))
         self.end.append(len(self.blocks))
         self._depths.setdefault(tag, []).append(len(self._stack))
@@ -151,35 +170,103 @@ class _Page:
                         self._close_to(ENDS[tag][0].split(), ENDS[tag][1])
                     self._in_link = False
                 self._open(tag, is_boilerplate(tag, m[3]))
-            elif tag not in VOID and m[3] and not self._dropped and is_boilerplate(tag, m[3]):
-                self._open(tag, True)  # a span or the like with a telling name
+            elif tag not in VOID and m[3] and not self._dropped and is_boilerplate(tag, m[3]) == SURE:
+                self._open(tag, SURE)  # a span or the like with a telling name
             elif self._dropped and tag not in VOID and tag == self.tag[self._stack[self._dropped - 1]]:
-                self._open(tag, True)
+                self._open(tag, SURE)
         self._text(source[at:])
 
 
-def main_text(source: str | None) -> str:
-    """The article's text: white space inside a block is one space, blocks are joined by
-    one; empty where a page has none."""
-    if not source:
-        return ""
-    page = _Page(source)
+def left_out(page: _Page, points: list[float]) -> list[bool]:
+    """Of the containers, those in a doubtful element that is no wrapper.  points: each container's own.
+
+    The outermost ones are tried by their points, the most first: one that holds MOST of what it and the
+    text outside of all of them have is a wrapper, and what it holds is tried in turn."""
     n = len(page.tag)
+    inside, outer = list(points), [-1] * n  # points of the subtree; the nearest doubtful element around a container
+    for i in range(n - 1, 0, -1):
+        inside[page.parent[i]] += inside[i]
+    below: dict[int, list[int]] = {}
+    for i in range(1, n):
+        up = page.parent[i]
+        outer[i] = up if page.doubtful[up] else outer[up]
+        if page.doubtful[i]:
+            below.setdefault(outer[i], []).append(i)
+    own = lambda i: inside[max(i, 0)] - sum(inside[k] for k in below.get(i, ()))
+    free, wrapper = own(-1), [False] * n
+    tried = [(-inside[i], i) for i in below.get(-1, ())]
+    heapq.heapify(tried)
+    while tried:
+        held, i = heapq.heappop(tried)
+        if held >= 0 or -held < MOST * (free - held):
+            break
+        wrapper[i], free = True, free + own(i)
+        for k in below.get(i, ()):
+            heapq.heappush(tried, (-inside[k], k))
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[page.parent[i]] or page.doubtful[i] and not wrapper[i]
+    return out
+
+
+def gained(page: _Page, text: str, node: int) -> float:
+    """Points of a block: none unless it is a paragraph of some length."""
+    if len(text) < 25 or page.tag[node] not in PARAGRAPHS:
+        return 0.0
+    return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+
+
+class Scores(NamedTuple):
+    """By container: whether it is left out, characters, points of paragraphs passed to it, points of its
+    whole text less those of links, share of its text that is no link, score."""
+
+    out: list
+    chars: list
+    points: list
+    plainly: list
+    plain: list
+    score: list
+
+
+def tree_scores(page: _Page) -> Scores:
+    n = len(page.tag)
+    plainly = [0.0] * n  # points of a container's own blocks, without those of links
+    if any(page.doubtful):
+        for text, linked, node in page.blocks:
+            plainly[node] += gained(page, text, node) * (1 - min(linked, len(text)) / len(text))
+        out = left_out(page, plainly)
+        plainly = [0.0] * n
+    else:
+        out = [False] * n
     chars, links, points = [0] * n, [0] * n, [0.0] * n
     for text, linked, node in page.blocks:
+        if out[node]:
+            continue
         chars[node] += len(text)
         links[node] += min(linked, len(text))
-        if len(text) >= 25 and page.tag[node] in PARAGRAPHS:
-            gained = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+        if (gain := gained(page, text, node)) > 0:
+            plainly[node] += gain * (1 - min(linked, len(text)) / len(text))
             up, level = page.parent[node] if page.tag[node] not in ("body", "article", "main", "#", "div", "section") else node, 0
             while up >= 0 and level < 5:
-                points[up] += gained / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                points[up] += gain / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 up, level = page.parent[up], level + 1
     for i in range(n - 1, 0, -1):
         chars[page.parent[i]] += chars[i]
         links[page.parent[i]] += links[i]
+        plainly[page.parent[i]] += plainly[i]
     plain = [1 - links[i] / chars[i] if chars[i] else 0.0 for i in range(n)]
     score = [(points[i] + (25 if points[i] and page.tag[i] in ("article", "main") else 0)) * plain[i] for i in range(n)]
+    return Scores(out, chars, points, plainly, plain, score)
+
+
+def main_text(source: str | None) -> str:
+    """The article's text: white space inside a block is one space, blocks are joined by
+    one; empty where a page has none."""
+    if not source:
+        return ""
+    page = _Page(source)
+    n = len(page.tag)
+    out, chars, points, plainly, plain, score = tree_scores(page)
     best = max(range(n), key=lambda i: score[i])
     if not score[best]:  # only short blocks: the fullest article, else all there is
         named = [i for i in range(n) if page.tag[i] in ("article", "main")]
@@ -191,13 +278,21 @@ def main_text(source: str | None) -> str:
             best = up
     keep = [best] if best else [0]
     if best and page.tag[best] not in ("article", "main", "body", "html"):
-        beside = [i for i in range(1, n) if page.parent[i] == page.parent[best] and page.end[i] > page.first[i]]
-        for i in beside:
-            good = page.tag[i] in HEADINGS and i < best or points[i] and plain[i] > 0.5
-            good = good or page.tag[i] in PARTS and plain[i] >= 0.2
-            good = good or page.tag[i] == "p" and (chars[i] > 80 and plain[i] > 0.75 or 0 < chars[i] and plain[i] == 1)
-            if good and i != best:
-                keep.append(i)
+        top = max((i for i in range(n) if plainly[i] >= MOST * plainly[0]), default=0)  # the lowest: children come later
+        children: dict[int, list[int]] = {}
+        for i in range(1, n):
+            children.setdefault(page.parent[i], []).append(i)
+        at = best
+        while True:  # up to the container that holds most of the page's points
+            for i in children[page.parent[at]]:
+                good = page.tag[i] in HEADINGS and i < at or points[i] and plain[i] > 0.5
+                good = good or page.tag[i] in PARTS and plain[i] >= 0.2
+                good = good or page.tag[i] == "p" and (chars[i] > 80 and plain[i] > 0.75 or 0 < chars[i] and plain[i] == 1)
+                if good and i != at and page.end[i] > page.first[i] and not out[i]:
+                    keep.append(i)
+            at = page.parent[at]
+            if at <= top or page.tag[at] in ("body", "html", "#"):
+                break
     wanted = bytearray(len(page.blocks))
     first, end = min(page.first[i] for i in keep), max(page.end[i] for i in keep)
     wanted[first:end] = b"\1" * (end - first)  # what lies between is of the article too
@@ -206,7 +301,7 @@ def main_text(source: str | None) -> str:
         inside = whole and page.first[best] <= page.first[i] and page.end[i] <= page.end[best]
         if page.tag[i] in ("ul", "ol") and chars[i] and plain[i] < 0.2 and not inside:  # a list of links is a menu
             wanted[page.first[i] : page.end[i]] = bytes(page.end[i] - page.first[i])
-    return " ".join(b[0] for b, w in zip(page.blocks, wanted, strict=True) if w)
+    return " ".join(b[0] for b, w in zip(page.blocks, wanted, strict=True) if w and not out[b[2]])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
