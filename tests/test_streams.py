@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
+from tidemark.streaming import keyed as K
 from tidemark.streaming import runs as R
 
 HOUR = 3_600_000_000
@@ -53,8 +54,14 @@ def test_state_of_silent_keys_goes(spark, tmp_path):
     assert _rows(R.drain(R.per_key(s, "key", "seq long, n long", "n long", count, idle=40 * 3_600_000), "short")) == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 1), (5, 4)]
 
 
+def _keyed(spark, path, columns, kept, out, step, idle, name, delay="1 hour", processor=K.InOrder):
+    marks = R.scratch(spark, "marks")
+    with K.state_store(spark):
+        return R.drain(K.in_order(K.with_marks(_stream(spark, path), marks, delay), "key", columns, kept, out, step, idle, processor), name, marks=marks)
+
+
 def test_eligibility_over_batches(spark, landed):
-    s = R.per_key(_stream(spark, landed), "key", "seq long, eligible boolean", "start long, last long", R.eligible_step(12 * HOUR, HOUR))
+    got = _keyed(spark, landed, [], "start long, last long", "seq long, eligible boolean", K.eligible(12 * HOUR, HOUR), 1000 * HOUR, "eligible")
     want, start, last = [], {}, {}
     for r in sorted(spark.read.parquet(landed).collect(), key=lambda r: (r["us"], r["seq"])):
         k, t = r["key"], r["us"]
@@ -62,7 +69,98 @@ def test_eligibility_over_batches(spark, landed):
             start[k] = t
         last[k] = t
         want.append((r["seq"], t - start[k] > HOUR))
-    assert _rows(R.drain(s, "eligible")) == sorted(want) and {e for _, e in want} == {True, False}
+    assert _rows(got) == sorted(want) and {e for _, e in want} == {True, False}
+
+
+def _land(spark, path, files):
+    for some in files:
+        spark.createDataFrame(some, "key long, us long, seq long, kind string, cents long, k long").withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.fixture(scope="module")
+def late(spark, tmp_path_factory):
+    """Messages in files whose neighbours by time have changed places, within a delay of three hours, with a
+    silence of 60 hours of one key."""
+    path = str(tmp_path_factory.mktemp("late") / "ticks")
+    kinds = ["view", "signup", "purchase", "error", "view", "view", "click"]
+    rows = [(i % 3, (1000 + i // 2) * HOUR + i % 5 * 700_000_000 + (60 * HOUR if i >= 40 and i % 3 == 1 else 0), i, kinds[i % 7], 100 * (i * 37 % 19) + i % 3, i * 29 % 40) for i in range(70)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    files = [rows[i : i + 10] for i in range(0, len(rows), 10)]
+    for a, b in zip(files, files[1:]):
+        if b[0][1] - a[-1][1] < 2 * HOUR:
+            a[-1], b[0] = b[0], a[-1]
+    assert any(a[-1][1] > b[0][1] for a, b in zip(files, files[1:]))
+    _land(spark, path, files)
+    return path
+
+
+STEPS = {
+    "changes": (["kind"], "kind string", "seq long", K.changes("kind")),
+    "eligible": ([], "start long, last long", "seq long, eligible boolean", K.eligible(12 * HOUR, HOUR)),
+    "cooldown": ([], "last long", "key long, us long, seq long", K.cooldown(5 * HOUR)),
+    "monotone": (["k"], "bar long", "key long, seq long, accepted boolean", K.monotone("k")),
+    "totals": (["cents"], "n long, total long", "seq long, n long, total long", K.totals("cents")),
+    "book": (["kind", "cents", "k"], "", R.BOOK, R.book_step),
+}
+
+
+@pytest.mark.parametrize("name", STEPS)
+@pytest.mark.parametrize("idle", [40 * HOUR, 1000 * HOUR])
+def test_keyed_processors_over_batches_equal_their_batch_twin(spark, late, name, idle):
+    """Late rows wait for their place; a key that was silent begins anew, however rows fall into batches."""
+    columns, kept, out, step = STEPS[name]
+    got = _keyed(spark, late, columns, kept, out, step, idle, name, "3 hours", K.Book if name == "book" else K.InOrder)
+    rows = spark.read.parquet(late)
+    want = K.in_order_batch(rows, "key", columns, out, step, idle)
+    assert _rows(got) == _rows(want) and len(_rows(want)) > 5
+    if name == "totals":  # by hand
+        silent = [r for r in sorted(rows.collect(), key=lambda r: (r["us"], r["seq"])) if r["key"] == 1]
+        new = next(i for i in range(1, len(silent)) if silent[i]["us"] - silent[i - 1]["us"] > 40 * HOUR)
+        assert dict((r["seq"], r["n"]) for r in got.collect())[silent[new]["seq"]] == (1 if idle == 40 * HOUR else new + 1)
+    if name == "book" and idle > 40 * HOUR:
+        assert _rows(got) == _rows(R.book_batch(rows))
+
+
+def test_rows_beyond_the_watermark_are_dropped_and_open_rows_wait(spark, tmp_path):
+    """What the watermark has not passed stays in state; what comes later than its delay is no row any more."""
+    path = str(tmp_path / "ticks")
+    _land(spark, path, [[(1, 1000 * HOUR, 0, "a", 1, 1)], [(1, 1010 * HOUR, 1, "a", 1, 1)], [(1, 1020 * HOUR, 2, "a", 1, 1)], [(1, 1001 * HOUR, 3, "a", 1, 1), (1, 1019 * HOUR + 1, 4, "a", 1, 1)]])
+    with K.state_store(spark):
+        s = K.in_order(_stream(spark, path).withWatermark("ts", "1 hour"), "key", ["cents"], "n long, total long", "seq long, n long, total long", K.totals("cents"), 1000 * HOUR)
+        assert _rows(R.drain(s, "open")) == [(0, 1, 1), (1, 2, 2)]
+    got = _keyed(spark, path, ["cents"], "n long, total long", "seq long, n long, total long", K.totals("cents"), 1000 * HOUR, "closed")
+    assert _rows(got) == [(0, 1, 1), (1, 2, 2), (2, 4, 4), (4, 3, 3)]
+
+
+def test_state_of_keys_goes_with_the_stream(spark, tmp_path):
+    """When the closing mark has passed every key's idle time, the store holds nothing."""
+    path = str(tmp_path / "ticks")
+    _land(spark, path, [[(k, (1000 + i) * HOUR, 10 * i + k, "view", 100 * i, 20) for k in range(3)] for i in range(3)])
+    marks = R.scratch(spark, "marks")
+    with K.state_store(spark):
+        s = K.in_order(K.with_marks(_stream(spark, path), marks, "1 hour"), "key", ["kind", "cents", "k"], "", R.BOOK, R.book_step, 40 * HOUR, K.Book)
+        seen = []
+        for ending in (False, True):
+            if ending:
+                K.close(spark, spark.read.parquet(marks).schema, marks)
+            q = s.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda df, _: df.count()).start()
+            q.awaitTermination()
+            seen.append(sum(o["numRowsTotal"] for o in q.recentProgress[-1]["stateOperators"]))
+    assert seen[0] > 0 and seen[1] == 0
+
+
+def test_a_batch_that_runs_twice_is_written_once(spark, tmp_path):
+    write, df = R.into_batches(str(tmp_path)), spark.range(5)
+    write(df, 0)
+    write(df, 1)
+    write(df, 1)
+    assert spark.read.parquet(str(tmp_path)).count() == 10
+
+
+def test_update_mode_gives_each_key_its_last_row(spark, landed):
+    s = _stream(spark, landed).withWatermark("ts", "1 hour").groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("flow").alias("flow")).select(F.unix_micros("w.start").alias("start"), "n", "flow")
+    want = spark.read.parquet(landed).groupBy((F.floor(F.col("us") / (6 * HOUR)) * 6 * HOUR).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.sum("flow").alias("flow"))
+    assert _rows(R.drain(s, "windows", "update", ["start"])) == _rows(want)
 
 
 @pytest.mark.parametrize("late", [False, True])

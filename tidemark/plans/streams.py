@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import windows as W
 from ..operators.asof import asof
 from ..sources.tables import tape
+from ..streaming import keyed as K
 from ..streaming import runs as R
 from .registry import query
 
@@ -22,6 +23,18 @@ def _stream(spark, d, **more):
     return R.tape_stream(spark, f"{d}/events.parquet", **more)
 
 
+#: Silence after which a key's state goes; longer than any within the tape.
+IDLE = 40 * DAY
+
+
+def _kept(rows, name, columns, kept, out, step, processor=K.InOrder):
+    """A keyed processor over rows (key, us, seq, columns): they may come an hour late, and wait for that."""
+    spark, marks = rows.sparkSession, R.scratch(rows.sparkSession, f"{name}-marks")
+    rows = rows.select("key", F.timestamp_micros("us").alias("ts"), "us", "seq", *columns)
+    with K.state_store(spark):
+        return R.drain(K.in_order(K.with_marks(rows, marks, "1 hour"), "key", columns, kept, out, step, IDLE, processor), name, marks=marks)
+
+
 @query("T01_receipt_ingest", "SELECT seq, us, us + CAST(k AS BIGINT) * 1000000 AS received, CASE WHEN kind = 'signup' THEN 'session_start' ELSE 'row' END AS record FROM tape")
 def t01(spark, d):
     s = _stream(spark, d).select("seq", "us", (F.col("us") + F.col("k").cast("bigint") * 1_000_000).alias("received"), F.when(F.col("kind") == "signup", "session_start").otherwise("row").alias("record"))
@@ -38,18 +51,13 @@ def t02(spark, d):
 
 @query("T02_change_only", "SELECT seq FROM (SELECT seq, kind, lag(kind) OVER (PARTITION BY key ORDER BY us, seq) AS p FROM tape) WHERE p IS DISTINCT FROM kind")
 def t02_change(spark, d):
-    def step(key, rows, state):
-        last = [state[0] if state else None, *rows["kind"][:-1]]
-        return rows[[a != b for a, b in zip(last, rows["kind"], strict=True)]][["seq"]], (rows["kind"].iloc[-1],)
-
-    return R.drain(R.per_key(_stream(spark, d), "key", "seq long", "kind string", step), "changes")
+    return _kept(_stream(spark, d), "changes", ["kind"], "kind string", "seq long", K.changes("kind"))
 
 
 @query("T03_eligibility", "WITH g AS (SELECT *, us - lag(us) OVER (PARTITION BY key ORDER BY us, seq) AS gap FROM tape), s AS (SELECT *, max(CASE WHEN gap IS NULL OR gap > 43200000000 THEN us END) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS start_us FROM g) SELECT seq, us - start_us > 3600000000 AS eligible FROM s")
 def t03(spark, d):
     """Rows of the first hour after a start or a gap of 12 hours are a snapshot, not news."""
-    s = _stream(spark, d).select("key", "us", "seq")
-    return R.drain(R.per_key(s, "key", "seq long, eligible boolean", "start long, last long", R.eligible_step(12 * HOUR, HOUR)), "eligible")
+    return _kept(_stream(spark, d), "eligible", [], "start long, last long", "seq long, eligible boolean", K.eligible(12 * HOUR, HOUR))
 
 
 @query("T04_late_rows", "SELECT CASE WHEN k IS NULL THEN 'missing' WHEN k - 20 < -2 THEN 'early' WHEN k - 20 > 50 THEN 'late' ELSE 'kept' END AS outcome, count(*) AS n FROM tape GROUP BY 1")
@@ -70,7 +78,8 @@ SELECT m.key, m.seq, max(s.price) AS best, CAST(coalesce(sum(s.size) FILTER (WHE
 @query("T05_book_stream", BOOK)
 def t05(spark, d):
     """The stateful book over the stream; tests hold it against T05_book_batch."""
-    return R.drain(R.per_key(_stream(spark, d).select("key", "us", "seq", "kind", "cents", "k").dropna(), "key", R.BOOK, "prices array<long>, sizes array<long>", R.book_step), "book")
+    rows = _stream(spark, d).select("key", "us", "seq", "kind", "cents", "k").dropna()
+    return _kept(rows, "book", ["kind", "cents", "k"], "", R.BOOK, R.book_step, K.Book)
 
 
 @query("T05_book_batch", BOOK)
@@ -88,8 +97,7 @@ def t06(spark, d):
 
 @query("T07_cooldown_stream", "WITH RECURSIVE c AS (SELECT key, us, seq FROM tape WHERE cents >= 10000), r AS (SELECT key, min(us) AS us FROM c GROUP BY key UNION ALL SELECT r.key, (SELECT min(c.us) FROM c WHERE c.key = r.key AND c.us >= r.us + 172800000000) FROM r WHERE EXISTS (SELECT 1 FROM c WHERE c.key = r.key AND c.us >= r.us + 172800000000)) SELECT c.key, c.us, c.seq FROM c JOIN r ON c.key = r.key AND c.us = r.us")
 def t07(spark, d):
-    s = _stream(spark, d).where("cents >= 10000").select("key", "us", "seq")
-    return R.drain(R.per_key(s, "key", "key long, us long, seq long", "last long", R.cooldown_step(2 * DAY)), "cooldown")
+    return _kept(_stream(spark, d).where("cents >= 10000"), "cooldown", [], "last long", "key long, us long, seq long", K.cooldown(2 * DAY))
 
 
 @query("T08_triggers", "SELECT seq, CASE WHEN kind = 'signup' THEN 'start' WHEN kind = 'purchase' AND cents > 10000 THEN 'big_trade' WHEN kind = 'error' AND k > 90 THEN 'alarm' END AS trig FROM tape WHERE kind = 'signup' OR (kind = 'purchase' AND cents > 10000) OR (kind = 'error' AND k > 90)")
@@ -127,8 +135,8 @@ WITH RECURSIVE o AS (SELECT key, seq, k, row_number() OVER (PARTITION BY key ORD
 r AS (SELECT key, seq, n, k AS bar, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.key, o.seq, o.n, greatest(r.bar, o.k), o.k >= r.bar FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)
 SELECT key, seq, accepted FROM r""")
 def t10(spark, d):
-    s = _stream(spark, d).select("key", "us", "seq", "k").dropna()
-    return R.drain(R.per_key(s, "key", "key long, seq long, accepted boolean", "bar long", R.monotone_step), "monotone")
+    rows = _stream(spark, d).select("key", "us", "seq", F.col("k").cast("long").alias("k")).dropna()
+    return _kept(rows, "monotone", ["k"], "bar long", "key long, seq long, accepted boolean", K.monotone("k"))
 
 
 @query("T11_session_windows", "WITH b AS (SELECT *, CASE WHEN us - lag(us) OVER w < 18000000000 THEN 0 ELSE 1 END AS brk FROM tape WINDOW w AS (PARTITION BY key ORDER BY us, seq)), s AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT key, count(*) AS n, sum(cents) AS cents, min(us) AS first_us FROM s GROUP BY key, s")
@@ -149,9 +157,12 @@ def t11_stream(spark, d):
 
 @query("T12_tumbling_metrics", "SELECT us // 86400000000 AS day, kind, count(*) AS n, min(cents) AS low, max(cents) AS high, sum(cents) AS cents FROM tape GROUP BY ALL")
 def t12(spark, d):
-    """The day is a number, so the session's time zone plays no part."""
-    s = _stream(spark, d).withWatermark("ts", "10 minutes").groupBy(F.floor(F.col("us") / DAY).alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.sum("cents").alias("cents"))
-    return R.drain(s, "tumbling", "complete")
+    """Windows are days since 1970 of the instant itself, so the session's time zone plays no part.  A
+    day's state goes when the watermark has passed its end."""
+    rows = _stream(spark, d).withColumn("at", F.timestamp_micros("us")).withWatermark("at", "10 minutes")
+    s = rows.groupBy(F.window("at", "1 day").alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.sum("cents").alias("cents"))
+    s = s.select(F.floor(F.unix_micros("w.start") / DAY).alias("day"), "kind", "n", "low", "high", "cents")
+    return R.drain(s, "tumbling", "update", ["day", "kind"])
 
 
 @query("T13_budgeted_stream", "SELECT key % 4 AS file, count(*) AS n, sum(cents) AS cents FROM tape GROUP BY 1")
@@ -167,20 +178,22 @@ def t13(spark, d):
 
 @query("T14_continuous_scoring")
 def t14(spark, d):
-    """A frozen pipeline scores every batch of the stream; rows it can't score are counted out."""
+    """A frozen pipeline scores every batch of the stream; rows it can't score are counted out.
+    A batch that runs twice replaces what it wrote."""
     from .models import fit_tick_model
 
     model, out = fit_tick_model(spark, d), R.scratch(spark, "scored")
+    write = R.into_batches(out)
 
-    def score(df, _):
+    def score(df, batch):
         from pyspark.ml.functions import vector_to_array
 
         rows = df.withColumns({"x1": F.col("cents") / 100, "x2": F.col("k").cast("double")}).where("x1 IS NOT NULL AND x2 IS NOT NULL")
-        model.transform(rows).select("seq", F.round(vector_to_array("probability")[1], 6).alias("p")).write.mode("append").parquet(out)
+        write(model.transform(rows).select("seq", F.round(vector_to_array("probability")[1], 6).alias("p")), batch)
 
     q = _stream(spark, d).writeStream.option("checkpointLocation", R.scratch(spark, "scored-state")).trigger(availableNow=True).foreachBatch(score).start()
     q.awaitTermination()
-    return spark.read.schema("seq long, p double").parquet(out)
+    return spark.read.schema("seq long, p double").option("recursiveFileLookup", "true").parquet(out)
 
 
 @query("T15_median_bins", "SELECT key, us // 7200000000 AS bin, round(quantile_cont(cents, 0.5), 4) AS mid, count(*) AS n FROM tape WHERE kind IN ('view', 'click') GROUP BY ALL")
@@ -192,12 +205,5 @@ def t15(spark, d):
 
 @query("U06_keyed_state", "SELECT seq, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS n, sum(cents) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS total FROM tape")
 def u06(spark, d):
-    """A caller's own state: number and total so far of each key, across batches."""
-
-    def step(key, rows, state):
-        n, total = state or (0, 0)
-        out = rows[["seq"]].assign(n=range(n + 1, n + 1 + len(rows)), total=rows["cents"].cumsum() + total)
-        return out, (n + len(rows), int(out["total"].iloc[-1]))
-
-    s = _stream(spark, d).select("key", "us", "seq", "cents")
-    return R.drain(R.per_key(s, "key", "seq long, n long, total long", "n long, total long", step), "state")
+    """A caller's own state: number and total so far of each key, in order of time, across batches."""
+    return _kept(_stream(spark, d), "state", ["cents"], "n long, total long", "seq long, n long, total long", K.totals("cents"))

@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.windows import ordered_pass
 from ..scratch import scratch_path as scratch
 from ..sources.tables import micros
+from .keyed import close
 
 
 def tape_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -35,18 +37,38 @@ def tape_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all there is, once, into Parquet, and read it back.  Complete results replace
-    each other; in the other modes the sink is append-only and exactly-once."""
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None, marks: str | None = None) -> DataFrame:
+    """Process all there is, once, into Parquet, and read it back.
+
+    Append: Spark's file sink, exactly-once.  Complete: each batch replaces the result.  Update: each batch
+    is a folder of its number, which a batch that runs again replaces, and the last row for
+    each of `keys` is the result.  marks: the folder of a stream's closing marks (keyed.with_marks); a mark is
+    written when all is processed, and the query goes on from its checkpoint to its end."""
     spark = stream.sparkSession
-    out = scratch(spark, name)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(out)
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    out, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    if mode != "append":  # a stream without rows has an empty result
+        into_batches(out)(spark.createDataFrame([], stream.schema), -1) if mode == "update" else spark.createDataFrame([], stream.schema).write.parquet(out)
+    for ending in (False, True) if marks else (False,):
+        if ending:
+            close(spark, spark.read.parquet(marks).schema, marks)
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        if mode == "append":
+            query = writer.format("parquet").start(out)
+        elif mode == "complete":
+            query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+        else:
+            query = writer.foreachBatch(into_batches(out)).start()
+        query.awaitTermination()
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    every = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*[c if c in keys else f"_last.{c}" for c in stream.columns])
+
+
+def into_batches(out: str) -> Callable[[DataFrame, int], None]:
+    """A sink of foreachBatch that may see a batch twice: each batch has a folder of its number, which is replaced."""
+    return lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
 
 def per_key(stream: DataFrame, by: str, schema: str, state_schema: str, step: Callable[[tuple, pd.DataFrame, object], tuple[pd.DataFrame, tuple]], idle: int | None = None) -> DataFrame:
@@ -72,47 +94,6 @@ def per_key(stream: DataFrame, by: str, schema: str, state_schema: str, step: Ca
     return stream.groupBy(by).applyInPandasWithState(run, schema, state_schema, "append", timeout)
 
 
-def cooldown_step(width: int):
-    """Taken rows: `width` has passed since the last one taken, over batches too."""
-
-    def step(key, rows, state):
-        last, keep = (state[0] if state else None), []
-        for t in rows["us"]:
-            ok = last is None or t - last >= width
-            keep.append(ok)
-            last = int(t) if ok else last
-        taken = rows[keep]
-        return taken[["key", "us", "seq"]], (last,)
-
-    return step
-
-
-def monotone_step(key, rows, state):
-    """Rows with whether their value isn't below the last accepted one's."""
-    bar, ok = (state[0] if state else None), []
-    for v in rows["k"]:
-        good = bar is None or v >= bar
-        ok.append(good)
-        bar = int(v) if good else bar
-    return rows[["key", "seq"]].assign(accepted=ok), (bar,)
-
-
-def eligible_step(gap: int, settle: int):
-    """Rows with whether more than `settle` has passed since the key's last start, which is
-    its first row or one after a silence of more than `gap`."""
-
-    def step(key, rows, state):
-        start, last = state or (None, None)
-        ok = []
-        for t in rows["us"]:
-            start = t if last is None or t - last > gap else start
-            ok.append(t - start > settle)
-            last = t
-        return rows[["seq"]].assign(eligible=ok), (int(start), int(last))
-
-    return step
-
-
 def trailing_step(width: int):
     """Number and sum of flow over the last `width` up to each row; the state is the rows of
     that time, so that it is bounded by the key's rate.  Of rows of one instant the later
@@ -202,11 +183,10 @@ def book_message(book: dict[int, int], kind: str, cents: int, k: int) -> tuple:
 BOOK = "key long, seq long, best long, depth5 long, levels long"
 
 
-def book_step(key, rows, state):
-    book = dict(zip(state[0], state[1], strict=True)) if state else {}
-    out = [(key[0], seq, *book_message(book, kind, cents, k)) for seq, kind, cents, k in zip(rows["seq"], rows["kind"], rows["cents"], rows["k"], strict=True)]
-    frame = pd.DataFrame(out, columns=["key", "seq", "best", "depth5", "levels"]).astype({"best": "Int64", "depth5": "int64", "levels": "int64"})
-    return frame, ([int(p) for p in book], [int(s) for s in book.values()])
+def book_step(book, row):
+    """book_message as a step of keyed.Book, which changes the book in place."""
+    book = {} if book is None else book
+    return book, (row["seq"], *book_message(book, row["kind"], row["cents"], row["k"]))
 
 
 def book_batch(tape: DataFrame) -> DataFrame:
