@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import joins as J
 from tidemark.plans import registry
 from tidemark.sources.tables import facts
-from tidemark.sources.tapes import run_shards
+from tidemark.sources.shards import run_shards
 
 
 def test_areas_of_every_label(spark, tmp_path):

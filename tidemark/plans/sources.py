@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..scratch import scratch_path as _scratch
+from ..sources import manifests as MF
+from ..sources import shards as SH
 from ..sources import tapes as T
 from ..sources.tables import facts, steps, table, tape
 from .registry import query
@@ -110,6 +112,27 @@ def s11(spark, d):
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
+@query("S11_manifest", """
+WITH n AS (SELECT key % 4 AS part, seq, cents, (row_number() OVER (PARTITION BY key % 4 ORDER BY seq) - 1) // 500 AS chunk FROM tape),
+c AS (SELECT part, chunk, count(*) AS n, bool_or(part = 2 AND seq % 997 = 0 AND cents IS NOT NULL) AS hit FROM n GROUP BY ALL)
+SELECT part, chunk, CASE WHEN hit THEN 'changed' WHEN part = 3 THEN 'missing' ELSE 'same' END AS status FROM c
+UNION ALL SELECT 4, chunk, 'new' FROM c WHERE part = 0""")
+def s11_manifest(spark, d):
+    """Two landings of the tape's files, the second with values changed in one, one lost and one more: which
+    chunk of which file is not what the first one's manifest says."""
+    t = tape(spark, d).select((F.col("key") % 4).alias("part"), "key", "us", "seq", "kind", "cents")
+
+    def chunks(name, rows):
+        path = _scratch(spark, name)
+        rows.repartition("part").sortWithinPartitions("part", "seq").write.partitionBy("part").parquet(path)
+        found = MF.chunk_digests(spark, [path], 500)
+        return found.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "chunk", "digest")
+
+    touched = F.when((F.col("part") == 2) & (F.col("seq") % 997 == 0), F.col("cents") + 1).otherwise(F.col("cents"))
+    second = t.where("part <> 3").withColumn("cents", touched).unionByName(t.where("part = 0").withColumn("part", F.lit(4).cast("long")))
+    return MF.compare(chunks("landed-a", t), chunks("landed-b", second), ["part", "chunk"])
+
+
 @query("S12_incremental_shards", "SELECT status, reason, count(*) AS shards, sum(n) AS n FROM (SELECT key, count(*) AS n, CASE WHEN key % 4 = 0 THEN 'skipped' WHEN count(*) FILTER (WHERE kind = 'purchase') = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN key % 4 = 0 THEN 'verified' WHEN count(*) FILTER (WHERE kind = 'purchase') = 0 THEN 'no_purchase' ELSE '' END AS reason FROM tape GROUP BY key) GROUP BY ALL")
 def s12(spark, d):
     """Shards (keys) verified before are skipped; the rest is worked on and audited."""
@@ -128,8 +151,8 @@ CASE WHEN p = 0 THEN 'no_purchase' WHEN shard IN (0, 1, 2) THEN 'verified' WHEN
 SELECT status, reason, count(*) AS shards, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY ALL""")
 def s12_files(spark, d):
     """A run over files, broken off after four of eight, and its continuation: a file is skipped
-    where its digest is the manifest's and its shard, read back, has the rows that were
-    audited; one that changed in between is done anew."""
+    where its digest is the manifest's and its shard, read back, has the content that was
+    entered; one that changed in between is done anew."""
     source, shards = _scratch(spark, "shard-in"), _scratch(spark, "shard-out")
     t = tape(spark, d).select((F.col("key") % 8).alias("shard"), "key", "us", "seq", "kind", "cents")
 
@@ -139,9 +162,9 @@ def s12_files(spark, d):
     for i in range(8):
         # Shard 3 lands incomplete first.
         land(t.where("kind <> 'error'") if i == 3 else t, i)
-    first = T.run_shards(spark, [f"{source}/part={i}" for i in range(4)], f"{shards}/1", None)
+    first = SH.run_shards(spark, [f"{source}/part={i}" for i in range(4)], f"{shards}/1", None)
     land(t, 3)
-    second = T.run_shards(spark, [f"{source}/part={i}" for i in range(8)], f"{shards}/2", first)
+    second = SH.run_shards(spark, [f"{source}/part={i}" for i in range(8)], f"{shards}/2", first)
     return second.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("n"))
 
 

@@ -58,48 +58,6 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
-
-
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work items without an ok entry in the log."""
     return work.join(done.where("status = 'ok'").select(*keys).distinct(), keys, "left_anti")
-
-
-def run_shards(spark: SparkSession, folders: list[str], out: str, before: DataFrame | None) -> DataFrame:
-    """One incremental run over folders of files that are named key=value: writes what isn't
-    verified by a run before into shards below `out` and returns the run's audit, also written there: part,
-    digest, n, p (purchases), status (ok, error, skipped), reason, shards (where its shard lies).
-
-    before: the audit of a run before.  A part is verified where it was ok or skipped then,
-    its files' digest is the same, and its shard has the rows that were audited."""
-    part = F.regexp_extract("path", "part=([^/]+)", 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folders).select(part.alias("part"), F.sha2("content", 256).alias("sha"))
-    digests = files.groupBy("part").agg(F.sha2(F.concat_ws(" ", F.array_sort(F.collect_list("sha"))), 256).alias("digest"))
-    base = folders[0].rsplit("/", 1)[0]
-    rows = spark.read.option("basePath", base).parquet(*folders).withColumn("part", F.col("part").cast("string"))
-    if before is None:
-        todo = digests.withColumn("reason", F.lit("new"))
-        verified = None
-    else:
-        counted = None
-        for (folder,) in before.where("status <> 'error'").select("shards").distinct().collect():  # one a run before
-            some = spark.read.parquet(folder).groupBy(F.col("part").cast("string").alias("part")).agg(F.count(F.lit(1)).alias("found")).withColumn("shards", F.lit(folder))
-            counted = some if counted is None else counted.unionByName(some)
-        old = before.where("status <> 'error'").select("part", F.col("digest").alias("old"), "n", "p", "shards")
-        old = old.withColumn("found", F.lit(None).cast("long")) if counted is None else old.join(counted, ["part", "shards"], "left")
-        met = digests.join(old, "part", "left")
-        same = F.coalesce((F.col("old") == F.col("digest")) & (F.col("found") == F.col("n")), F.lit(False))
-        verified = met.where(same).select("part", "digest", "n", "p", F.lit("skipped").alias("status"), F.lit("verified").alias("reason"), "shards")
-        todo = met.where(~same).select("part", "digest", F.when(F.col("old").isNull(), "new").otherwise("changed").alias("reason"))
-    todo = todo.persist()
-    rows.join(todo.select("part"), "part", "left_semi").write.partitionBy("part").parquet(f"{out}/rows")
-    done = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "purchase").alias("p"))
-    bad = F.col("p") == 0
-    audit = todo.join(done, "part").select("part", "digest", "n", "p", F.when(bad, "error").otherwise("ok").alias("status"), F.when(bad, "no_purchase").otherwise(F.col("reason")).alias("reason"), F.lit(f"{out}/rows").alias("shards"))
-    audit = audit if verified is None else audit.unionByName(verified)
-    audit.write.parquet(f"{out}/audit")
-    todo.unpersist()
-    return spark.read.schema(audit.schema).parquet(f"{out}/audit")
