@@ -48,13 +48,13 @@ def fit_tick_model(spark, d):
     return Pipeline(stages=[VectorAssembler(inputCols=["x1", "x2"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01)]).fit(t)
 
 
-@query("M01_fixed_step_folds", "WITH g AS (SELECT min(day) AS d0, max(day) AS d1 FROM facts), f AS (SELECT CAST(i AS INT) AS fold, d0 + 720 + i * 180 AS test_start FROM g, (SELECT unnest(range(0, 40)) AS i) WHERE d0 + 720 + i * 180 <= d1) SELECT f.fold, f.test_start, count(*) FILTER (WHERE x.day < f.test_start) AS train, count(*) FILTER (WHERE x.day >= f.test_start AND x.day < f.test_start + 180) AS test FROM f, facts x GROUP BY ALL HAVING count(*) FILTER (WHERE x.day < f.test_start) >= 500")
+@query("M01_fixed_step_folds", "WITH g AS (SELECT min(day) AS d0, max(day) AS d1 FROM facts), f AS (SELECT CAST(i AS INT) AS fold, d0 + 720 + i * 180 AS test_start FROM (SELECT *, unnest(range(0, (d1 - d0 - 720) // 180 + 1)) AS i FROM g WHERE d1 >= d0 + 720)) SELECT f.fold, f.test_start, count(*) FILTER (WHERE x.day < f.test_start) AS train, count(*) FILTER (WHERE x.day >= f.test_start AND x.day < f.test_start + 180) AS test FROM f, facts x GROUP BY ALL HAVING count(*) FILTER (WHERE x.day < f.test_start) >= 500")
 def m01(spark, d):
     """Folds grow by 180 days after the first 720; counted a day, not a row, at a time."""
     f = facts(spark, d)
     days = f.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    ends = f.agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
-    folds = ends.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("test_start", F.col("d0") + 720 + F.col("fold") * 180).where("test_start <= d1").select("fold", "test_start")
+    ends = f.agg(F.min("day").alias("d0"), F.max("day").alias("d1")).where("d1 >= d0 + 720")
+    folds = ends.withColumn("fold", F.explode(F.expr("sequence(0, cast((d1 - d0 - 720) div 180 as int))"))).withColumn("test_start", F.col("d0") + 720 + F.col("fold") * 180).select("fold", "test_start")
     m = days.join(F.broadcast(folds), F.col("day") < F.col("test_start") + 180)
     g = m.groupBy("fold", "test_start").agg(F.coalesce(F.sum(F.when(F.col("day") < F.col("test_start"), F.col("n"))), F.lit(0)).alias("train"), F.coalesce(F.sum(F.when(F.col("day") >= F.col("test_start"), F.col("n"))), F.lit(0)).alias("test"))
     return g.where("train >= 500")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import windows as W
+from ..operators import pairing as P
 from ..operators.asof import asof
 from ..sources.tables import tape
 from ..streaming import keyed as K
@@ -198,9 +198,30 @@ def t14(spark, d):
 
 @query("T15_median_bins", "SELECT key, us // 7200000000 AS bin, round(quantile_cont(cents, 0.5), 4) AS mid, count(*) AS n FROM tape WHERE kind IN ('view', 'click') GROUP BY ALL")
 def t15(spark, d):
-    """Medians are of the bin's rows so far, so results replace each other."""
-    s = _stream(spark, d).where("kind IN ('view', 'click')").groupBy("key", F.floor(F.col("us") / (2 * HOUR)).alias("bin"))
-    return R.drain(s.agg(F.round(F.percentile("cents", 0.5), 4).alias("mid"), F.count(F.lit(1)).alias("n")), "medians", "complete")
+    """A bin's values are state until the watermark has passed its end; then its median is a row, once."""
+    rows, marks = _stream(spark, d).where("kind IN ('view', 'click')"), R.scratch(spark, "medians-marks")
+    rows = K.with_marks(rows.select("key", F.timestamp_micros("us").alias("ts"), "cents"), marks, "1 hour")
+    s = rows.groupBy("key", F.window("ts", "2 hours").alias("w")).agg(F.round(F.percentile("cents", 0.5), 4).alias("mid"), F.count(F.lit(1)).alias("n"))
+    return R.drain(s.select("key", F.floor(F.unix_micros("w.start") / (2 * HOUR)).alias("bin"), "mid", "n"), "medians", marks=marks)
+
+
+@query("T15_mirrored_changes", """
+WITH m AS (SELECT key, kind, us // 86400000000 AS bin, round(quantile_cont(cents, 0.5), 4) AS mid FROM tape WHERE kind IN ('view', 'click') GROUP BY ALL),
+j AS (SELECT *, mid - lag(mid) OVER (PARTITION BY key, kind ORDER BY bin) AS d FROM m QUALIFY abs(d) >= 800),
+c AS (SELECT *, count(*) FILTER (WHERE d > 0) OVER w = 1 AND count(*) FILTER (WHERE d < 0) OVER w = 1 AS twin FROM j WINDOW w AS (PARTITION BY key, bin))
+SELECT key, bin, CASE WHEN twin THEN 2 ELSE 1 END::BIGINT AS outcomes, round(d, 4) AS delta, CASE WHEN d > 0 THEN kind END AS positive_outcome FROM c WHERE NOT twin OR d > 0""")
+def t15_mirrored(spark, d):
+    """Changes of daily medians of two outcomes (kinds) of a key; mirrored ones are one."""
+    t = tape(spark, d).where("kind IN ('view', 'click')")
+    mids = t.groupBy("key", "kind", F.floor(F.col("us") / DAY).alias("bin")).agg(F.round(F.percentile("cents", 0.5), 4).alias("mid"))
+    return P.price_jumps(mids, ["key"], "kind", "bin", "mid", 800).withColumn("delta", F.round("delta", 4))
+
+
+@query("T15_one_to_one")
+def t15_pairs(spark, d):
+    """Purchases and views of a key on the same side, at most 6 hours apart, each in one pair at most, the closest first."""
+    t = tape(spark, d).withColumn("side", F.col("k") % 2).where("side IS NOT NULL")
+    return P.pair_one_to_one(t.where("kind = 'purchase'"), t.where("kind = 'view'"), ["key", "side"], "us", "seq", 6 * HOUR).select("key", "side", F.col("left_n").alias("purchase"), F.col("right_n").alias("view"), (F.col("right_t") - F.col("left_t")).alias("lag"))
 
 
 @query("U06_keyed_state", "SELECT seq, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS n, sum(cents) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS total FROM tape")
