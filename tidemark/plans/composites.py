@@ -226,6 +226,37 @@ def c22(spark, d):
     return g.select("grp", "team", F.try_divide((F.col("sig") * n - past).cast("double"), n.cast("double")).alias("gap"))
 
 
+@query("C22_head_to_head", """
+WITH v AS (SELECT grp, supp, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, supp) AS rn FROM steps GROUP BY grp, supp), t AS (SELECT grp, min(supp) AS a, max(supp) AS b FROM v WHERE rn <= 2 GROUP BY grp HAVING count(*) = 2),
+x AS (SELECT s.grp, f.day, s.qty, s.disc, CASE WHEN s.win THEN 1 ELSE 0 END AS y FROM steps s JOIN facts f ON s.grp = f.fact),
+e AS (SELECT day, count(*) AS n, sum(qty) AS q, sum(disc) AS d, sum(y) AS y, sum(qty * qty) AS qq, sum(qty * disc) AS qd, sum(disc * disc) AS dd, sum(qty * y) AS qy, sum(disc * y) AS dy FROM x GROUP BY day),
+p AS (SELECT day, sum(n) OVER w AS n, sum(q) OVER w AS q, sum(d) OVER w AS d, sum(y) OVER w AS y, sum(qq) OVER w AS qq, sum(qd) OVER w AS qd, sum(dd) OVER w AS dd, sum(qy) OVER w AS qy, sum(dy) OVER w AS dy FROM e WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT day, CAST(n AS DOUBLE) AS n, CAST(q AS DOUBLE) AS q, CAST(d AS DOUBLE) AS d, CAST(y AS DOUBLE) AS y, CAST(n * qq - q * q AS DOUBLE) AS vq, CAST(n * dd - d * d AS DOUBLE) AS vd, CAST(n * qd - q * d AS DOUBLE) AS cov, CAST(n * qy - q * y AS DOUBLE) AS gq, CAST(n * dy - d * y AS DOUBLE) AS gd FROM p WHERE n >= 100),
+w AS (SELECT x.grp, x.day, x.y AS won, c.n, c.y AS before, (vd * gq - cov * gd) * (n * x.qty - q) + (vq * gd - cov * gq) * (n * x.disc - d) > 0 AS vote FROM x JOIN c USING (day))
+SELECT t.a, t.b, w.grp, w.day, count(*) AS steps, count(*) FILTER (WHERE vote) AS votes, 2 * count(*) FILTER (WHERE vote) > count(*) AS predicted, sum(won) * n > before * count(*) AS actual FROM w JOIN t USING (grp) GROUP BY t.a, t.b, w.grp, w.day, n, before""")
+def c22_walk(spark, d):
+    """Every group of a pair of teams (the two suppliers with the most steps in it), its steps predicted from all strictly
+    earlier groups: a vote is a step with more chance than the wins so far, and the majority is held against the outcome.
+
+    There is a model for each day, all at once: a linear one needs sums of products alone, and
+    those up to a day are running sums over days."""
+    s, f = steps(spark, d), facts(spark, d).select(F.col("fact").alias("grp"), "day")
+    counts = s.groupBy("grp", "supp").agg(F.count(F.lit(1)).alias("n"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "supp"))), 1, 2)["supp"]
+    teams = counts.groupBy("grp").agg(first.alias("two")).where("size(two) = 2").select("grp", F.array_min("two").alias("a"), F.array_max("two").alias("b"))
+    x = s.drop("day").join(f, "grp").select("grp", "day", "qty", "disc", F.col("win").cast("long").alias("y"))
+    sums = {"n": F.lit(1), "q": F.col("qty"), "d": F.col("disc"), "y": F.col("y"), "qq": F.col("qty") * F.col("qty"), "qd": F.col("qty") * F.col("disc"), "dd": F.col("disc") * F.col("disc"), "qy": F.col("qty") * F.col("y"), "dy": F.col("disc") * F.col("y")}
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # over days
+    p = x.groupBy("day").agg(*[F.sum(v).alias(k) for k, v in sums.items()]).select("day", *[F.sum(k).over(before).cast("decimal(38,0)").alias(k) for k in sums]).where("n >= 100")
+    double = lambda e: F.expr(f"cast({e} as double)")
+    whole = lambda a, b, c, e: F.expr(f"cast(cast({a} as decimal(18,0)) * cast({b} as decimal(18,0)) - cast({c} as decimal(18,0)) * cast({e} as decimal(18,0)) as double)")
+    c = p.select("day", *[double(k).alias(k) for k in ("n", "q", "d", "y")], whole("n", "qq", "q", "q").alias("vq"), whole("n", "dd", "d", "d").alias("vd"), whole("n", "qd", "q", "d").alias("cov"), whole("n", "qy", "q", "y").alias("gq"), whole("n", "dy", "d", "y").alias("gd"))
+    c = c.withColumnRenamed("y", "before")
+    vote = (F.col("vd") * F.col("gq") - F.col("cov") * F.col("gd")) * (F.col("n") * F.col("qty") - F.col("q")) + (F.col("vq") * F.col("gd") - F.col("cov") * F.col("gq")) * (F.col("n") * F.col("disc") - F.col("d")) > 0
+    w = x.join(c, "day").groupBy("grp", "day", "n", "before").agg(F.count(F.lit(1)).alias("steps"), F.count_if(vote).alias("votes"), F.sum("y").alias("won"))
+    return w.join(teams, "grp").select("a", "b", "grp", "day", "steps", "votes", (2 * F.col("votes") > F.col("steps")).alias("predicted"), (F.col("won") * F.col("n") > F.col("before") * F.col("steps")).alias("actual"))
+
+
 @query("C23_source_audit", "WITH a AS (SELECT key, max(us) AS last_us, max_by(kind, (us, seq)) AS last_kind, count(*) AS n FROM tape GROUP BY key), x AS (SELECT key FROM tape WHERE kind = 'error' AND k = 99) SELECT key, last_kind, n, last_kind IN ('purchase', 'view') AS normal_end FROM a WHERE key NOT IN (SELECT key FROM x)")
 def c23(spark, d):
     t = tape(spark, d)

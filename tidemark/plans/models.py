@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import clusters as C
+from ..operators import effects as EF
+from ..operators import frozen as FZ
 from ..operators import windows as W
+from ..scratch import scratch_path
 from ..sources.tables import facts, steps, table, tape
 from .registry import query
 
@@ -158,12 +161,10 @@ def m11(spark, d):
 
 @query("M12_entity_skill")
 def m12(spark, d):
-    """Skill of suppliers: coefficients of their indicators beside quantity and discount."""
-    s = steps(spark, d).select(F.col("supp").cast("string").alias("e"), F.col("qty").cast("double"), F.col("disc").cast("double"), F.col("win").cast("double").alias("y"))
-    index = StringIndexer(inputCol="e", outputCol="ei", stringOrderType="alphabetAsc")
-    model = Pipeline(stages=[index, OneHotEncoder(inputCol="ei", outputCol="eo", dropLast=False), VectorAssembler(inputCols=["qty", "disc", "eo"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=0.05, maxIter=20)]).fit(s)
-    names, beta = model.stages[0].labels, model.stages[-1].coefficients.toArray()
-    return spark.createDataFrame([(n, float(round(b, 5))) for n, b in zip(names, beta[2:], strict=True)], "entity string, skill double")
+    """Skill of suppliers: effects of their own beside quantity and discount; they stay a table."""
+    s = steps(spark, d).select(F.col("supp").cast("string").alias("entity"), "qty", "disc", F.col("win").cast("double").alias("y"))
+    skill, _ = EF.entity_effects(s, "entity", ["qty", "disc"], "y", 0.05)
+    return skill.select("entity", F.round("effect", 5).alias("skill"))
 
 
 @query("M13_permutation_importance")
@@ -302,6 +303,114 @@ def m20_idle(spark, d):
     return W.ordered_pass(_contests(spark, d), ["pool", "block"], ["day", "fact"], ["day", "entity", "rival", "won"], {"p": "double", "deviation": "double"}, rate_with_deviation).select("fact", F.round("p", 6).alias("p"), F.round("deviation", 4).alias("deviation"))
 
 
+def rate_without_series(state, day, entity, rival, won, series):
+    """Chance of a contest from ratings that no result of its own series has moved.
+
+    A series keeps the ratings from before its first day, and contests are kept since the oldest open
+    series began: a later contest of a series replays those since then without the series' own.
+    Series end with their month, so what is kept is a month's contests."""
+    last, rating, today, log, opened = state or (day, {}, [], [], {})
+    if day != last:
+        rating = elo_day(rating, today)
+        log.append((last, today))
+        opened = {s: x for s, x in opened.items() if s[2] == day // 30}
+        since = min((x[1] for x in opened.values()), default=day)
+        log, today = [x for x in log if x[0] >= since], []
+    now = rating
+    if series in opened:
+        now = opened[series][0]
+        for then, contests in log:
+            if then >= opened[series][1]:
+                now = elo_day(now, [c for c in contests if c[3] != series])
+    else:
+        opened[series] = (dict(rating), day)
+    today.append((entity, rival, won, series))
+    return (day, rating, today, log, opened), (elo_chance(now, entity, rival),)
+
+
+def elo_chance(rating, a, b):
+    return 1 / (1 + 10 ** ((rating.get(b, 1500.0) - rating.get(a, 1500.0)) / 400))
+
+
+def elo_day(rating, contests):
+    """Ratings after a day's contests, all rated from the ratings before it."""
+    after = dict(rating)
+    for a, b, won, _ in contests:
+        move = 24 * (won - elo_chance(rating, a, b))
+        after[a], after[b] = after.get(a, 1500.0) + move, after.get(b, 1500.0) - move
+    return after
+
+
+@query("M20_without_own_series")
+def m20_series(spark, d):
+    """Elo in the pools and blocks of M20_elo_by_pool, where a month's contests of two entities are a series."""
+    c = _contests(spark, d)
+    c = c.withColumn("series", F.struct(F.least("entity", "rival").alias("a"), F.greatest("entity", "rival").alias("b"), F.floor(F.col("day") / 30).alias("month")))
+    c = c.select("pool", "block", "day", "fact", "entity", "rival", "won", *[F.col(f"series.{x}").alias(f"s_{x}") for x in ("a", "b", "month")])
+    step = lambda state, day, entity, rival, won, *series: rate_without_series(state, day, entity, rival, won, series)
+    return W.ordered_pass(c, ["pool", "block"], ["day", "fact"], ["day", "entity", "rival", "won", "s_a", "s_b", "s_month"], {"p": "double"}, step).select("fact", F.round("p", 6).alias("p"))
+
+
+#: Glicko-2's scale, the constraint of volatility's change, volatility and deviation of the unknown, days of a period.
+SCALE, TAU, STEADY, WIDE, PERIOD = 173.7178, 0.5, 0.06, 350 / 173.7178, 30
+
+
+def new_volatility(spread, v, delta, volatility):
+    """The volatility that fits a period's surprise: the root of the published equation, found between two
+    bounds that are halved."""
+    centre = math.log(volatility**2)
+
+    def slope(x):
+        e = math.exp(x)
+        return e * (delta**2 - spread**2 - v - e) / (2 * (spread**2 + v + e) ** 2) - (x - centre) / TAU**2
+
+    low = high = centre
+    while slope(low) < 0:
+        low -= TAU
+    while slope(high) > 0:
+        high += TAU
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope(middle) > 0 else (low, middle)
+    return math.exp((low + high) / 4)
+
+
+def after_period(mean, spread, volatility, games):
+    """(mean, spread, volatility) after a period's games (mean and spread of the other, score)."""
+    info = pull = 0.0
+    for other, wide, score in games:
+        g = 1 / math.sqrt(1 + 3 * wide**2 / math.pi**2)
+        chance = 1 / (1 + math.exp(-g * (mean - other)))
+        info, pull = info + g**2 * chance * (1 - chance), pull + g * (score - chance)
+    volatility = new_volatility(spread, 1 / info, pull / info, volatility)
+    spread = 1 / math.sqrt(1 / (spread**2 + volatility**2) + info)
+    return mean + spread**2 * pull, spread, volatility
+
+
+def rate_with_volatility(state, day, entity, rival, won):
+    """Chance and volatility before a contest; a day's contests are a period, and a spread grows with rest as
+    the entity is volatile."""
+    last, book, games = state or (day, {}, {})
+    if day != last:
+        for who, played in games.items():
+            book[who] = (*after_period(*book[who][:3], played), last)
+        games = {}
+    for who in (entity, rival):
+        mean, spread, volatility, seen = book.get(who, (0.0, WIDE, STEADY, day))
+        book[who] = (mean, min(WIDE, math.sqrt(spread**2 + volatility**2 * (day - seen) / PERIOD)), volatility, day)
+    (a, wide_a, volatility, _), (b, wide_b, _, _) = book[entity], book[rival]
+    games.setdefault(entity, []).append((b, wide_b, float(won)))
+    games.setdefault(rival, []).append((a, wide_a, 1.0 - won))
+    g = 1 / math.sqrt(1 + 3 * (wide_a**2 + wide_b**2) / math.pi**2)
+    return (day, book, games), (1 / (1 + math.exp(-g * (a - b))), volatility)
+
+
+@query("M20_volatility")
+def m20_volatility(spark, d):
+    """Ratings with a volatility of each entity, in the pools and blocks of M20_elo_by_pool."""
+    return W.ordered_pass(_contests(spark, d), ["pool", "block"], ["day", "fact"], ["day", "entity", "rival", "won"], {"p": "double", "volatility": "double"}, rate_with_volatility).select("fact", F.round("p", 6).alias("p"), F.round("volatility", 7).alias("volatility"))
+
+
 @query("M21_scheme_tournament", "WITH c AS (SELECT unnest([10, 20, 30]) AS q, unnest([2, 4, 6]) AS x UNION ALL SELECT 25, 0), r AS (SELECT c.q, c.x, count(*) AS n, sum(CASE WHEN s.win THEN s.cents ELSE -s.cents END) AS net FROM c JOIN steps s ON s.qty >= c.q AND s.disc >= c.x GROUP BY ALL) SELECT arg_max(q, (net // 1000, -q)) AS q, arg_max(x, (net // 1000, -q)) AS x, max(net) AS net, count(*) AS schemes FROM r WHERE n >= 50")
 def m21(spark, d):
     c = spark.createDataFrame([(10, 2), (20, 4), (30, 6), (25, 0)], "q int, x int")
@@ -319,12 +428,15 @@ def m22(spark, d):
 
 @query("C30_exit_forecast")
 def c30(spark, d):
-    """Exit level of a session from a model of earlier sessions only."""
+    """Exit level of a session from a model that was frozen on earlier sessions."""
     t = tape(spark, d).withColumn("week", F.floor(F.col("us") / (7 * DAY)))
     s = t.groupBy("key", "week").agg(F.min_by("cents", "us").cast("double").alias("start"), F.avg("k").alias("k"), F.max_by("cents", "us").cast("double").alias("y"))
     first = s.agg(F.min("week")).first()[0]
-    model = Pipeline(stages=[VectorAssembler(inputCols=["start", "k"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="y", regParam=1.0)]).fit(s.where(F.col("week") <= first + 1))
-    return model.transform(s.where(F.col("week") > first + 1)).select("key", "week", F.round("prediction", 2).alias("forecast"))
+    train, later = s.where(F.col("week") <= first + 1), s.where(F.col("week") > first + 1)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["start", "k"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="y", regParam=1.0)]).fit(train)
+    path = scratch_path(spark, "forecaster")
+    FZ.freeze(model, train, ["start", "k"], "week", path)
+    return FZ.Frozen(spark, path).apply(later).select("key", "week", F.round("prediction", 2).alias("forecast"))
 
 
 @query("C32_signature_folds")
