@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as J
+from tidemark.operators import setjoin as SJ
 from tidemark.plans import registry
 from tidemark.sources.tables import facts
 from tidemark.sources.shards import run_shards
@@ -60,6 +61,30 @@ def test_components_and_overlaps_of_all_groups(spark, tmp_path):
     assert {r["id"]: r["comp"] for r in registry.QUERIES["A25_components"](spark, str(tmp_path)).collect()} == comp
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_large_sets_and_hot_members(spark, monkeypatch, block):
+    """Sets of 300 members: an index row for each prefix member; a member that all sets have; equal sets."""
+    monkeypatch.setattr(SJ, "BLOCK", block)
+    rng = random.Random(6)
+    base = [rng.sample(range(2000), 300) for _ in range(6)]
+    sets = [(g, {*base[g % 6][: rng.randrange(200, 300)], *rng.sample(range(3000, 9000), rng.randrange(60)), -1}) for g in range(40)]
+    sets += [(100 + g, {-1, 9000 + g, *range(9100, 9100 + g % 5)}) for g in range(30)] + [(200 + g, sets[3][1]) for g in range(4)] + [(300, {-1, 5}), (301, {-1, 5})]
+    df = spark.createDataFrame([(g, m) for g, s in sets for m in [*s, min(s)]] + [(None, 1), (300, None)], "g long, m long")
+    got = SJ.overlap_pairs(df, "g", "m", 3, 60)
+    assert sorted((r["a"], r["b"], r["common"], r["in_all"]) for r in got.collect()) == sorted(pairs_by_hand(sets, 60))
+    comp = {}
+    edges = [(a, b) for a, b, *_ in pairs_by_hand(sets, 0)]
+    for a, b in edges:
+        comp[a], comp[b] = a, b
+    while any(comp[a] != comp[b] for a, b in edges):
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert {r["id"]: r["comp"] for r in J.min_labels(SJ.overlap_links(df, "g", "m", 3)).collect()} == comp
+    if block == 1000:
+        _, classes = SJ.classes_of(df, "g", "m", 3)
+        assert classes.select(F.sum("n")).first()[0] <= sum(len(s) for _, s in sets)
+
+
 def test_components_of_long_chains(spark):
     """A smaller label has to cross a basin that has settled on another one."""
     path = [2, *range(10, 110), 1]

@@ -36,42 +36,6 @@ def interval_semi(left: DataFrame, right: DataFrame, by: list[str], on: str, low
     return left.join(theirs, cond & more if more is not None else cond, "left_semi")
 
 
-def _combinations(k: int):
-    """All combinations of k members of the sorted array `p`, as an array of arrays."""
-    out = F.transform("p", lambda x: F.array(x))
-    for _ in range(1, k):
-        longer = lambda c: F.transform(F.filter("p", lambda x: x > F.element_at(c, -1)), lambda x: F.concat(c, F.array(x)))
-        out = F.flatten(F.transform(out, longer))
-    return out
-
-
-def overlap_links(sets: DataFrame, key: str, member: str, least: int) -> DataFrame:
-    """Edges (a, b) with the components of all pairs of keys that share `least` members or more:
-    such pairs have a combination of `least` members in common, so each key is linked to the
-    smallest key of each of its combinations.  Rows grow with the keys, not with their pairs."""
-    rows = sets.select(F.col(key).alias("a"), F.col(member).alias("m")).groupBy("a").agg(F.array_sort(F.collect_set("m")).alias("p")).where(F.size("p") >= least)
-    rows = rows.select("a", F.explode(_combinations(least)).alias("c"))
-    hubs = rows.groupBy("c").agg(F.min("a").alias("b"))
-    return rows.join(hubs, "c").where("a <> b").select("a", "b").distinct()
-
-
-def overlap_pairs(sets: DataFrame, key: str, member: str, least: int, percent: int = 0) -> DataFrame:
-    """Pairs a < b of keys that share at least `least` members and percent % of their union.
-
-    Keys meet by combinations of `least` members.  A set of n members needs at least
-    o = max(least, percent % of n) in common, so the first `least` common members are among
-    its first n - o + least ones in sorted order; a pair counts where it meets by those."""
-    g = sets.select(F.col(key).alias("a"), F.col(member).alias("m")).groupBy("a").agg(F.array_sort(F.collect_set("m")).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= least)
-    o = F.greatest(F.lit(least), F.ceil(F.col("n") * percent / 100).cast("int"))
-    g = g.withColumn("p", F.slice("s", F.lit(1), F.col("n") - o + least)).select("a", "s", "n", F.explode(_combinations(least)).alias("c"))
-    other = g.select(F.col("a").alias("b"), F.col("s").alias("s_b"), F.col("n").alias("n_b"), "c")
-    fits = (F.col("a") < F.col("b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-    common = F.array_sort(F.array_intersect("s", "s_b"))
-    both = g.join(other, "c").where(fits).withColumn("same", common).where(F.slice("same", 1, least) == F.col("c"))
-    sized = both.select("a", "b", F.size("same").cast("long").alias("common"), (F.col("n") + F.col("n_b") - F.size("same")).cast("long").alias("in_all"))
-    return sized.where(100 * F.col("common") >= percent * F.col("in_all"))
-
-
 def checkpoints(spark: SparkSession) -> None:
     """Set the folder that checkpoints go to, unless there is one."""
     folder = shared_dir(spark)

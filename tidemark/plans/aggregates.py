@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import setjoin as SJ
 from ..operators import windows as W
 from ..sources.tables import facts, steps, table, tape
 from .joins import STUDY, study, study_sql
@@ -202,7 +203,7 @@ def a24(spark, d):
 def a25(spark, d):
     """Groups that share three members or more, and what they reach.  SQL would pair all that
     reach each other; a test compares small tables with brute force."""
-    return J.min_labels(J.overlap_links(steps(spark, d), "grp", "supp", 3))
+    return J.min_labels(SJ.overlap_links(steps(spark, d), "grp", "supp", 3))
 
 
 @query("A26_majority_label", """

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import setjoin as SJ
 from ..operators import windows as W
 from ..operators.asof import asof, asof_bucketed
 from ..sources.tables import facts, steps, table, tape
@@ -235,7 +236,7 @@ WITH m AS (SELECT DISTINCT grp, part % 50 AS m FROM steps), n AS (SELECT grp, co
 c AS (SELECT a.grp AS a, b.grp AS b, count(*) AS common FROM m a JOIN m b ON a.m = b.m AND a.grp < b.grp GROUP BY ALL HAVING count(*) >= 3)
 SELECT c.a, c.b, c.common, x.n + y.n - c.common AS in_all FROM c JOIN n x ON c.a = x.grp JOIN n y ON c.b = y.grp WHERE 100 * c.common >= 60 * (x.n + y.n - c.common)""")
 def j18(spark, d):
-    return J.overlap_pairs(steps(spark, d).select("grp", (F.col("part") % 50).alias("m")), "grp", "m", 3, 60)
+    return SJ.overlap_pairs(steps(spark, d).select("grp", (F.col("part") % 50).alias("m")), "grp", "m", 3, 60)
 
 
 @query("J19_offset_grid", """
