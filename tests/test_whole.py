@@ -81,8 +81,7 @@ def test_large_sets_and_hot_members(spark, monkeypatch, block):
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert {r["id"]: r["comp"] for r in J.min_labels(SJ.overlap_links(df, "g", "m", 3)).collect()} == comp
     if block == 1000:
-        _, classes = SJ.classes_of(df, "g", "m", 3)
-        assert classes.select(F.sum("n")).first()[0] <= sum(len(s) for _, s in sets)
+        assert SJ.ordered_sets(df, "g", "m", 3).select(F.sum("n")).first()[0] <= sum(len(s) for _, s in sets)
 
 
 def test_components_of_long_chains(spark):

@@ -2,11 +2,10 @@
 
 Members are put in one order, rare ones first.  Two sets that share enough share a member among the first
 n - o + 1 of each (n: the set's size, o: what it must share at least), so an index of those prefixes meets
-every pair; it has a row for each set and prefix member, whatever the sets' sizes.  A row carries what
-follows its member in the set: where two sets meet by their first common member, the common rest is all
-they share, and where they meet by a later one it is less, so the most is the truth.
+every pair; it has a row for each set and prefix member, whatever the sets' sizes.  A row carries its
+set, so that a pair is made where its first common member is, once.
 
-Equal sets are one class.  A member's sets are dealt in blocks, so a member that a third of all sets have is
+Where only components are wanted, equal sets are one class.  A member's sets are dealt in blocks, so a member that a third of all sets have is
 work for many tasks; a task compares two blocks by a product of 0-1 matrices and
 returns the pairs that share enough, or, where only components are wanted, a spanning forest of them.
 """
@@ -15,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +24,13 @@ from ..scratch import materialize
 BLOCK, TASK_ROWS, CELLS = 1000, 20_000, 4_000_000
 
 
-def classes_of(sets: DataFrame, key: str, member: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(keys with their class, classes with members in order and size): c is a class's smallest key.
-    Sets of fewer than `least` members are left out; null members are none."""
+def ordered_sets(sets: DataFrame, key: str, member: str, least: int) -> DataFrame:
+    """k, s (members, rare ones first), n (how many), of sets of `least` members or more; null members are none."""
     pairs = sets.select(F.col(key).alias("k"), F.col(member).alias("m")).where("k IS NOT NULL AND m IS NOT NULL").distinct()
     pairs = materialize(pairs, "set-pairs")
     often = pairs.groupBy("m").agg(F.count(F.lit(1)).alias("f"))
     whole = pairs.join(often, "m").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("s")).where(F.size("s") >= least)
-    whole = materialize(whole.select("k", F.transform("s", lambda x: x["m"]).alias("s")), "sets")
-    classes = whole.groupBy("s").agg(F.min("k").alias("c"))
-    keys = whole.join(classes, "s").select("k", "c")
-    return keys, materialize(classes.select("c", "s", F.size("s").alias("n")), "set-classes")
+    return materialize(whole.select("k", F.transform("s", lambda x: x["m"]).alias("s"), F.size("s").alias("n")), "sets")
 
 
 def _shared(sets: list[np.ndarray], cut: int) -> np.ndarray:
@@ -43,13 +39,14 @@ def _shared(sets: list[np.ndarray], cut: int) -> np.ndarray:
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = times[column] > 1
     owner, (_, column) = owner[often], np.unique(column[often], return_inverse=True)
-    out, wide = np.zeros((cut, len(sets) - cut), np.float32), max(64, CELLS // len(sets))
-    for low in range(0, int(column.max()) + 1 if len(column) else 0, wide):
+    columns = int(column.max()) + 1 if len(column) else 0
+    out, wide = np.zeros((cut, len(sets) - cut), np.float32), min(columns, max(64, CELLS // len(sets)))  # counts below 2^24 are exact
+    for low in range(0, columns, max(1, wide)):
         here = (column >= low) & (column < low + wide)
         cells = np.zeros((len(sets), wide), np.float32)
         cells[owner[here], column[here] - low] = 1
         out += cells[:cut] @ cells[cut:].T
-    return out.astype(np.int64)
+    return out
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[list[int], list[int]]:
@@ -69,76 +66,70 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[list[int], list[int]]
     return child, [find(x) for x in child]
 
 
-def class_pairs(classes: DataFrame, least: int, percent: int, forest: bool) -> DataFrame:
-    """a, b, common: pairs of classes that share enough, once or several times (the largest common is the truth);
-    forest: only pairs that have the components of all of them."""
+def linked(sets: DataFrame, least: int, percent: int, forest: bool) -> DataFrame:
+    """a, b, common, in_all: pairs a < b of ordered sets that share enough, each once; forest: pairs with the components of all of them."""
     o = F.greatest(F.lit(least), F.ceil(F.col("n") * percent / 100).cast("int"))
-    heads = classes.withColumn("o", o).select("c", "n", F.posexplode(F.slice("s", F.lit(1), F.col("n") - F.col("o") + 1)).alias("at", "m"), "s")
-    rows = heads.select("c", "n", "at", "m", F.expr("slice(s, at + 1, n)").alias("rest"))
+    heads = sets.withColumn("o", o).select("k", "n", F.posexplode(F.slice("s", F.lit(1), F.col("n") - F.col("o") + 1)).alias("at", "m"), "s")
     loads = heads.groupBy("m").agg(F.count(F.lit(1)).alias("load")).where("load > 1")
     loads = materialize(loads.withColumn("nb", F.ceil(F.col("load") / BLOCK).cast("int")), "set-loads")
     small = loads.where("nb = 1").agg(F.sum("load")).first()[0] or 0
     bins = 1 + small // TASK_ROWS
-    met = rows.join(loads.select("m", "nb"), "m").withColumn("x", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
+    met = heads.join(loads.select("m", "nb"), "m").withColumn("x", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
     span = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.least("x", i).alias("lo"), F.greatest("x", i).alias("hi")))
     dealt = met.withColumn("t", F.explode(span)).withColumn("bin", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("m"), F.lit(bins))).otherwise(F.xxhash64("m")))
-    dealt = dealt.select("bin", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), "m", "x", "c", "n", "at", "rest")
-    kind = classes.schema["c"].dataType.simpleString()
+    dealt = dealt.select("bin", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), "m", "x", "k", "n", "at", "s")
+    kind = sets.schema["k"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         x, n, at = (table.column(k).to_numpy() for k in ("x", "n", "at"))
         m = table.column("m").combine_chunks().dictionary_encode().indices.to_numpy()
-        flat = table.column("rest").combine_chunks()
+        flat = table.column("s").combine_chunks()
         ends = np.cumsum(flat.value_lengths().to_numpy())
         codes = flat.flatten().dictionary_encode().indices.to_numpy()
-        rest = np.split(codes, ends[:-1])
-        one, two, common = [], [], []
+        whole = np.split(codes, ends[:-1])
+        none = np.empty(0, np.int64)
+        found = [(none, none, none, none)]
         order = np.lexsort((x, m))
         for rows in np.split(order, np.flatnonzero(np.diff(m[order])) + 1):
             left, right = rows[x[rows] == lo], rows[x[rows] == hi]
             if not len(left) or not len(right) or len(rows) < 2:
                 continue
-            both = _shared([rest[k] for k in left] + [rest[k] for k in right], len(left))
-            sizes = n[left][:, None] + n[right]
-            fits = (both >= least) & (100 * both >= percent * (sizes - both))
+            both = _shared([whole[k][at[k] :] for k in (*left, *right)], len(left))
+            few, many = percent * n[left].astype(np.float32), percent * n[right].astype(np.float32)
+            fits = (both >= least) & ((100 + percent) * both >= few[:, None] + many)
             if lo == hi:
                 fits = np.triu(fits, 1)
             i, j = np.nonzero(fits)
+            if not forest and len(i) and at[rows].any():  # only where no earlier member is common
+                first = _shared([whole[k][: at[k]] for k in (*left, *right)], len(left))[i, j] == 0
+                i, j = i[first], j[first]
             if forest and len(i):
                 local, k = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
                 child, top = _forest(k[: len(i)], k[len(i) :], len(local))
-                one += local[child].tolist()
-                two += local[top].tolist()
-                common += [0] * len(child)
+                zero = np.zeros(len(child), np.int64)
+                found.append((local[child], local[top], zero, zero))
             else:
-                one += left[i].tolist()
-                two += right[j].tolist()
-                common += both[i, j].tolist()
-        c = table.column("c").combine_chunks()
-        return pa.table([c.take(pa.array(one, pa.int64())), c.take(pa.array(two, pa.int64())), pa.array(common, pa.int64())], names=["a", "b", "common"])
+                common = both[i, j].astype(np.int64)
+                found.append((left[i], right[j], common, n[left[i]] + n[right[j]] - common))
+        one, two, common, in_all = (np.concatenate([f[k] for f in found]) for k in range(4))
+        key = table.column("k").combine_chunks()
+        a, b = key.take(pa.array(one)), key.take(pa.array(two))
+        low, high = pc.min_element_wise(a, b), pc.max_element_wise(a, b)
+        return pa.table([low, high, pa.array(common.astype(np.int64)), pa.array(in_all.astype(np.int64))], names=["a", "b", "common", "in_all"])
 
-    return dealt.groupBy("bin", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, common long")
+    return dealt.groupBy("bin", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, common long, in_all long")
 
 
 def overlap_links(sets: DataFrame, key: str, member: str, least: int) -> DataFrame:
     """Edges (a, b) with the components of all pairs of keys that share `least` members or more."""
-    keys, classes = classes_of(sets, key, member, least)
-    found = class_pairs(classes, least, 0, forest=True).select("a", "b")
-    return found.unionByName(keys.where("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))).distinct()
+    whole = ordered_sets(sets, key, member, least)
+    classes = materialize(whole.groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n")), "set-classes")
+    equal = whole.join(classes.select("s", F.col("k").alias("c")), "s").where("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))
+    return linked(classes, least, 0, forest=True).select("a", "b").unionByName(equal).distinct()
 
 
 def overlap_pairs(sets: DataFrame, key: str, member: str, least: int, percent: int = 0) -> DataFrame:
     """a, b, common, in_all: pairs a < b of keys that share at least `least` members and percent % of their union."""
-    keys, classes = classes_of(sets, key, member, least)
-    of = lambda name: keys.select(F.col("k").alias(f"k{name}"), F.col("c").alias(name))
-    sizes = lambda name: classes.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"))
-    apart = class_pairs(classes, least, percent, forest=False)
-    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common").groupBy("a", "b").agg(F.max("common").alias("common"))
-    apart = apart.join(sizes("a"), "a").join(sizes("b"), "b").join(of("a"), "a").join(of("b"), "b")
-    apart = apart.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "common", (F.col("na") + F.col("nb") - F.col("common")).cast("long").alias("in_all"))
-    # Keys of one class are pairs of the result as well: their sets are equal.
-    same = of("a").join(keys.select(F.col("k").alias("kb"), F.col("c").alias("a")), "a").where("ka < kb").join(sizes("a"), "a")
-    n = F.col("na").cast("long")
-    return apart.unionByName(same.select(F.col("ka").alias("a"), F.col("kb").alias("b"), n.alias("common"), n.alias("in_all")))
+    return linked(ordered_sets(sets, key, member, least), least, percent, forest=False)
