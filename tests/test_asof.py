@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import chains
 from tidemark.operators import joins as J
 from tidemark.operators import windows as W
 from tidemark.operators.asof import asof, asof_bucketed
@@ -89,3 +90,17 @@ def test_passes_carry_their_state_over_batches(spark):
             want.append(seq)
             last[key] = us
     assert got == sorted(want)
+
+
+def test_cooldown_by_chains_equals_the_pass(spark):
+    """One key has nearly all rows; ties, repeated rows and nulls among them."""
+    r = random.Random(9)
+    rows = [(1 if r.random() < 0.9 else 2, r.randrange(4000), i % 700) for i in range(900)]
+    rows += rows[:20] + [(3, 5, 1), (3, None, 2), (4, 7, 1), (4, 7, 0)]
+    df = spark.createDataFrame(rows, "key long, us long, seq long").withColumn("t", F.lit("t"))
+    for width in (1, 13, 500, 10_000):
+        want = W.cooldown(df, ["key"], "us", "seq", width)
+        got = chains.cooldown_spread(df, ["key"], "us", "seq", width, bucket=100)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert chains.cooldown_spread(df.limit(0), ["key"], "us", "seq", 5).count() == 0

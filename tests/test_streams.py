@@ -10,6 +10,14 @@ from tidemark.streaming import runs as R
 HOUR = 3_600_000_000
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Each partition has a state store of its own."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.fixture(scope="module")
 def landed(spark, tmp_path_factory):
     """Ticks in five files, each later than the one before."""
@@ -85,7 +93,7 @@ def late(spark, tmp_path_factory):
     kinds = ["view", "signup", "purchase", "error", "view", "view", "click"]
     rows = [(i % 3, (1000 + i // 2) * HOUR + i % 5 * 700_000_000 + (60 * HOUR if i >= 40 and i % 3 == 1 else 0), i, kinds[i % 7], 100 * (i * 37 % 19) + i % 3, i * 29 % 40) for i in range(70)]
     rows.sort(key=lambda r: (r[1], r[2]))
-    files = [rows[i : i + 10] for i in range(0, len(rows), 10)]
+    files = [rows[i : i + 18] for i in range(0, len(rows), 18)]
     for a, b in zip(files, files[1:]):
         if b[0][1] - a[-1][1] < 2 * HOUR:
             a[-1], b[0] = b[0], a[-1]
@@ -104,8 +112,7 @@ STEPS = {
 }
 
 
-@pytest.mark.parametrize("name", STEPS)
-@pytest.mark.parametrize("idle", [40 * HOUR, 1000 * HOUR])
+@pytest.mark.parametrize(("name", "idle"), [*((n, 40 * HOUR) for n in STEPS), ("totals", 1000 * HOUR), ("book", 1000 * HOUR)])
 def test_keyed_processors_over_batches_equal_their_batch_twin(spark, late, name, idle):
     """Late rows wait for their place; a key that was silent begins anew, however rows fall into batches."""
     columns, kept, out, step = STEPS[name]

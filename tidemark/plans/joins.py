@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import chains as CH
 from ..operators import joins as J
 from ..operators import setjoin as SJ
 from ..operators import windows as W
@@ -326,11 +327,11 @@ r AS (SELECT key, min(us) AS us FROM c GROUP BY key UNION ALL SELECT r.key, (SEL
 shocks AS (SELECT c.* FROM c JOIN r ON c.key = r.key AND c.us = r.us)"""
 
 
-def shocks(spark, d):
+def shocks(spark, d, cooldown=W.cooldown):
     """Moves of at least 40.00 against the last tick, one a day and key at most."""
     q = tape(spark, d).where("kind <> 'error'").select("key", "us", "seq", "cents")
     move = F.col("cents") - F.lag("cents").over(Window.partitionBy("key").orderBy("us", "seq"))
-    return W.cooldown(q.withColumn("move", move).where(F.abs("move") >= 4000), ["key"], "us", "seq", DAY)
+    return cooldown(q.withColumn("move", move).where(F.abs("move") >= 4000), ["key"], "us", "seq", DAY)
 
 
 @query("W11_cooldown", f"WITH RECURSIVE {SHOCKS.strip()} SELECT key, us, seq, move FROM shocks")
@@ -338,6 +339,12 @@ def w11(spark, d):
     return shocks(spark, d).select("key", "us", "seq", "move")
 
 
+@query("W11_cooldown_hot_keys", f"WITH RECURSIVE {SHOCKS.strip()} SELECT key, us, seq, move FROM shocks")
+def w11_hot(spark, d):
+    """As W11_cooldown, with chains of successors in place of a pass, so that no key is one task's work."""
+    return shocks(spark, d, CH.cooldown_spread).select("key", "us", "seq", "move")
+
+
 def study_sql(horizons=(6, 24, 72), latencies=(1,)) -> str:
     """CTEs of the study at horizons and latencies in hours."""
     hours, late = (", ".join(f"({x})" for x in xs) for xs in (horizons, latencies))
