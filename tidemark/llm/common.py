@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, discard, materialize, scratch_path, shared_dir, sized
+from ..scratch import Scratch, discard, materialize, scratch_path, shared_dir, sized, written
 
-__all__ = ["ASCII_SPACE", "Scratch", "discard", "held_out", "materialize", "read_table", "scratch_path", "shared_dir", "sized", "unused"]
+__all__ = ["ASCII_SPACE", "Scratch", "discard", "held_out", "materialize", "read_table", "scratch_path", "shared_dir", "sized", "unused", "written"]
 
 #: ASCII white space, the characters of [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 from .components import components
 
 COSINE = 0.93
@@ -192,10 +192,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be in (0, 1]")
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-    classes = materialize(classes_of(vectors, id_col, vector_col, label_col), "classes")
+    with Scratch(vectors.sparkSession, "vectors") as scratch:
+        return materialize(_joined(vectors, cosine, radius, id_col, vector_col, label_col, cell_rows, block_rows, scratch), "joined")
+
+
+def _joined(vectors: DataFrame, cosine: float, radius: float, id_col: str, vector_col: str, label_col: str, cell_rows: int, block_rows: int, scratch: Scratch) -> DataFrame:
+    classes = scratch.write(classes_of(vectors, id_col, vector_col, label_col), "classes")
     units = unit_vectors(classes)
     pivots = draw_pivots(units, cell_rows, radius)
-    cells = materialize(spread(units, pivots, radius), "cells")
+    cells = scratch.write(spread(units, pivots, radius), "cells")
     sizes = cells.groupBy("label", "dim", "cell", "native").agg(F.count(F.lit(1)).alias("n")).groupBy("label", "dim", "cell").agg(F.coalesce(F.sum(F.when(F.col("native"), F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~F.col("native"), F.col("n"))), F.lit(0)).alias("r"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block_rows)).cast("int")
     dealt = cells.join(sizes.where("n > 0").select("label", "dim", "cell", blocks("n").alias("nb"), blocks("r").alias("rb")), ["label", "dim", "cell"])
@@ -225,9 +230,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         hit = n > 0
         return pa.table({"cid": ids[hit], "n": n[hit].astype(np.int64), "low": low[hit]})
 
-    found = materialize(tasks.groupBy("label", "dim", "cell", "x", "y").applyInArrow(join, "cid long, n long, low long"), "links")
+    found = scratch.write(tasks.groupBy("label", "dim", "cell", "x", "y").applyInArrow(join, "cid long, n long, low long"), "links")
     counts = found.groupBy("cid").agg(F.sum("n").alias("n_other"))
-    parts = components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")), "vectors").select(F.col("vertex").alias("cid"), "component")
+    parts = components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")), "vectors", scratch=scratch).select(F.col("vertex").alias("cid"), "component")
     known = classes.join(counts, "cid", "left").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     low = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     known = known.join(low, "component").select("label", "v", (F.coalesce("n_other", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
