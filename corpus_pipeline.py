@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, lang_id, ngram_join, packing, toxicity
-from tidemark.llm.common import materialize, read_table, unused
+from tidemark.llm.common import discard, materialize, read_table, scratch_path, unused, written
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -67,7 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows; a stage's table goes once the next one's is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
