@@ -87,8 +87,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of equal texts the document with the most code points in its original text
     stays, then the smallest id (a null id comes last); rows that repeat that id with an
-    equal text are marked kept as well.  Empty tables give no rows; other columns of docs
-    are not looked at."""
+    equal text are marked kept as well.  A text of any length is cut into blocks and named level by level.  Empty
+    tables give no rows; other columns of docs are not looked at."""
     each = materialize(identities(docs, id_col, text_col, **named), "identity")
     best = F.min(F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")))
     # Written first: the join below then has plain shuffles on both sides, which adaptive

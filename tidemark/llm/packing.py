@@ -102,7 +102,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_
     """Every piece of every document with its sequence and offset.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, offset, sequence_id and,
-    with_ids, ids.  Repeated rows are packed as often as they come; an empty table
+    with_ids, ids.  Repeated rows are packed as often as they come, rows with a null id as well; a
+    text of any length is as many pieces as it needs; an empty table
     gives no rows; other columns of docs are not looked at."""
     pieces = materialize(token_pieces(docs, tokenizer, max_len, end_id, with_ids, id_col, text_col), "pieces")
     return place_pieces(pieces, max_len)

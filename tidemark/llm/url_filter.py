@@ -120,7 +120,8 @@ def filter_urls(pages: DataFrame, rules=DEFAULT_RULES, url_col: str = "url", def
 
     A rule (host, path, verdict) fits its host and all subdomains if the url's path
     starts with the rule's; the longest wins.  No rule: default.  Columns of pages
-    with those names are replaced.  Nulls, odd urls and empty tables are fine."""
+    with those names are replaced.  Nulls, odd urls and empty tables are fine; repeated rows come
+    out as often as they go in; of a very long url only its candidates, at most one for each length of a rule, are keys."""
     if not all(h and p.startswith("/") for h, p, _ in rules):
         raise ValueError("a rule needs a host and a path that starts with /")
     spark = pages.sparkSession
