@@ -145,6 +145,23 @@ def test_out_of_fold_areas(spark):
     assert got.keys() == {r["side"] for r in steps(spark, SF).select("side").distinct().collect()} and all(0.3 < a < 0.7 for a in got.values())
 
 
+def test_ablations_by_stratum(spark):
+    """n and the share of ordered pairs, ties half, of every variant and stratum."""
+    rows = models.out_of_fold(spark, SF, models.ABLATIONS).toPandas()
+    load = steps(spark, SF).groupBy("grp").agg(F.sum("qty").alias("load")).toPandas().set_index("grp").load
+    rows["tier"] = ["small" if load[g] < 60 else "middle" if load[g] < 140 else "large" for g in rows.grp]
+    rows["all"] = "all"
+    got = {(r["variant"], r["stratum"], r["value"]): (r["n"], r["auc"]) for r in run(spark, "C32_ablations")}
+    want = {}
+    for stratum in ("all", "side", "tier"):
+        for (variant, value), part in rows.groupby(["variant", stratum]):
+            a, b = part.p[part.y == 1].to_numpy(), part.p[part.y == 0].to_numpy()
+            rank = np.searchsorted(np.sort(b), a, "left") / 2 + np.searchsorted(np.sort(b), a, "right") / 2
+            want[variant, stratum, value] = (len(part), rank.mean() / len(b))
+    assert got.keys() == want.keys() and {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert [got[k][1] for k in want] == pytest.approx([a for _, a in want.values()], abs=1e-4)
+
+
 def test_scoring_stream_equals_the_model_on_the_table(spark):
     model = models.fit_tick_model(spark, SF)
     t = tape(spark, SF).withColumns({"x1": F.col("cents") / 100, "x2": F.col("k").cast("double")}).dropna(subset=["x1", "x2"])

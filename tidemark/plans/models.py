@@ -439,18 +439,47 @@ def c30(spark, d):
     return FZ.Frozen(spark, path).apply(later).select("key", "week", F.round("prediction", 2).alias("forecast"))
 
 
-@query("C32_signature_folds")
-def c32(spark, d):
-    """Out-of-fold predictions with an encoding learnt on the other folds, and AUC a side."""
+def out_of_fold(spark, d, variants: dict[str, list[str]]):
+    """Steps with each variant's chance from models and encodings of the other folds: variant, grp, step, side, flag, y, p.
+    Features: q (size), sig (encoded part), supp_sig (encoded supplier)."""
     s = steps(spark, d).withColumns({"y": F.col("win").cast("double"), "fold": F.pmod(F.xxhash64("grp"), F.lit(3)), "q": F.col("qty").cast("double")})
     out = None
     for k in range(3):
         train, test = s.where(f"fold <> {k}"), s.where(f"fold = {k}")
-        enc = train.groupBy("part").agg(A.shrunken(F.sum("y"), F.count(F.lit(1)), 0.33, 5).alias("sig"))
-        with_ = lambda df: df.join(enc, "part", "left").withColumn("sig", F.coalesce("sig", F.lit(0.33)))  # noqa: B023, E731
-        p = _scored(_logistic(["q", "sig"]).fit(with_(train)), with_(test)).select("side", "y", F.round("p", 4).alias("p"))
-        out = p if out is None else out.unionByName(p)
-    return A.auc(out, ["side"], "p", "y").withColumn("auc", F.round("auc", 4))
+        codes = {c: train.groupBy(of).agg(A.shrunken(F.sum("y"), F.count(F.lit(1)), 0.33, 5).alias(c)) for c, of in (("sig", "part"), ("supp_sig", "supp")) if any(c in v for v in variants.values())}
+
+        def encoded(df):
+            for c, of in (("sig", "part"), ("supp_sig", "supp")):
+                if c in codes:  # noqa: B023
+                    df = df.join(codes[c], of, "left").withColumn(c, F.coalesce(c, F.lit(0.33)))  # noqa: B023
+            return df
+
+        for name, columns in variants.items():
+            p = _scored(_logistic(columns).fit(encoded(train)), encoded(test)).select(F.lit(name).alias("variant"), "grp", "step", "side", "flag", "y", F.round("p", 4).alias("p"))
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query("C32_signature_folds")
+def c32(spark, d):
+    """Out-of-fold predictions with an encoding learnt on the other folds, and AUC a side."""
+    return A.auc(out_of_fold(spark, d, {"both": ["q", "sig"]}), ["side"], "p", "y").withColumn("auc", F.round("auc", 4))
+
+
+#: What C32_ablations leaves out: the structure (encodings), the size, and one encoding at a time.
+ABLATIONS = {"all": ["q", "sig", "supp_sig"], "no_structure": ["q"], "no_size": ["sig", "supp_sig"], "no_supplier": ["q", "sig"]}
+
+
+@query("C32_ablations")
+def c32_ablations(spark, d):
+    """A row for each variant of features and stratum of steps (all, side, tier of the group's size): n and AUC out of fold."""
+    size = steps(spark, d).groupBy("grp").agg(F.sum("qty").alias("load"))
+    tier = F.when(F.col("load") < 60, "small").when(F.col("load") < 140, "middle").otherwise("large")
+    rows = out_of_fold(spark, d, ABLATIONS).join(size, "grp").withColumn("tier", tier)
+    strata = F.array(*[F.struct(F.lit(name).alias("stratum"), value.alias("value")) for name, value in (("all", F.lit("all")), ("side", F.col("side")), ("tier", F.col("tier")))])
+    each = rows.withColumn("s", F.explode(strata)).select("variant", "s.stratum", "s.value", "y", "p")
+    by = ["variant", "stratum", "value"]
+    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(A.auc(each, by, "p", "y").withColumn("auc", F.round("auc", 4)), by).select(*by, "n", "auc")
 
 
 @query("U01_row_function")
