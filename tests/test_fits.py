@@ -162,6 +162,18 @@ def test_ablations_by_stratum(spark):
     assert [got[k][1] for k in want] == pytest.approx([a for _, a in want.values()], abs=1e-4)
 
 
+def test_folds_read_the_input_once_and_weights_change_nothing(spark, monkeypatch):
+    """Chances come from the written features, not from the input again for each model; fits on distinct rows with weights are
+    those on all rows."""
+    chances = []
+    for weighed in (0, 10**9):
+        monkeypatch.setattr(models, "WEIGHED", weighed)
+        got = models.out_of_fold(spark, SF, {"all": ["q", "sig", "supp_sig"]})
+        assert "lineitem" not in got._jdf.queryExecution().toString()
+        chances.append({(r["grp"], r["step"]): r["p"] for r in got.collect()})
+    assert chances[0].keys() == chances[1].keys() and max(abs(chances[0][k] - chances[1][k]) for k in chances[0]) < 2e-4
+
+
 def test_scoring_stream_equals_the_model_on_the_table(spark):
     model = models.fit_tick_model(spark, SF)
     t = tape(spark, SF).withColumns({"x1": F.col("cents") / 100, "x2": F.col("k").cast("double")}).dropna(subset=["x1", "x2"])

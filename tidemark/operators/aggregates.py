@@ -32,7 +32,13 @@ def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve with ties counted half, from counts at each score.
 
     Distinct scores, not rows, are ordered: n_neg below, plus half of those at the same score."""
-    at = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).cast("double").alias("_p"), F.count_if(F.col(label) == 0).cast("double").alias("_q"))
+    at = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
+    return auc_of_counts(at, by, score, "_p", "_q")
+
+
+def auc_of_counts(at: DataFrame, by: list[str], score: str, wins: str, losses: str) -> DataFrame:
+    """auc from a row for each score with its numbers of wins and losses."""
+    at = at.select(*by, score, F.col(wins).cast("double").alias("_p"), F.col(losses).cast("double").alias("_q"))
     below = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     g = at.withColumn("_u", F.col("_p") * (below + F.col("_q") / 2)).groupBy(*by).agg(F.sum("_u").alias("u"), F.sum("_p").alias("n1"), F.sum("_q").alias("n0"))
     return g.select(*by, F.try_divide(F.col("u"), F.col("n1") * F.col("n0")).alias("auc"))

@@ -22,7 +22,7 @@ from ..operators import clusters as C
 from ..operators import effects as EF
 from ..operators import frozen as FZ
 from ..operators import windows as W
-from ..scratch import scratch_path
+from ..scratch import materialize, scratch_path
 from ..sources.tables import facts, steps, table, tape
 from .registry import query
 
@@ -439,31 +439,63 @@ def c30(spark, d):
     return FZ.Frozen(spark, path).apply(later).select("key", "week", F.round("prediction", 2).alias("forecast"))
 
 
-def out_of_fold(spark, d, variants: dict[str, list[str]]):
-    """Steps with each variant's chance from models and encodings of the other folds: variant, grp, step, side, flag, y, p.
-    Features: q (size), sig (encoded part), supp_sig (encoded supplier)."""
-    s = steps(spark, d).withColumns({"y": F.col("win").cast("double"), "fold": F.pmod(F.xxhash64("grp"), F.lit(3)), "q": F.col("qty").cast("double")})
-    out = None
-    for k in range(3):
-        train, test = s.where(f"fold <> {k}"), s.where(f"fold = {k}")
-        codes = {c: train.groupBy(of).agg(A.shrunken(F.sum("y"), F.count(F.lit(1)), 0.33, 5).alias(c)) for c, of in (("sig", "part"), ("supp_sig", "supp")) if any(c in v for v in variants.values())}
-
-        def encoded(df):
-            for c, of in (("sig", "part"), ("supp_sig", "supp")):
-                if c in codes:  # noqa: B023
-                    df = df.join(codes[c], of, "left").withColumn(c, F.coalesce(c, F.lit(0.33)))  # noqa: B023
-            return df
-
-        for name, columns in variants.items():
-            p = _scored(_logistic(columns).fit(encoded(train)), encoded(test)).select(F.lit(name).alias("variant"), "grp", "step", "side", "flag", "y", F.round("p", 4).alias("p"))
-            out = p if out is None else out.unionByName(p)
-    return out
+def _encodings(s, column: str, name: str):
+    """column, {name}0, {name}1, ...: shrunken rates of wins of the rows outside each fold; 0.33 where there are none."""
+    of = lambda k, c: F.sum(F.when(F.col("fold") != k, c).otherwise(0))
+    rate = lambda k: A.shrunken(of(k, F.col("y")), of(k, F.lit(1)), 0.33, 5)
+    return s.groupBy(column).agg(*[F.when(of(k, F.lit(1)) == 0, 0.33).otherwise(rate(k)).alias(f"{name}{k}") for k in range(FOLDS)])
+
+
+def _fold_chance(f, k: int, columns: list[str], stats):
+    """The chance, as a Column, of a model fitted on f's rows outside fold k.  Rows that are equal in label and features are
+    one row with a weight, where that makes few of many."""
+    at = {c: c if c == "q" else f"{c}{k}" for c in columns}
+    z = [F.when(F.lit(stats[f"std_{x}_{k}"] > 0), (F.col(x) - stats[f"mean_{x}_{k}"]) / (stats[f"std_{x}_{k}"] or 1.0)).otherwise(0.0) for x in at.values()]
+    rows = f.where(F.col("fold") != k).select("y", *at.values())
+    if WEIGHED * stats[f"kinds_{'_'.join(columns)}_{k}"] < stats[f"n_{k}"]:
+        rows = rows.groupBy("y", *at.values()).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    else:
+        rows = rows.withColumn("w", F.lit(1.0))
+    x = VectorAssembler(inputCols=columns, outputCol="x").transform(rows.select("y", "w", *[e.alias(c) for e, c in zip(z, columns, strict=True)]))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.01, standardization=False, maxIter=25).fit(x)
+    margin = sum((e * float(w) for e, w in zip(z, model.coefficients, strict=True)), F.lit(float(model.intercept)))
+    return 1 / (1 + F.exp(-margin))
+
+
+#: Folds; rows for each distinct one from which on a fit takes distinct rows with weights.
+FOLDS, WEIGHED = 3, 4
+
+
+def out_of_fold(spark, d, variants: dict[str, list[str]], keep: tuple[str, ...] = ("grp", "step", "side", "flag"), adds: dict | None = None):
+    """Steps with each variant's chance from models and encodings of the other folds: variant, `keep`, y, p.
+    Features: q (size), sig (encoded part), supp_sig (encoded supplier).  adds: columns over steps, for `keep`.
+
+    Every row is joined once with the encodings of all folds and written; fits read that table, and all chances are made in
+    one pass over it."""
+    coded = {c: of for c, of in (("sig", "part"), ("supp_sig", "supp")) if any(c in v for v in variants.values())}
+    s = steps(spark, d).withColumns(adds or {}).select(*keep, *coded.values(), F.col("win").cast("double").alias("y"), F.pmod(F.xxhash64("grp"), F.lit(FOLDS)).alias("fold"), F.col("qty").cast("double").alias("q"))
+    for c, of in coded.items():
+        s = s.join(_encodings(s.select(of, "fold", "y"), of, c), of, "left").withColumns({f"{c}{k}": F.coalesce(f"{c}{k}", F.lit(0.33)) for k in range(FOLDS)}).drop(of)
+    f = materialize(s, "fold-features")
+    measures = []
+    for k in range(FOLDS):
+        train = lambda c: F.when(F.col("fold") != k, c)  # noqa: B023, E731
+        measures.append(F.count(train(F.lit(1))).alias(f"n_{k}"))
+        for x in ["q", *[f"{c}{k}" for c in coded]]:
+            measures += [F.avg(train(F.col(x))).alias(f"mean_{x}_{k}"), F.stddev_samp(train(F.col(x))).alias(f"std_{x}_{k}")]
+        for v in {tuple(v): None for v in variants.values()}:
+            measures.append(F.approx_count_distinct(train(F.xxhash64("y", *[c if c == "q" else f"{c}{k}" for c in v]))).alias(f"kinds_{'_'.join(v)}_{k}"))
+    stats = {name: x or 0 for name, x in f.agg(*measures).first().asDict().items()}
+    chances = {name: [_fold_chance(f, k, columns, stats) for k in range(FOLDS)] for name, columns in variants.items()}
+    p = lambda of: F.coalesce(*[F.when(F.col("fold") == k, of[k]) for k in range(FOLDS)])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), F.round(p(of), 4).alias("p")) for name, of in chances.items()]))
+    return f.select(*keep, "y", each.alias("v")).select("v.variant", *keep, "y", "v.p")
 
 
 @query("C32_signature_folds")
 def c32(spark, d):
     """Out-of-fold predictions with an encoding learnt on the other folds, and AUC a side."""
-    return A.auc(out_of_fold(spark, d, {"both": ["q", "sig"]}), ["side"], "p", "y").withColumn("auc", F.round("auc", 4))
+    return A.auc(out_of_fold(spark, d, {"both": ["q", "sig"]}, ("side",)), ["side"], "p", "y").withColumn("auc", F.round("auc", 4))
 
 
 #: What C32_ablations leaves out: the structure (encodings), the size, and one encoding at a time.
@@ -473,13 +505,17 @@ ABLATIONS = {"all": ["q", "sig", "supp_sig"], "no_structure": ["q"], "no_size":
 @query("C32_ablations")
 def c32_ablations(spark, d):
     """A row for each variant of features and stratum of steps (all, side, tier of the group's size): n and AUC out of fold."""
-    size = steps(spark, d).groupBy("grp").agg(F.sum("qty").alias("load"))
+    load = {"load": F.sum("qty").over(Window.partitionBy("grp"))}
     tier = F.when(F.col("load") < 60, "small").when(F.col("load") < 140, "middle").otherwise("large")
-    rows = out_of_fold(spark, d, ABLATIONS).join(size, "grp").withColumn("tier", tier)
+    rows = out_of_fold(spark, d, ABLATIONS, ("grp", "side", "load"), load).where("grp IS NOT NULL")
+    # Chances have four digits: strata and areas are made from counts at each.
+    n = {"won": F.count_if(F.col("y") == 1), "lost": F.count_if(F.col("y") == 0), "n": F.count(F.lit(1))}
+    at = rows.groupBy("variant", "side", tier.alias("tier"), "p").agg(*[c.alias(name) for name, c in n.items()])
     strata = F.array(*[F.struct(F.lit(name).alias("stratum"), value.alias("value")) for name, value in (("all", F.lit("all")), ("side", F.col("side")), ("tier", F.col("tier")))])
-    each = rows.withColumn("s", F.explode(strata)).select("variant", "s.stratum", "s.value", "y", "p")
     by = ["variant", "stratum", "value"]
-    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(A.auc(each, by, "p", "y").withColumn("auc", F.round("auc", 4)), by).select(*by, "n", "auc")
+    each = at.withColumn("s", F.explode(strata)).groupBy("variant", "s.stratum", "s.value", "p").agg(*[F.sum(c).alias(c) for c in n])
+    each = materialize(each, "fold-counts")
+    return each.groupBy(*by).agg(F.sum("n").alias("n")).join(A.auc_of_counts(each, by, "p", "won", "lost").withColumn("auc", F.round("auc", 4)), by).select(*by, "n", "auc")
 
 
 @query("U01_row_function")
