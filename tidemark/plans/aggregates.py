@@ -168,12 +168,17 @@ def a21_ci(spark, d):
 WITH s AS (SELECT entity, grp, line, step FROM steps JOIN facts ON fact = grp), n1 AS (SELECT entity, grp, line, count(*) AS n FROM s GROUP BY ALL), n2 AS (SELECT entity, grp, count(*) AS n FROM n1 GROUP BY ALL), n3 AS (SELECT entity, count(*) AS n FROM n2 GROUP BY ALL)
 SELECT s.grp, s.step, round(1.0 / (n1.n * n2.n * n3.n), 8) AS weight FROM s JOIN n1 USING (entity, grp, line) JOIN n2 USING (entity, grp) JOIN n3 USING (entity)""")
 def a22(spark, d):
-    """Every entity weighs 1, shared equally by its groups, their lines, their steps."""
-    s = steps(spark, d).select("grp", "line", "step").join(facts(spark, d).select(F.col("fact").alias("grp"), "entity"), "grp")
-    n1 = s.groupBy("entity", "grp", "line").agg(F.count(F.lit(1)).alias("n1"))
-    n2 = n1.groupBy("entity", "grp").agg(F.count(F.lit(1)).alias("n2"))
-    n3 = n2.groupBy("entity").agg(F.count(F.lit(1)).alias("n3"))
-    return s.join(n1, ["entity", "grp", "line"]).join(n2, ["entity", "grp"]).join(n3, "entity").select("grp", "step", F.round(1.0 / (F.col("n1") * F.col("n2") * F.col("n3")), 8).alias("weight"))
+    """Every entity weighs 1, shared equally by its groups, their lines, their steps.  Steps of a line weigh the same, so the
+    order by line alone gives the same rows, from one sort of two columns; entities' counts come from a row for each group."""
+    line, rank = Window.partitionBy("grp", "line").orderBy("line"), Window.partitionBy("grp").orderBy("line")
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("bigint").alias("line"))
+    s = i.select("grp", "line", F.row_number().over(rank).cast("bigint").alias("step"), F.dense_rank().over(rank).cast("bigint").alias("rank"), F.count(F.lit(1)).over(line).alias("n1"))
+    s = s.withColumn("n2", F.max("rank").over(Window.partitionBy("grp"))).where("line IS NOT NULL")
+    of = facts(spark, d).groupBy(F.col("fact").alias("grp"), "entity").agg(F.count(F.lit(1)).alias("times")).join(i.select("grp").distinct(), "grp")
+    of = of.join(of.groupBy("entity").agg(F.count(F.lit(1)).alias("n3")), "entity").select("grp", "times", "n3")
+    weight = 1.0 / (F.col("n1") * F.col("times") * F.col("n2") * F.col("n3"))
+    each = s.join(of, "grp").select("grp", "step", F.round(weight, 8).alias("weight"), "times")
+    return each.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("grp", "step", "weight")
 
 
 @query("A23_correlation", "WITH r AS (SELECT supp, avg(qty) AS x, avg(disc) AS y FROM steps GROUP BY supp), k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM r) SELECT round(corr(x, y), 4) AS pearson, round(corr(rx, ry), 4) AS spearman FROM k")
@@ -262,8 +267,11 @@ def a32(spark, d):
 
 @query("A33_stat_lines", "SELECT f.entity, s.side, count(*) AS n, count(*) FILTER (WHERE s.win) AS wins, sum(s.qty) AS qty, count(DISTINCT s.part) AS parts, count(*) FILTER (WHERE s.step = 1 AND s.win) AS openings FROM steps s JOIN facts f ON s.grp = f.fact GROUP BY f.entity, s.side")
 def a33(spark, d):
-    m = steps(spark, d).join(facts(spark, d).select(F.col("fact").alias("grp"), "entity"), "grp")
-    return m.groupBy("entity", "side").agg(F.count(F.lit(1)).alias("n"), F.count_if("win").alias("wins"), F.sum("qty").alias("qty"), F.count_distinct("part").alias("parts"), F.count_if((F.col("step") == 1) & F.col("win")).alias("openings"))
+    """Parts are counted where they are new in a sort, which spills, instead of in a map of all of them."""
+    m = steps(spark, d).select("grp", "side", "win", "qty", "part", ((F.col("step") == 1) & F.col("win")).alias("opening")).join(facts(spark, d).select(F.col("fact").alias("grp"), "entity"), "grp").drop("grp")
+    again = F.col("part").eqNullSafe(F.lag("part").over(Window.partitionBy("entity", "side").orderBy("part")))
+    m = m.withColumn("new", F.col("part").isNotNull() & ~again)
+    return m.groupBy("entity", "side").agg(F.count(F.lit(1)).alias("n"), F.count_if("win").alias("wins"), F.sum("qty").alias("qty"), F.count_if("new").alias("parts"), F.count_if("opening").alias("openings"))
 
 
 @query("A34_survivor_totals", "WITH k AS (SELECT key, k, sum(cents) FILTER (WHERE kind = 'error') AS dmg, bool_or(kind = 'signup') AS dead FROM tape GROUP BY key, k) SELECT key, count(*) FILTER (WHERE NOT dead) AS alive, sum(greatest(0, 10000 - coalesce(dmg, 0))) FILTER (WHERE NOT dead) AS health FROM k GROUP BY key")
