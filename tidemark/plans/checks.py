@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as K
 from ..operators import windows as W
-from ..sources.tables import facts, steps, table, tape
+from ..sources.tables import days, facts, steps, table, tape
 from .registry import query
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -68,9 +68,13 @@ def f08(spark, d):
 
 @query("F09_contiguity", "SELECT grp, count(*) = max(line) AND count(DISTINCT line) = count(*) AS contiguous, bool_and(later) AS monotone FROM (SELECT *, coalesce(lead(day) OVER (PARTITION BY grp ORDER BY line, step) > day, true) AS later FROM steps) GROUP BY grp")
 def f09(spark, d):
-    later = F.coalesce(F.lead("day").over(Window.partitionBy("grp").orderBy("line", "step")) > F.col("day"), F.lit(True))
+    """Rows of one line stand in order of their days, as steps do: three columns are sorted once, and a line that comes again
+    follows itself."""
+    o = Window.partitionBy("grp").orderBy("line", "day")
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("bigint").alias("line"), days("l_shipdate").alias("day"))
+    s = s.select("grp", "line", F.coalesce(F.lead("day").over(o) > F.col("day"), F.lit(True)).alias("later"), F.col("line").eqNullSafe(F.lag("line").over(o)).alias("again"))
     n = F.count(F.lit(1))
-    return steps(spark, d).withColumn("later", later).groupBy("grp").agg(((n == F.max("line")) & (F.count_distinct("line") == n)).alias("contiguous"), F.bool_and("later").alias("monotone"))
+    return s.groupBy("grp").agg(((n == F.max("line")) & (F.count_if(F.col("line").isNotNull() & ~F.col("again")) == n)).alias("contiguous"), F.bool_and("later").alias("monotone"))
 
 
 @query("F10_column_roles", "WITH r(name, role) AS (VALUES ('grp', 'metadata'), ('step', 'metadata'), ('qty', 'feature'), ('disc', 'feature'), ('win', 'label')), c AS (UNPIVOT (SELECT count(grp) AS grp, count(step) AS step, count(qty) AS qty, count(disc) AS disc, count(win) AS win FROM steps) ON grp, step, qty, disc, win INTO NAME name VALUE n) SELECT name, role, n FROM r JOIN c USING (name)")
