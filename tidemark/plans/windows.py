@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import windows as W
 from ..operators.asof import asof
-from ..sources.tables import facts, steps, table, tape
+from ..sources.tables import STEP_KEYS, facts, step_order, steps, table, tape
 from .registry import query
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -43,9 +43,13 @@ def w02(spark, d):
 WITH i AS (SELECT *, step - row_number() OVER (PARTITION BY grp, win ORDER BY step) AS isl FROM steps), r AS (SELECT *, row_number() OVER (PARTITION BY grp, win, isl ORDER BY step) * CASE WHEN win THEN 1 ELSE -1 END AS streak FROM i)
 SELECT grp, step, coalesce(lag(streak) OVER (PARTITION BY grp ORDER BY step), 0) AS entering FROM r""")
 def w03(spark, d):
-    s = W.islands(steps(spark, d), ["grp"], ["step"], F.col("win") != F.lag("win").over(_grp()))
-    length = F.row_number().over(Window.partitionBy("grp", "island").orderBy("step")) * F.when(F.col("win"), 1).otherwise(-1)
-    return s.withColumn("streak", length.cast("long")).select("grp", "step", F.coalesce(F.lag("streak").over(_grp()), F.lit(0)).alias("entering"))
+    """All windows are over the order of the steps itself, so rows are sorted once."""
+    o, win = step_order(), F.col("l_returnflag") == "R"
+    s = table(spark, d, "lineitem").select(*STEP_KEYS, win.alias("win"))
+    s = s.withColumns({"step": F.row_number().over(o).cast("bigint"), "breaks": F.coalesce(F.col("win") != F.lag("win").over(o), F.lit(True))})
+    first = F.last(F.when(F.col("breaks"), F.col("step")), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    s = s.withColumn("streak", (F.col("step") - first + 1) * F.when(F.col("win"), 1).otherwise(-1))
+    return s.select(F.col("l_orderkey").alias("grp"), "step", F.coalesce(F.lag("streak").over(o), F.lit(0)).alias("entering"))
 
 
 @query("W04_forward_majority", """

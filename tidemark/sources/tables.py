@@ -7,9 +7,11 @@ steps    ordered steps of a group: grp, step (1..n), win, side, qty, cents, part
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: What steps are dealt and ordered by.
+STEP_KEYS = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -42,11 +44,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def step_order() -> WindowSpec:
+    """The order of a group's steps, over the input's own columns."""
+    return Window.partitionBy("l_orderkey").orderBy(*STEP_KEYS[1:])
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     return i.select(
-        F.col("l_orderkey").alias("grp"), F.row_number().over(order).cast("bigint").alias("step"), (F.col("l_returnflag") == "R").alias("win"), F.col("l_linestatus").alias("side"),
+        F.col("l_orderkey").alias("grp"), F.row_number().over(step_order()).cast("bigint").alias("step"), (F.col("l_returnflag") == "R").alias("win"), F.col("l_linestatus").alias("side"),
         F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("bigint").alias("qty"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), days("l_shipdate").alias("day"), F.col("l_linenumber").cast("bigint").alias("line"),
     )
