@@ -84,6 +84,20 @@ def test_large_sets_and_hot_members(spark, monkeypatch, block):
         assert SJ.ordered_sets(df, "g", "m", 3).select(F.sum("n")).first()[0] <= sum(len(s) for _, s in sets)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_equal_sets_are_compared_once(spark, monkeypatch, block):
+    """Fifty copies of a few sets: blocks are dealt for classes, not copies, and all pairs of copies come out."""
+    monkeypatch.setattr(SJ, "BLOCK", block)
+    seen = []
+    linked = SJ.linked
+    monkeypatch.setattr(SJ, "linked", lambda sets, *more, **named: seen.append(sets.count()) or linked(sets, *more, **named))
+    kinds = [{1, 2, 3}, {1, 2, 3, 4}, {2, 3, 4, 5}, {7, 8, 9}, {1, 2}]
+    sets = [(g, kinds[g % 5]) for g in range(250)]
+    df = spark.createDataFrame([(g, m) for g, s in sets for m in s], "g long, m long")
+    got = sorted((r["a"], r["b"], r["common"], r["in_all"]) for r in SJ.overlap_pairs(df, "g", "m", 3, 60).collect())
+    assert got == sorted(pairs_by_hand(sets, 60)) and seen == [4]
+
+
 def test_components_of_long_chains(spark):
     """A smaller label has to cross a basin that has settled on another one."""
     path = [2, *range(10, 110), 1]

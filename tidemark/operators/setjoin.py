@@ -5,7 +5,7 @@ n - o + 1 of each (n: the set's size, o: what it must share at least), so an ind
 every pair; it has a row for each set and prefix member, whatever the sets' sizes.  A row carries its
 set, so that a pair is made where its first common member is, once.
 
-Where only components are wanted, equal sets are one class.  A member's sets are dealt in blocks, so a member that a third of all sets have is
+Equal sets are one class.  A member's sets are dealt in blocks, so a member that a third of all sets have is
 work for many tasks; a task compares two blocks by a product of 0-1 matrices and
 returns the pairs that share enough, or, where only components are wanted, a spanning forest of them.
 """
@@ -131,5 +131,20 @@ def overlap_links(sets: DataFrame, key: str, member: str, least: int) -> DataFra
 
 
 def overlap_pairs(sets: DataFrame, key: str, member: str, least: int, percent: int = 0) -> DataFrame:
-    """a, b, common, in_all: pairs a < b of keys that share at least `least` members and percent % of their union."""
-    return linked(ordered_sets(sets, key, member, least), least, percent, forest=False)
+    """a, b, common, in_all: pairs a < b of keys that share at least `least` members and percent % of their union.
+
+    Equal sets are compared once, as a class; pairs of keys are made last, from classes and blocks of their keys, and pass through no shuffle."""
+    whole = ordered_sets(sets, key, member, least)
+    classes = whole.groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    classes = materialize(classes, "set-classes")
+    named = whole.join(classes.select("s", F.col("k").alias("c"), "nb"), "s")
+    keys = named.groupBy("c", "n", "nb", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int").alias("j")).agg(F.collect_list("k").alias("ks"))
+    keys = materialize(keys, "set-class-keys")
+    blocks = lambda c, ks: keys.select(F.col("c").alias(c), F.col("ks").alias(ks))
+    unlike = linked(classes.select("k", "s", "n"), least, percent, forest=False).join(blocks("a", "ka"), "a").join(blocks("b", "kb"), "b")
+    mine = keys.where("nb > 1 OR size(ks) > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    n = F.col("n").cast("long")
+    equal = mine.select("c", "j", n.alias("common"), n.alias("in_all"), F.col("ks").alias("ka")).join(keys.select("c", "j", F.col("ks").alias("kb")), ["c", "j"])
+    pair = lambda df: df.withColumn("x", F.explode("ka")).select("x", F.explode("kb").alias("y"), "common", "in_all")
+    pairs = pair(unlike).unionByName(pair(equal).where("x < y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "in_all")
