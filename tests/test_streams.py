@@ -128,6 +128,37 @@ def test_keyed_processors_over_batches_equal_their_batch_twin(spark, late, name,
         assert _rows(got) == _rows(R.book_batch(rows))
 
 
+@pytest.mark.parametrize("name", STEPS)
+def test_keys_that_share_a_group_equal_their_batch_twin(spark, tmp_path, monkeypatch, name):
+    """Many keys in three groups, one key null, null values and longs beyond 2^53, a silence, frames smaller than a group's
+    rows: what a group keeps is a few elements of state, however many keys it has."""
+    monkeypatch.setattr(K, "GROUPS", 3)
+    monkeypatch.setattr(K, "CHUNK", 7)
+    path, (columns, kept, out, step) = str(tmp_path / "ticks"), STEPS[name]
+    whole = name in ("monotone", "book")
+    rows = [((i % 40) or None, (1000 + i // 40) * HOUR + i * 1_000_003 % 999_983 + (60 * HOUR if i >= 120 and i % 7 == 3 else 0), 2**60 + i, None if i % 13 == 4 and not whole else ["view", "signup", "click"][i * i % 3], None if i % 5 == 2 and not whole else 2**55 + 37 * i % 19, i * 29 % 40) for i in range(240)]
+    rows.sort(key=lambda r: r[1])
+    _land(spark, path, [rows[:120], rows[120:]])
+    marks = R.scratch(spark, "marks")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        with K.state_store(spark):
+            s = K.in_order(K.with_marks(_stream(spark, path), marks, "1 hour"), "key", columns, kept, out, step, 40 * HOUR, K.Book if name == "book" else K.InOrder)
+            got, state, held = str(tmp_path / "out"), str(tmp_path / "state"), []
+            for ending in (False, True):
+                if ending:
+                    K.close(spark, spark.read.parquet(marks).schema, marks)
+                q = s.writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(got)
+                q.awaitTermination()
+                held.append([sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = K.in_order_batch(spark.read.parquet(path), "key", columns, out, step, 40 * HOUR)
+    order = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert order(spark.read.schema(s.schema).parquet(got)) == order(want) and want.count() >= 40
+    assert 0 < max(held[0]) <= 3 * 3 and held[1][-1] == 0
+
+
 def test_rows_beyond_the_watermark_are_dropped_and_open_rows_wait(spark, tmp_path):
     """What the watermark has not passed stays in state; what comes later than its delay is no row any more."""
     path = str(tmp_path / "ticks")

@@ -2,12 +2,17 @@
 
 A key's rows wait in list state until the watermark has passed them; a timer then hands them on in order,
 so that rows that come late, within the watermark's delay, take their place instead of the place of their
-arrival.  What a key has learnt so far is value state (or map state, changed entry by entry, for a
-book of prices).  It goes, timer and all, once the key has been silent for `idle`; as that
+arrival.  What a key has learnt so far is value state.  It goes once the key has been silent for `idle`; as that
 is measured between rows as well, it does not depend on how rows fall into batches, and `in_order_batch`
 gives the same rows from a table.  State lives in the RocksDB store, so it may be larger than memory,
 and a lost executor resumes from the checkpoint.
 
+Each call of a state variable is a message from Python to the executor and back, which costs more than the work on a
+hundred rows.  Keys are therefore dealt to GROUPS by a hash, and a group is what Spark's state belongs to: its keys'
+rows wait as columns, an element for each frame of a batch, what its keys have learnt is one value, and it has one timer.
+Messages grow with the groups that a batch touches and with frames of rows, not with keys.  A task holds a group's waiting rows.
+Rows reach Python in frames, numbers as text, as a frame would turn longs beside a null into doubles.
+
 A stream that ends (tests, a backfill) leaves its last rows waiting: `with_marks` adds an empty source
 to which `close` writes one row of a far future, the mark that all rows have come, when `drain` goes on
 from the same checkpoint.
@@ -17,15 +22,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, StructField, StructType
 
 from ..operators.windows import ordered_pass
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups that keys are dealt to, fixed for a stream's life; rows of an element of rows put back to wait, and of what comes out at a time.
+GROUPS, CHUNK = 1024, 10_000
 #: Event time of the mark that closes a stream.
 END = "9000-01-01 00:00:00"
 
@@ -46,103 +55,114 @@ def state_store(spark: SparkSession):
 
 
 class InOrder(StatefulProcessor):
-    """See the module; columns: those of the rows that wait (us, seq first), kept: the state's schema."""
+    """See the module; columns: those of the rows that wait (key, us, seq first), numbers: what their texts are read as, waits and known: schemas of state, out: columns that come out."""
+
+    #: Schema of a key's state where it is the processor's own.
+    KEPT = ""
 
-    def __init__(self, key: str, columns: list[str], waits: str, kept: str, out: list[str], step: Step, idle: int):
-        self.key, self.columns, self.waits, self.kept, self.out, self.step, self.idle = key, columns, waits, kept, out, step, idle
+    def __init__(self, columns: list[str], numbers: list[type | None], waits: str, known: str, out: list[str], step: Step, idle: int):
+        self.columns, self.numbers, self.waits, self.known_as, self.out, self.step, self.idle = columns, numbers, waits, known, out, step, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.waits)
-        self.times = handle.getValueState("times", "last long, alarm long")  # of the last row handed on; of the timer
-        self._init_state(handle)
-
-    def _init_state(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.kept)
+        self.known = handle.getValueState("known", self.known_as)  # keys, times of their last rows handed on, states
+        self.alarm = handle.getValueState("alarm", "at long")  # of the timer
 
-    def _load(self):
-        return tuple(self.state.get()) if self.state.exists() else None
+    @staticmethod
+    def _stored(state) -> tuple:
+        return state
 
-    def _save(self, state) -> None:
-        self.state.update(state)
+    @staticmethod
+    def _restored(stored):
+        return tuple(stored)
 
-    def _forget(self) -> None:
-        self.state.clear()
-
-    def _set_alarm(self, last: int | None, alarm: int, old: int | None) -> None:
-        if old is not None and old != alarm:
+    def _set_alarm(self, at: int, old: int | None) -> None:
+        if old is not None and old != at:
             self.handle.deleteTimer(old)
-        if old != alarm:
-            self.handle.registerTimer(alarm)
-        self.times.update((last, alarm))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r[c] for c in self.columns) for r in rows]
-        self.waiting.appendList(new)
-        last, old = tuple(self.times.get()) if self.times.exists() else (None, None)
-        alarm = -(-min(r[0] for r in new) // 1000)
+        if old != at:
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        firsts = []
+        for frame in rows:
+            some = tuple([None if v is None or v != v else as_(v) if as_ else v for v in frame[f"c{i}"].tolist()] for i, as_ in enumerate(self.numbers))
+            self.waiting.appendValue(some)
+            firsts.append(min(some[1]))
+        alarm, old = -(-min(firsts) // 1000), self.alarm.get()
         # An alarm for expiry, or for later rows, makes way for an earlier one.
-        self._set_alarm(last, alarm if old is None else min(alarm, old), old)
+        self._set_alarm(alarm if old is None else min(alarm, old[0]), None if old is None else old[0])
         return iter([])
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        ready, rest = [r for r in rows if r[0] <= mark * 1000], [r for r in rows if r[0] > mark * 1000]
-        last = self.times.get()[0] if self.times.exists() else None
+        ready, rest = {}, []
+        for some in self.waiting.get():
+            for r in zip(*some, strict=True):
+                if r[1] <= mark * 1000:
+                    ready.setdefault(r[0], []).append(r[1:])
+                else:
+                    rest.append(r)
+        found = self.known.get()
+        known = {k: (last, None if state is None else self._restored(state)) for k, last, state in zip(*found, strict=True)} if found else {}
         if ready:
-            state = self._load()
-            for r in ready:
-                if last is not None and r[0] - last > self.idle:
-                    state = None
-                last = r[0]
-                state, made = self.step(state, Row(*self.columns)(*r))
-                if made is not None:
-                    yield Row(**dict(zip(self.out, (key[0], *made) if self.out[0] == self.key else made, strict=True)))
-            if state is None:
-                self._forget()
-            else:
-                self._save(state)
+            made, row, keyed = [], Row(*self.columns[1:]), self.out[0] == self.columns[0]
+            for k, rows in ready.items():
+                rows.sort(key=itemgetter(0, 1))
+                last, state = known.get(k, (None, None))
+                for r in rows:
+                    if last is not None and r[0] - last > self.idle:
+                        state = None
+                    last = r[0]
+                    state, out = self.step(state, row(*r))
+                    if out is not None:
+                        made.append((k, *out) if keyed else out)
+                    if len(made) >= CHUNK:
+                        yield self._out(made)
+                        made = []
+                known[k] = (last, state)
+            if made:
+                yield self._out(made)
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([tuple(list(c) for c in zip(*rest[i : i + CHUNK], strict=True)) for i in range(0, len(rest), CHUNK)])
             else:
                 self.waiting.clear()
-        gone = -(-(last + self.idle) // 1000) + 1 if last is not None else None
-        if rest:
-            self._set_alarm(last, -(-rest[0][0] // 1000), None)
-        elif gone is not None and gone > mark:
-            self._set_alarm(last, gone, None)
+        gone = {k: -(-(last + self.idle) // 1000) + 1 for k, (last, _) in known.items()}
+        stay = [k for k in known if gone[k] > mark]
+        if stay:
+            self.known.update((stay, [known[k][0] for k in stay], [None if known[k][1] is None else self._stored(known[k][1]) for k in stay]))
         else:
-            self._forget()
-            self.times.clear()
+            self.known.clear()
+        due = [*(gone[k] for k in stay), *([-(-min(r[1] for r in rest) // 1000)] if rest else [])]
+        if due:
+            self._set_alarm(min(due), None)
+        else:
+            self.alarm.clear()
+
+    def _out(self, made: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(values, dtype=object) for c, values in zip(self.out, zip(*made, strict=True), strict=True)})
 
     def close(self) -> None:
         pass
 
 
 class Book(InOrder):
-    """The state is a map of prices, of which a batch writes back only those that changed; step changes it in place."""
+    """A key's state is a map of prices, which step changes in place."""
 
-    def _init_state(self, handle: StatefulProcessorHandle) -> None:
-        self.prices = handle.getMapState("prices", "price long", "size long")
+    KEPT = "prices array<long>, sizes array<long>"
 
-    def _load(self):
-        self.before = {k[0]: v[0] for k, v in self.prices.iterator()}
-        return dict(self.before)
+    @staticmethod
+    def _stored(book: dict) -> tuple:
+        return [*book], [*book.values()]
 
-    def _save(self, book: dict) -> None:
-        for price in self.before.keys() - book.keys():
-            self.prices.removeKey((price,))
-        for price, size in book.items():
-            if self.before.get(price) != size:
-                self.prices.updateValue((price,), (size,))
+    @staticmethod
+    def _restored(stored) -> dict:
+        return dict(zip(*stored, strict=True))
 
-    def _forget(self) -> None:
-        self.prices.clear()
 
-
-def _typed(df: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in columns))
+def _arrays(fields: list[StructField]) -> str:
+    return ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in fields)
 
 
 def in_order(stream: DataFrame, key: str, columns: list[str], kept: str, out: str, step: Step, idle: int, processor: type[InOrder] = InOrder) -> DataFrame:
@@ -150,9 +170,13 @@ def in_order(stream: DataFrame, key: str, columns: list[str], kept: str, out: st
     on ts; kept: the state's schema; out: the rows that come out, with the key first if they have it;
     idle: microseconds of silence after which a key begins anew.  Rows later than the watermark are dropped
     by Spark and counted in its progress."""
-    columns = ["us", "seq", *[c for c in columns if c not in ("us", "seq")]]
-    made = processor(key, columns, _typed(stream, columns), kept, StructType.fromDDL(out).names, step, idle)
-    return stream.groupBy(key).transformWithState(made, out, "append", "EventTime")
+    columns = [key, "us", "seq", *[c for c in columns if c not in ("us", "seq")]]
+    known = f"{_arrays([StructField('keys', stream.schema[key].dataType)])}, last array<long>, state array<{StructType.fromDDL(processor.KEPT or kept).simpleString()}>"
+    kinds = [stream.schema[c].dataType for c in columns]
+    numbers = [int if isinstance(t, IntegralType) else float if isinstance(t, FractionalType) and not isinstance(t, DecimalType) else None for t in kinds]
+    made = processor(columns, numbers, _arrays([stream.schema[c] for c in columns]), known, StructType.fromDDL(out).names, step, idle)
+    rows = stream.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("of"), "ts", *[(F.col(c).cast("string") if n else F.col(c)).alias(f"c{i}") for i, (c, n) in enumerate(zip(columns, numbers, strict=True))])
+    return rows.groupBy("of").transformWithStateInPandas(made, out, "append", "EventTime")
 
 
 def in_order_batch(rows: DataFrame, key: str, columns: list[str], out: str, step: Step, idle: int) -> DataFrame:
