@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 from itertools import combinations, groupby
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,17 @@ def test_equal_sets_are_compared_once(spark, monkeypatch, block):
     assert got == sorted(pairs_by_hand(sets, 60)) and seen == [4]
 
 
+@pytest.mark.parametrize(("members", "size"), [(2000, 5), (12, 5), (300, 1), (3, 0)])
+def test_shared_members_of_small_sets_need_no_matrix(monkeypatch, members, size):
+    """Sets of few members out of many, as lines of orders are: what they share is counted without a 0-1 matrix."""
+    rng = np.random.default_rng(members)
+    sets = [np.array(sorted({7, *rng.integers(0, members, size).tolist()} if i % 9 else ()), np.int32) for i in range(1, 121)]
+    want = [[len({*a.tolist()} & {*b.tolist()}) for b in sets[50:]] for a in sets[:50]]
+    if members == 2000:
+        monkeypatch.setattr(SJ, "CELLS", None)  # the matrix's width would be taken from it
+    assert SJ._shared(sets, 50).tolist() == want
+
+
 def test_components_of_long_chains(spark):
     """A smaller label has to cross a basin that has settled on another one."""
     path = [2, *range(10, 110), 1]

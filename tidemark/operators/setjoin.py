@@ -6,8 +6,8 @@ every pair; it has a row for each set and prefix member, whatever the sets' size
 set, so that a pair is made where its first common member is, once.
 
 Equal sets are one class.  A member's sets are dealt in blocks, so a member that a third of all sets have is
-work for many tasks; a task compares two blocks by a product of 0-1 matrices and
-returns the pairs that share enough, or, where only components are wanted, a spanning forest of them.
+work for many tasks; a task compares two blocks by a product of 0-1 matrices, or
+by the pairs that meet in each column where those are few, and returns the pairs that share enough, or, where only components are wanted, a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -40,6 +40,16 @@ def _shared(sets: list[np.ndarray], cut: int) -> np.ndarray:
     often = times[column] > 1
     owner, (_, column) = owner[often], np.unique(column[often], return_inverse=True)
     columns = int(column.max()) + 1 if len(column) else 0
+    here = owner < cut
+    left, right = np.bincount(column[here], minlength=columns), np.bincount(column[~here], minlength=columns)
+    met = left @ right
+    if met <= 4 * cut * (len(sets) - cut):  # few meet in most columns: their pairs are counted one by one
+        order = np.argsort(column[~here], kind="stable")
+        theirs, starts = owner[~here][order] - cut, np.cumsum(right) - right
+        times = right[column[here]]
+        nth = np.arange(met) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.repeat(owner[here], times) * (len(sets) - cut) + theirs[np.repeat(starts[column[here]], times) + nth]
+        return np.bincount(pairs, minlength=cut * (len(sets) - cut)).reshape(cut, -1).astype(np.float32)
     out, wide = np.zeros((cut, len(sets) - cut), np.float32), min(columns, max(64, CELLS // len(sets)))  # counts below 2^24 are exact
     for low in range(0, columns, max(1, wide)):
         here = (column >= low) & (column < low + wide)
