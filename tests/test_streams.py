@@ -1,5 +1,6 @@
 """Streams over several batches against their batch twins."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,80 @@ def test_keys_that_share_a_group_equal_their_batch_twin(spark, tmp_path, monkeyp
     assert 0 < max(held[0]) <= 3 * 3 and held[1][-1] == 0
 
 
+def _values(message) -> int:
+    return sum(map(_values, message)) if isinstance(message, (list, tuple)) else 1
+
+
+class _Held:
+    """A state variable in memory that counts the values it is given."""
+
+    def __init__(self):
+        self.held, self.given = [], 0
+
+    def appendValue(self, value):
+        self.held, self.given = [*self.held, value], self.given + _values(value)
+
+    def put(self, values):
+        self.held, self.given = list(values), self.given + _values(values)
+
+    def update(self, value):
+        self.put([value])
+
+    def get(self):
+        return list(self.held) if self.name == "waiting" else self.held[0] if self.held else None
+
+    def clear(self):
+        self.held = []
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_values_sent_to_the_store_do_not_grow_with_rows(spark, tmp_path, monkeypatch, name):
+    """Each value of a message is made an object on both sides: waiting rows are one, however many they are, also those put back."""
+    monkeypatch.setattr(K, "CHUNK", 1000)
+    columns, kept, out, step = STEPS[name]
+    path, made = str(tmp_path / "ticks"), []
+    _land(spark, path, [[(1, 1000 * HOUR, 0, "view", 1, 20)]])
+
+    class Seen(K.Book if name == "book" else K.InOrder):
+        def __init__(self, *given):
+            super().__init__(*given)
+            made.append(self)
+
+    class Handle:
+        def __init__(self):
+            self.of = {}
+
+        def getListState(self, name, schema):
+            self.of[name] = _Held()
+            self.of[name].name = name
+            return self.of[name]
+
+        getValueState = getListState
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class At:
+        def __init__(self, hour):
+            self.hour = hour
+
+        def getCurrentWatermarkInMs(self):
+            return self.hour * 3_600_000
+
+    K.in_order(_stream(spark, path).withWatermark("ts", "1 hour"), "key", columns, kept, out, step, 10_000 * HOUR, Seen)
+    given, kinds, first = [], ["view", "signup", "click"], ["key", "us", "seq"]
+    for n in (20, 200):
+        handle, rows = Handle(), [(i % 4, (1000 + i // 10) * HOUR + i, 2**60 + i, kinds[i * i % 3], 2**55 + 37 * i % 19, i * 29 % 40) for i in range(n)]
+        named = [dict(zip(["key", "us", "seq", "kind", "cents", "k"], r)) for r in rows]
+        order = first + [c for c in columns if c not in first]
+        frame = pd.DataFrame({f"c{i}": [r[c] if c == "kind" else str(r[c]) for r in named] for i, c in enumerate(order)})
+        made[0].init(handle)
+        list(made[0].handleInputRows((5,), iter([frame[: n // 2], frame[n // 2 :]]), At(0)))
+        got = [f for hour in (1000 + n // 20, 9000) for f in made[0].handleExpiredTimer((5,), At(hour), None)]
+        want = K.in_order_batch(spark.createDataFrame(rows, "key long, us long, seq long, kind string, cents long, k long"), "key", columns, out, step, 10_000 * HOUR)
+        assert sorted(map(repr, (t for f in got for t in f.itertuples(index=False, name=None)))) == sorted(map(repr, map(tuple, want.collect())))
+        given.append(handle.of["waiting"].given)
+    assert given[0] == given[1]
+
+
 def test_rows_beyond_the_watermark_are_dropped_and_open_rows_wait(spark, tmp_path):
     """What the watermark has not passed stays in state; what comes later than its delay is no row any more."""
     path = str(tmp_path / "ticks")

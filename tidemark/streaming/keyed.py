@@ -9,8 +9,10 @@ and a lost executor resumes from the checkpoint.
 
 Each call of a state variable is a message from Python to the executor and back, which costs more than the work on a
 hundred rows.  Keys are therefore dealt to GROUPS by a hash, and a group is what Spark's state belongs to: its keys'
-rows wait as columns, an element for each frame of a batch, what its keys have learnt is one value, and it has one timer.
-Messages grow with the groups that a batch touches and with frames of rows, not with keys.  A task holds a group's waiting rows.
+rows wait as Arrow tables, an element for each frame of a batch, what its keys have learnt is one value, and it has one timer.
+Messages grow with the groups that a batch touches and with frames of rows, not with keys.  An element is bytes to the store, which
+would turn lists into objects value by value, on both sides and both ways.  A task holds a group's waiting rows, as Arrow
+columns; CHUNK of them at a time are Python values.
 Rows reach Python in frames, numbers as text, as a frame would turn longs beside a null into doubles.
 
 A stream that ends (tests, a backfill) leaves its last rows waiting: `with_marks` adds an empty source
@@ -22,24 +24,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DecimalType, FractionalType, IntegralType, StructField, StructType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, StructType
 
 from ..operators.windows import ordered_pass
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Groups that keys are dealt to, fixed for a stream's life; rows of an element of rows put back to wait, and of what comes out at a time.
+#: Groups that keys are dealt to, fixed for a stream's life; rows of an element of rows put back to wait, of those handed on and of what comes out at a time.
 GROUPS, CHUNK = 1024, 10_000
 #: Event time of the mark that closes a stream.
 END = "9000-01-01 00:00:00"
 
-#: step(state or None, row) gives the new state (a tuple) and the row's outputs (a tuple), or None for no row out.
-Step = Callable[[tuple | None, Row], tuple[tuple | None, tuple | None]]
+#: step(state or None, row by column) gives the new state (a tuple) and the row's outputs (a tuple), or None for no row out.
+Step = Callable[[tuple | None, dict], tuple[tuple | None, tuple | None]]
 
 
 @contextmanager
@@ -54,18 +57,34 @@ def state_store(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(stored: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(stored))).read_all()
+
+
+def _listed(column: pa.Array) -> list:
+    whole = column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type))
+    return column.to_numpy().tolist() if whole else column.to_pylist()  # the same values, made at once
+
+
 class InOrder(StatefulProcessor):
-    """See the module; columns: those of the rows that wait (key, us, seq first), numbers: what their texts are read as, waits and known: schemas of state, out: columns that come out."""
+    """See the module; columns: those of the rows that wait (key, us, seq first), numbers: what their texts are read as, known: schema of what keys have learnt, out: columns that come out."""
 
     #: Schema of a key's state where it is the processor's own.
     KEPT = ""
 
-    def __init__(self, columns: list[str], numbers: list[type | None], waits: str, known: str, out: list[str], step: Step, idle: int):
-        self.columns, self.numbers, self.waits, self.known_as, self.out, self.step, self.idle = columns, numbers, waits, known, out, step, idle
+    def __init__(self, columns: list[str], numbers: list[type | None], known: str, out: list[str], step: Step, idle: int):
+        self.columns, self.numbers, self.known_as, self.out, self.step, self.idle = columns, numbers, known, out, step, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waits)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.known = handle.getValueState("known", self.known_as)  # keys, times of their last rows handed on, states
         self.alarm = handle.getValueState("alarm", "at long")  # of the timer
 
@@ -87,9 +106,9 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         firsts = []
         for frame in rows:
-            some = tuple([None if v is None or v != v else as_(v) if as_ else v for v in frame[f"c{i}"].tolist()] for i, as_ in enumerate(self.numbers))
-            self.waiting.appendValue(some)
-            firsts.append(min(some[1]))
+            some = pa.table([pa.array([None if v is None or v != v else as_(v) if as_ else v for v in frame[f"c{i}"].tolist()]) for i, as_ in enumerate(self.numbers)], self.columns)
+            self.waiting.appendValue((_packed(some),))
+            firsts.append(pc.min(some["us"]).as_py())
         alarm, old = -(-min(firsts) // 1000), self.alarm.get()
         # An alarm for expiry, or for later rows, makes way for an earlier one.
         self._set_alarm(alarm if old is None else min(alarm, old[0]), None if old is None else old[0])
@@ -97,35 +116,35 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        ready, rest = {}, []
-        for some in self.waiting.get():
-            for r in zip(*some, strict=True):
-                if r[1] <= mark * 1000:
-                    ready.setdefault(r[0], []).append(r[1:])
-                else:
-                    rest.append(r)
+        ready, rest = [], []
+        for (stored,) in self.waiting.get():
+            some = _unpacked(stored)
+            passed = pc.less_equal(some["us"], mark * 1000)
+            ready.append(some.filter(passed))
+            rest.append(some.filter(pc.invert(passed)))
+        rest = [some for some in rest if some.num_rows]
         found = self.known.get()
         known = {k: (last, None if state is None else self._restored(state)) for k, last, state in zip(*found, strict=True)} if found else {}
-        if ready:
-            made, row, keyed = [], Row(*self.columns[1:]), self.out[0] == self.columns[0]
-            for k, rows in ready.items():
-                rows.sort(key=itemgetter(0, 1))
-                last, state = known.get(k, (None, None))
-                for r in rows:
+        if any(some.num_rows for some in ready):
+            # An element's columns of nulls alone have no type yet, and decimals the digits they need.
+            rows = pa.concat_tables(ready, promote_options="permissive").combine_chunks().sort_by([("us", "ascending"), ("seq", "ascending")])
+            made, names, keyed = [], self.columns[1:], self.out[0] == self.columns[0]
+            for some in rows.to_batches(CHUNK):
+                for k, *r in zip(*map(_listed, some.columns), strict=True):
+                    last, state = known.get(k, (None, None))
                     if last is not None and r[0] - last > self.idle:
                         state = None
-                    last = r[0]
-                    state, out = self.step(state, row(*r))
+                    state, out = self.step(state, dict(zip(names, r, strict=True)))
+                    known[k] = (r[0], state)
                     if out is not None:
                         made.append((k, *out) if keyed else out)
                     if len(made) >= CHUNK:
                         yield self._out(made)
                         made = []
-                known[k] = (last, state)
             if made:
                 yield self._out(made)
             if rest:
-                self.waiting.put([tuple(list(c) for c in zip(*rest[i : i + CHUNK], strict=True)) for i in range(0, len(rest), CHUNK)])
+                self.waiting.put([(_packed(pa.Table.from_batches([some])),) for some in pa.concat_tables(rest, promote_options="permissive").combine_chunks().to_batches(CHUNK)])
             else:
                 self.waiting.clear()
         gone = {k: -(-(last + self.idle) // 1000) + 1 for k, (last, _) in known.items()}
@@ -134,7 +153,7 @@ class InOrder(StatefulProcessor):
             self.known.update((stay, [known[k][0] for k in stay], [None if known[k][1] is None else self._stored(known[k][1]) for k in stay]))
         else:
             self.known.clear()
-        due = [*(gone[k] for k in stay), *([-(-min(r[1] for r in rest) // 1000)] if rest else [])]
+        due = [*(gone[k] for k in stay), *(-(-pc.min(some["us"]).as_py() // 1000) for some in rest)]
         if due:
             self._set_alarm(min(due), None)
         else:
@@ -161,20 +180,16 @@ class Book(InOrder):
         return dict(zip(*stored, strict=True))
 
 
-def _arrays(fields: list[StructField]) -> str:
-    return ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in fields)
-
-
 def in_order(stream: DataFrame, key: str, columns: list[str], kept: str, out: str, step: Step, idle: int, processor: type[InOrder] = InOrder) -> DataFrame:
     """step over each key's rows in order of (us, seq).  stream: key, us, seq, columns and a watermark
     on ts; kept: the state's schema; out: the rows that come out, with the key first if they have it;
     idle: microseconds of silence after which a key begins anew.  Rows later than the watermark are dropped
     by Spark and counted in its progress."""
     columns = [key, "us", "seq", *[c for c in columns if c not in ("us", "seq")]]
-    known = f"{_arrays([StructField('keys', stream.schema[key].dataType)])}, last array<long>, state array<{StructType.fromDDL(processor.KEPT or kept).simpleString()}>"
+    known = f"keys array<{stream.schema[key].dataType.simpleString()}>, last array<long>, state array<{StructType.fromDDL(processor.KEPT or kept).simpleString()}>"
     kinds = [stream.schema[c].dataType for c in columns]
     numbers = [int if isinstance(t, IntegralType) else float if isinstance(t, FractionalType) and not isinstance(t, DecimalType) else None for t in kinds]
-    made = processor(columns, numbers, _arrays([stream.schema[c] for c in columns]), known, StructType.fromDDL(out).names, step, idle)
+    made = processor(columns, numbers, known, StructType.fromDDL(out).names, step, idle)
     rows = stream.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("of"), "ts", *[(F.col(c).cast("string") if n else F.col(c)).alias(f"c{i}") for i, (c, n) in enumerate(zip(columns, numbers, strict=True))])
     return rows.groupBy("of").transformWithStateInPandas(made, out, "append", "EventTime")
 
@@ -188,7 +203,7 @@ def in_order_batch(rows: DataFrame, key: str, columns: list[str], out: str, step
 
     def go(state, *values):
         last, inner = state or (None, None)
-        row = Row(*columns)(*values)
+        row = dict(zip(columns, values, strict=True))
         if last is not None and row["us"] - last > idle:
             inner = None
         inner, made = step(inner, row)
