@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +206,34 @@ def test_ngram_join_repeated_rows_and_ids(spark):
     assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(True, 5, 3, 5), (True, 5, 3, 5), (True, 5, 3, 2), (True, 2, 3, 2), (False, 0, 3, 5), (False, 0, 1, None), (True, 7, 1, 7), (True, 8, 1, 8)], key=str)
 
 
+@pytest.mark.parametrize("size", [7, 1 << 22])
+def test_ngram_shingles_of_many_texts_at_once(monkeypatch, size):
+    """Cut anywhere, texts have the values they have alone, one for each different run of words."""
+    monkeypatch.setattr(ngram_join, "TEXT_BYTES", size)
+    texts = [*_near_texts(4)[:50], "", None, " ", "a", " A b\x0b", "\ta b c d e f ", "\u00df \u00c4 x \x1c y z q", "x " * 50, "W" * 65 + " q w " + "w" * 65 + " r s", "y" * 300_000 + " b c d e f " + "Y" * 300_000, "z" * 300_001]
+    column = pa.array(["head", *texts], pa.string()).slice(1)
+    got, named = list(ngram_join.shingled(column)), {}
+    assert len(got) == len(texts)
+    for values, text in zip(got, texts, strict=True):
+        w = (text or "").encode().lower().split()
+        k = min(5, len(w))
+        runs = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        assert len(runs) == len(values) and (values[1:] > values[:-1]).all()
+        assert next(ngram_join.shingled(pa.array([text], pa.string()))).tolist() == values.tolist()
+        named[frozenset(runs)] = values.tobytes()
+    assert len(set(named.values())) == len(named)
+
+
+@pytest.mark.parametrize(("rare", "pairs"), [(16, 5), (2, 1000), (10**9, 1000)])
+def test_ngram_overlaps_by_pairs_and_by_matrix(monkeypatch, rare, pairs):
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    r = np.random.default_rng(1)
+    sets = [np.unique(np.r_[r.integers(0, 9, 4), r.integers(0, 400, r.integers(0, 30))]) for _ in range(70)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (ngram_join.overlaps(sets) == want)[~np.eye(70, dtype=bool)].all() and (ngram_join.overlaps(sets, 20) == want[:20, 20:]).all()
+
+
 def test_ngram_overlaps_and_forest():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 50, r.integers(0, 40))) for _ in range(20)]
