@@ -62,6 +62,39 @@ def test_components_and_overlaps_of_all_groups(spark, tmp_path):
     assert {r["id"]: r["comp"] for r in registry.QUERIES["A25_components"](spark, str(tmp_path)).collect()} == comp
 
 
+def test_sets_of_few_frequent_members_meet_few_others_in_vain(spark, monkeypatch):
+    """Members that a sixth of all sets have: what meets in the index is a small part of all pairs."""
+    met, write = [], SJ.materialize
+
+    def seen(df, name, *rest):
+        table = write(df, name, *rest)
+        if name == "set-loads":
+            met.append(table.agg(F.sum(F.col("load") * F.col("load"))).first()[0] or 0)
+        return table
+
+    monkeypatch.setattr(SJ, "materialize", seen)
+    rng = random.Random(8)
+    sets = [(g, set(rng.sample(range(30), rng.randrange(4, 7)))) for g in range(1200)]
+    df = spark.createDataFrame([(g, m) for g, s in sets for m in s], "g long, m long")
+    got = SJ.overlap_pairs(df, "g", "m", 3, 60)
+    assert sorted((r["a"], r["b"], r["common"], r["in_all"]) for r in got.collect()) == sorted(pairs_by_hand(sets, 60))
+    assert met and sum(met) < len(sets) ** 2 / 10
+
+
+@pytest.mark.parametrize("combinations_", [1, 20, 200])
+@pytest.mark.parametrize("percent", [0, 60])
+def test_pairs_through_units_blocks_and_both_indexes(spark, monkeypatch, combinations_, percent):
+    """Units of two keys, blocks of three units, lists in batches of four keys, and sets on both sides of the bound."""
+    for name, value in (("UNIT", 2), ("UNITS", 3), ("KEYS", 4), ("COMBINATIONS", combinations_)):
+        monkeypatch.setattr(SJ, name, value)
+    rng = random.Random(9)
+    sets = [(g, set(rng.sample(range(16), rng.randrange(1, 15)))) for g in range(60)]
+    sets += [(100 + g, sets[g % 6][1]) for g in range(40)]
+    df = spark.createDataFrame([(g, m) for g, s in sets for m in s], "g long, m long")
+    got = SJ.overlap_pairs(df, "g", "m", 3, percent)
+    assert sorted((r["a"], r["b"], r["common"], r["in_all"]) for r in got.collect()) == sorted(pairs_by_hand(sets, percent))
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_large_sets_and_hot_members(spark, monkeypatch, block):
     """Sets of 300 members: an index row for each prefix member; a member that all sets have; equal sets."""

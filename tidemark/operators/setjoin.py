@@ -5,13 +5,23 @@ n - o + 1 of each (n: the set's size, o: what it must share at least), so an ind
 every pair; it has a row for each set and prefix member, whatever the sets' sizes.  A row carries its
 set, so that a pair is made where its first common member is, once.
 
-Equal sets are one class.  A member's sets are dealt in blocks, so a member that a third of all sets have is
-work for many tasks; a task compares two blocks by a product of 0-1 matrices, or
-by the pairs that meet in each column where those are few, and returns the pairs that share enough, or, where only components are wanted, a spanning forest of them.
+Where components are wanted (overlap_links), equal sets are one class.  A member's sets are dealt in blocks, so a member
+that a third of all sets have is work for many tasks; a task compares two blocks by a product of 0-1 matrices, or by the
+pairs that meet in each column where those are few, and returns a spanning forest of the pairs that share enough.
+
+Where pairs are wanted (overlap_pairs), sets that share o members or more share the first d <= o of them among the
+first n - o + d of each.  Small sets are indexed by all combinations of d = `least` of those, COMBINATIONS rows a set at
+most, and so meet few sets in vain where members are few and frequent; sets with more combinations, and those that may
+pair with them, by single members.  A row holds its set and some keys that have it, so a task knows the pairs of keys,
+which come as lists and pass through no shuffle.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +32,8 @@ from ..scratch import materialize
 
 #: Sets of a block; members' rows of a task that has several members; cells of a matrix.
 BLOCK, TASK_ROWS, CELLS = 1000, 20_000, 4_000_000
+#: Rows of a set in the index of combinations; keys of a unit; units of a block; keys in a batch of lists.
+COMBINATIONS, UNIT, UNITS, KEYS = 200, 128, 2000, 1_000_000
 
 
 def ordered_sets(sets: DataFrame, key: str, member: str, least: int) -> DataFrame:
@@ -76,10 +88,9 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[list[int], list[int]]
     return child, [find(x) for x in child]
 
 
-def linked(sets: DataFrame, least: int, percent: int, forest: bool) -> DataFrame:
-    """a, b, common, in_all: pairs a < b of ordered sets that share enough, each once; forest: pairs with the components of all of them."""
-    o = F.greatest(F.lit(least), F.ceil(F.col("n") * percent / 100).cast("int"))
-    heads = sets.withColumn("o", o).select("k", "n", F.posexplode(F.slice("s", F.lit(1), F.col("n") - F.col("o") + 1)).alias("at", "m"), "s")
+def linked(sets: DataFrame, least: int) -> DataFrame:
+    """a, b: pairs of ordered sets with the components of all pairs that share `least` members or more."""
+    heads = sets.select("k", F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("at", "m"), "s")
     loads = heads.groupBy("m").agg(F.count(F.lit(1)).alias("load")).where("load > 1")
     loads = materialize(loads.withColumn("nb", F.ceil(F.col("load") / BLOCK).cast("int")), "set-loads")
     small = loads.where("nb = 1").agg(F.sum("load")).first()[0] or 0
@@ -87,49 +98,38 @@ def linked(sets: DataFrame, least: int, percent: int, forest: bool) -> DataFrame
     met = heads.join(loads.select("m", "nb"), "m").withColumn("x", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
     span = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.least("x", i).alias("lo"), F.greatest("x", i).alias("hi")))
     dealt = met.withColumn("t", F.explode(span)).withColumn("bin", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("m"), F.lit(bins))).otherwise(F.xxhash64("m")))
-    dealt = dealt.select("bin", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), "m", "x", "k", "n", "at", "s")
+    dealt = dealt.select("bin", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), "m", "x", "k", "at", "s")
     kind = sets.schema["k"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        x, n, at = (table.column(k).to_numpy() for k in ("x", "n", "at"))
+        x, at = (table.column(k).to_numpy() for k in ("x", "at"))
         m = table.column("m").combine_chunks().dictionary_encode().indices.to_numpy()
         flat = table.column("s").combine_chunks()
         ends = np.cumsum(flat.value_lengths().to_numpy())
         codes = flat.flatten().dictionary_encode().indices.to_numpy()
         whole = np.split(codes, ends[:-1])
         none = np.empty(0, np.int64)
-        found = [(none, none, none, none)]
+        found = [(none, none)]
         order = np.lexsort((x, m))
         for rows in np.split(order, np.flatnonzero(np.diff(m[order])) + 1):
             left, right = rows[x[rows] == lo], rows[x[rows] == hi]
             if not len(left) or not len(right) or len(rows) < 2:
                 continue
             both = _shared([whole[k][at[k] :] for k in (*left, *right)], len(left))
-            few, many = percent * n[left].astype(np.float32), percent * n[right].astype(np.float32)
-            fits = (both >= least) & ((100 + percent) * both >= few[:, None] + many)
-            if lo == hi:
-                fits = np.triu(fits, 1)
-            i, j = np.nonzero(fits)
-            if not forest and len(i) and at[rows].any():  # only where no earlier member is common
-                first = _shared([whole[k][: at[k]] for k in (*left, *right)], len(left))[i, j] == 0
-                i, j = i[first], j[first]
-            if forest and len(i):
+            fits = both >= least
+            i, j = np.nonzero(np.triu(fits, 1) if lo == hi else fits)
+            if len(i):
                 local, k = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
                 child, top = _forest(k[: len(i)], k[len(i) :], len(local))
-                zero = np.zeros(len(child), np.int64)
-                found.append((local[child], local[top], zero, zero))
-            else:
-                common = both[i, j].astype(np.int64)
-                found.append((left[i], right[j], common, n[left[i]] + n[right[j]] - common))
-        one, two, common, in_all = (np.concatenate([f[k] for f in found]) for k in range(4))
+                found.append((local[child], local[top]))
+        one, two = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         key = table.column("k").combine_chunks()
         a, b = key.take(pa.array(one)), key.take(pa.array(two))
-        low, high = pc.min_element_wise(a, b), pc.max_element_wise(a, b)
-        return pa.table([low, high, pa.array(common.astype(np.int64)), pa.array(in_all.astype(np.int64))], names=["a", "b", "common", "in_all"])
+        return pa.table([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], names=["a", "b"])
 
-    return dealt.groupBy("bin", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, common long, in_all long")
+    return dealt.groupBy("bin", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def overlap_links(sets: DataFrame, key: str, member: str, least: int) -> DataFrame:
@@ -137,24 +137,104 @@ def overlap_links(sets: DataFrame, key: str, member: str, least: int) -> DataFra
     whole = ordered_sets(sets, key, member, least)
     classes = materialize(whole.groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n")), "set-classes")
     equal = whole.join(classes.select("s", F.col("k").alias("c")), "s").where("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))
-    return linked(classes, least, 0, forest=True).select("a", "b").unionByName(equal).distinct()
+    return linked(classes, least).unionByName(equal).distinct()
+
+
+def _places(n: int, least: int, percent: int, d: int) -> int:
+    """Among how many of its first members a set of n has the first d that it shares with any other."""
+    return n - max(least, -(-n * percent // 100)) + d
+
+
+def matched(units: DataFrame, least: int, percent: int, d: int, above: int, most: int) -> DataFrame:
+    """ka, kb, common, in_all: lists of keys, each of ka a pair with each of kb, for all pairs of units (u, s, n, ks) of
+    which one has more than `above` members.  Units are indexed by combinations of d members; where d > 1, none has more
+    than `most` places of them."""
+    o = F.greatest(F.lit(least), F.ceil(F.col("n") * percent / 100).cast("int"))
+    size = F.col("n") - o + d
+    if d == 1:
+        places = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.array(i))
+    else:  # a list for each number of places
+        array = lambda x: f"array({','.join(map(array, x))})" if isinstance(x, (list, tuple)) else str(x)
+        places = F.element_at(F.expr(array([list(combinations(range(p), d)) for p in range(d, most + 1)])), size - d + 1)
+    heads = units.withColumn("at", F.explode(places)).withColumn("m", F.xxhash64(F.transform("at", lambda i: F.col("s")[i])))
+    loads = heads.groupBy("m").agg(F.count(F.lit(1)).alias("load")).where("load > 1")
+    loads = materialize(loads.withColumn("nb", F.ceil(F.col("load") / UNITS).cast("int")), "set-loads")
+    bins = 1 + (loads.where("nb = 1").agg(F.sum("load")).first()[0] or 0) // TASK_ROWS
+    met = heads.join(loads.select("m", "nb"), "m").withColumn("x", F.pmod(F.xxhash64("u"), F.col("nb")).cast("int"))
+    span = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.least("x", i).alias("lo"), F.greatest("x", i).alias("hi")))
+    dealt = met.withColumn("t", F.explode(span)).withColumn("bin", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("m"), F.lit(bins))).otherwise(F.xxhash64("m")))
+    dealt = dealt.select("bin", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), "m", "x", "n", "at", "s", "ks")
+    kind = units.schema["ks"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        x, n, m = (table.column(k).to_numpy() for k in ("x", "n", "m"))
+        flat, keys = (table.column(k).combine_chunks() for k in ("s", "ks"))
+        codes = flat.flatten().dictionary_encode().indices.to_numpy()
+        ends = np.cumsum(flat.value_lengths().to_numpy())
+        whole = np.split(codes, ends[:-1])
+        at = table.column("at").combine_chunks().flatten().to_numpy().reshape(-1, d)
+        members = codes[(ends - flat.value_lengths().to_numpy())[:, None] + at]
+        key, many = keys.flatten(), keys.value_lengths().to_numpy().astype(np.int64)
+        start = np.cumsum(many) - many
+        order = np.lexsort((n, x, *members.T, m))  # m stands for members but for chance
+        new = np.any(members[order][1:] != members[order][:-1], axis=1)
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            left, right = rows[x[rows] == lo], rows[x[rows] == hi]
+            if not len(left) or not len(right) or len(rows) < 2:
+                continue
+            both = _shared([whole[k] for k in (*left, *right)], len(left))
+            fits = (both >= least) & ((100 + percent) * both >= percent * (n[left, None] + n[right]))
+            if above:
+                fits &= (n[left, None] > above) | (n[right] > above)
+            if lo == hi:
+                fits = np.triu(fits, 1)
+            i, j = np.nonzero(fits)
+            if len(i):  # only where these are the first common members
+                first = _shared([whole[k][: at[k, -1] + 1] for k in (*left, *right)], len(left))[i, j] == d
+                i, j = i[first], j[first]
+            if not len(i):
+                continue
+            common = both[i, j].astype(np.int64)
+            in_all = n[left[i]] + n[right[j]] - common
+            by = np.lexsort((in_all, common, i))
+            i, j, common, in_all = i[by], j[by], common[by], in_all[by]
+            begin = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(common) != 0) | (np.diff(in_all) != 0)])
+            upto = np.r_[0, np.cumsum(many[right[j]])]
+            cuts = np.flatnonzero(np.diff(upto[begin] // KEYS)) + 1
+            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(begin)].tolist(), strict=True):
+                end = int(begin[b]) if b < len(begin) else len(j)
+                lists, theirs = begin[a:b], right[j[begin[a] : end]]
+                times = many[theirs]
+                values = key.take(pa.array(np.repeat(start[theirs] - (np.cumsum(times) - times), times) + np.arange(times.sum())))
+                bounds = np.r_[upto[lists], upto[end]] - upto[lists[0]]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(left[i[lists]])), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values), pa.array(common[lists]), pa.array(in_all[lists])], ["ka", "kb", "common", "in_all"])
+
+    return dealt.groupBy("bin", "lo", "hi").applyInArrow(compare, f"ka {kind}, kb {kind}, common long, in_all long")
 
 
 def overlap_pairs(sets: DataFrame, key: str, member: str, least: int, percent: int = 0) -> DataFrame:
     """a, b, common, in_all: pairs a < b of keys that share at least `least` members and percent % of their union.
 
-    Equal sets are compared once, as a class; pairs of keys are made last, from classes and blocks of their keys, and pass through no shuffle."""
+    Keys of equal sets go together as units, UNIT keys each."""
     whole = ordered_sets(sets, key, member, least)
-    classes = whole.groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    classes = materialize(classes, "set-classes")
-    named = whole.join(classes.select("s", F.col("k").alias("c"), "nb"), "s")
-    keys = named.groupBy("c", "n", "nb", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int").alias("j")).agg(F.collect_list("k").alias("ks"))
-    keys = materialize(keys, "set-class-keys")
-    blocks = lambda c, ks: keys.select(F.col("c").alias(c), F.col("ks").alias(ks))
-    unlike = linked(classes.select("k", "s", "n"), least, percent, forest=False).join(blocks("a", "ka"), "a").join(blocks("b", "kb"), "b")
-    mine = keys.where("nb > 1 OR size(ks) > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    classes = whole.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("nb"))
+    units = whole.join(classes, "s").groupBy("s", "n", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int").alias("u"))
+    units = units.agg(F.array_sort(F.collect_list("k")).alias("ks")).select(F.xxhash64("s", "u").alias("u"), "s", "n", "ks")
+    units = materialize(units, "set-units")
+    d, limit, found = min(least, 3), 0, []
+    while d > 1 and limit < 1000 and math.comb(max(0, _places(limit + 1, least, percent, d)), d) <= COMBINATIONS:
+        limit += 1
+    if limit >= least:
+        found.append(matched(units.where(F.col("n") <= limit), least, percent, d, 0, _places(limit, least, percent, d)))
+    else:
+        limit = 0
+    if not limit or not units.where(F.col("n") > limit).isEmpty():
+        found.append(matched(units.where(F.col("n") >= -(-(limit + 1) * percent // 100)), least, percent, 1, limit, 1))
+    pair = lambda df, b: df.withColumn("x", F.explode("ka")).select("x", F.explode(b).alias("y"), "common", "in_all")
     n = F.col("n").cast("long")
-    equal = mine.select("c", "j", n.alias("common"), n.alias("in_all"), F.col("ks").alias("ka")).join(keys.select("c", "j", F.col("ks").alias("kb")), ["c", "j"])
-    pair = lambda df: df.withColumn("x", F.explode("ka")).select("x", F.explode("kb").alias("y"), "common", "in_all")
-    pairs = pair(unlike).unionByName(pair(equal).where("x < y"))
+    pairs = pair(units.where(F.size("ks") > 1).select(F.col("ks").alias("ka"), F.col("ks").alias("kb"), n.alias("common"), n.alias("in_all")), "kb").where("x < y")
+    for lists in found:
+        pairs = pairs.unionByName(pair(lists, "kb"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "in_all")
