@@ -33,7 +33,9 @@ from ..scratch import materialize
 #: Sets of a block; members' rows of a task that has several members; cells of a matrix.
 BLOCK, TASK_ROWS, CELLS = 1000, 20_000, 4_000_000
 #: Rows of a set in the index of combinations; keys of a unit; units of a block; keys in a batch of lists.
-COMBINATIONS, UNIT, UNITS, KEYS = 200, 128, 2000, 1_000_000
+COMBINATIONS, UNIT, UNITS, KEYS = 200, 128, 4000, 1_000_000
+#: Pairs of units that are compared at a time.
+PAIRS = 1_000_000
 
 
 def ordered_sets(sets: DataFrame, key: str, member: str, least: int) -> DataFrame:
@@ -71,6 +73,18 @@ def _shared(sets: list[np.ndarray], cut: int) -> np.ndarray:
     return out
 
 
+def _counts(left: list[np.ndarray], right: list[np.ndarray]):
+    """A function of a and b: how many members each of left[a:b] shares with each of right."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(names) * len(sets) > CELLS:  # too wide for one matrix
+        return lambda a, b: _shared([*left[a:b], *right], b - a)
+    cells = np.zeros((len(sets), len(names)), np.float32)
+    cells[owner, column] = 1
+    return lambda a, b: cells[a : min(b, len(left))] @ cells[len(left) :].T
+
+
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[list[int], list[int]]:
     """Every vertex of edges (i, j) with its component's first one."""
     top = list(range(n))
@@ -178,38 +192,49 @@ def matched(units: DataFrame, least: int, percent: int, d: int, above: int, most
         members = codes[(ends - flat.value_lengths().to_numpy())[:, None] + at]
         key, many = keys.flatten(), keys.value_lengths().to_numpy().astype(np.int64)
         start = np.cumsum(many) - many
-        order = np.lexsort((n, x, *members.T, m))  # m stands for members but for chance
-        new = np.any(members[order][1:] != members[order][:-1], axis=1)
-        for rows in np.split(order, np.flatnonzero(new) + 1):
-            left, right = rows[x[rows] == lo], rows[x[rows] == hi]
-            if not len(left) or not len(right) or len(rows) < 2:
-                continue
-            both = _shared([whole[k] for k in (*left, *right)], len(left))
-            fits = (both >= least) & ((100 + percent) * both >= percent * (n[left, None] + n[right]))
-            if above:
-                fits &= (n[left, None] > above) | (n[right] > above)
-            if lo == hi:
-                fits = np.triu(fits, 1)
-            i, j = np.nonzero(fits)
-            if len(i):  # only where these are the first common members
-                first = _shared([whole[k][: at[k, -1] + 1] for k in (*left, *right)], len(left))[i, j] == d
-                i, j = i[first], j[first]
-            if not len(i):
-                continue
-            common = both[i, j].astype(np.int64)
-            in_all = n[left[i]] + n[right[j]] - common
-            by = np.lexsort((in_all, common, i))
-            i, j, common, in_all = i[by], j[by], common[by], in_all[by]
+        exact = np.float32 if int(n.max()) < 1 << 14 else np.float64
+        weight, scale = (percent * n.astype(np.int64)).astype(exact), exact(100 + percent)
+
+        def lists(left, right, i, j, common):
+            """Pairs, ordered by i, as lists of keys: a row for each i, number of common members and size."""
+            by, wide = i * (int(common.max()) + 1) + common, len(left) * (int(common.max()) + 1)
+            by = np.argsort(by.astype(np.uint16 if wide < 1 << 16 else np.int64), kind="stable")
+            i, j, common = i[by], right[j[by]], common[by]
+            in_all = n[left[i]] + n[j] - common
             begin = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(common) != 0) | (np.diff(in_all) != 0)])
-            upto = np.r_[0, np.cumsum(many[right[j]])]
+            upto = np.r_[0, np.cumsum(many[j])]
             cuts = np.flatnonzero(np.diff(upto[begin] // KEYS)) + 1
             for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(begin)].tolist(), strict=True):
-                end = int(begin[b]) if b < len(begin) else len(j)
-                lists, theirs = begin[a:b], right[j[begin[a] : end]]
+                rows, end = begin[a:b], int(begin[b]) if b < len(begin) else len(j)
+                theirs = j[begin[a] : end]
                 times = many[theirs]
                 values = key.take(pa.array(np.repeat(start[theirs] - (np.cumsum(times) - times), times) + np.arange(times.sum())))
-                bounds = np.r_[upto[lists], upto[end]] - upto[lists[0]]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(left[i[lists]])), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values), pa.array(common[lists]), pa.array(in_all[lists])], ["ka", "kb", "common", "in_all"])
+                bounds = np.r_[upto[rows], upto[end]] - upto[rows[0]]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(left[i[rows]])), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values), pa.array(common[rows]), pa.array(in_all[rows])], ["ka", "kb", "common", "in_all"])
+
+        order = np.lexsort((n, x, *members.T, m))  # m stands for members but for chance; sizes ascend
+        new = np.any(members[order][1:] != members[order][:-1], axis=1)
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            left, right = rows[x[rows] == lo], rows[x[rows] == hi]
+            if not len(left) or not len(right) or len(rows) < 2:
+                continue
+            counted = _counts([whole[k] for k in left], [whole[k] for k in right])
+            heads = _counts([whole[k][: at[k, -1] + 1] for k in left], [whole[k][: at[k, -1] + 1] for k in right])
+            step = max(1, PAIRS // len(right))
+            for low in range(0, len(left), step):
+                part = left[low : low + step]
+                both = counted(low, low + len(part))
+                fits = heads(low, low + len(part)) == d  # only where these are the first common members
+                fits &= scale * both >= weight[part, None] + weight[right]
+                if least > d:
+                    fits &= both >= least
+                if above:
+                    fits &= (n[part, None] > above) | (n[right] > above)
+                if lo == hi:
+                    fits &= np.arange(low, low + len(part))[:, None] < np.arange(len(right))
+                i, j = np.nonzero(fits)
+                if len(i):
+                    yield from lists(part, right, i, j, both[i, j].astype(np.int64))
 
     return dealt.groupBy("bin", "lo", "hi").applyInArrow(compare, f"ka {kind}, kb {kind}, common long, in_all long")
 
